@@ -56,4 +56,6 @@ def load() -> None:
     from episurv.registry import (  # noqa: F401
         cases_queries,
         gold_queries,
+        explore_queries,
+        quality_queries,
     )
