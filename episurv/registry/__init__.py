@@ -58,4 +58,5 @@ def load() -> None:
         gold_queries,
         explore_queries,
         quality_queries,
+        audit_queries,
     )
