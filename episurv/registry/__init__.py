@@ -59,4 +59,5 @@ def load() -> None:
         explore_queries,
         quality_queries,
         audit_queries,
+        text_queries,
     )
