@@ -74,15 +74,20 @@ def timeline(log: DataFrame, tie: str = "event_id") -> DataFrame:
 # --- sessions -------------------------------------------------------------------------------
 
 
-def _per_type(log: DataFrame) -> DataFrame:
-    return log.groupBy("session_id", "event_type", "status").agg(
+def per_type_measures() -> list[Column]:
+    """Measures that can be counted in parts and added up later."""
+    return [
         F.count(F.lit(1)).alias("_n"),
         F.min("timestamp").alias("_start"),
         F.max("timestamp").alias("_end"),
         F.sum("elapsed_seconds").alias("_sum"),
         F.max("elapsed_seconds").alias("_max"),
         F.min("elapsed_seconds").alias("_min"),
-    )
+    ]
+
+
+def _per_type(log: DataFrame) -> DataFrame:
+    return log.groupBy("session_id", "event_type", "status").agg(*per_type_measures())
 
 
 def _sum_if(condition: Column, value: str = "_n") -> Column:
@@ -91,7 +96,11 @@ def _sum_if(condition: Column, value: str = "_n") -> Column:
 
 def session_summary(log: DataFrame) -> DataFrame:
     """Duration, events by type and status, success rate, errors and warnings per session."""
-    counted = _per_type(log)
+    return summarise_sessions(_per_type(log))
+
+
+def summarise_sessions(counted: DataFrame) -> DataFrame:
+    """Session summaries from counts per session, type and status, however finely split."""
     by_type = counted.groupBy("session_id", "event_type").agg(
         F.sum("_n").alias("_n"),
         F.min("_start").alias("_start"),

@@ -60,4 +60,5 @@ def load() -> None:
         quality_queries,
         audit_queries,
         text_queries,
+        io_queries,
     )
