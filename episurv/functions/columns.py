@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -26,9 +27,32 @@ def any_of(conditions: Iterable[Column]) -> Column:
 # --- typing ---------------------------------------------------------------------------------
 
 
+def _digits_date(text: Column, fmt: str) -> Column:
+    """A date of fixed digit positions, or NULL.
+
+    The shape is compared first, then the digits are put in ISO order for a plain cast. A parser
+    with a pattern signals each text it cannot read by an exception, which costs more than the
+    rest of the row where formats are mixed.
+    """
+    shape = "".join("0" if ch in "dMy" else ch for ch in fmt)
+
+    def part(token: str) -> Column:
+        return F.substring(text, fmt.index(token) + 1, len(token))
+
+    iso = F.concat(part("yyyy"), F.lit("-"), part("MM"), F.lit("-"), part("dd"))
+    fits = (F.translate(text, "123456789", "000000000") == shape) & (part("yyyy") != "0000")
+    return F.when(fits, iso.try_cast("date"))
+
+
 def parse_date_multi(c: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """First format that parses, else NULL; never raises, also under ANSI."""
-    return F.coalesce(*[F.try_to_date(as_col(c), f) for f in formats])
+    text = as_col(c)
+    return F.coalesce(
+        *[
+            _digits_date(text, f) if sorted(re.findall("[a-zA-Z]+", f)) == ["MM", "dd", "yyyy"] else F.try_to_date(text, f)
+            for f in formats
+        ]
+    )
 
 
 def try_int(c: str | Column) -> Column:

@@ -60,6 +60,21 @@ def median(name: str) -> Column:
     return F.percentile(F.col(name), 0.5)
 
 
+def mean_and_median(df: DataFrame, keys: list[str], value: str, digits: int = 1) -> DataFrame:
+    """Mean and exact median per group, from counts per group and value.
+
+    The counts combine in the map tasks, so a group of many rows costs as much as its distinct
+    values; no task buffers the rows of a group.
+    """
+    counts = df.groupBy(*keys, value).agg(rows().alias("_n"))
+    v, n = F.col(value), F.col("_n")
+    known = F.sum(F.when(v.isNotNull(), n)).cast("double")
+    return counts.groupBy(*keys).agg(
+        F.round(F.try_divide(F.sum(v * n).cast("double"), known), digits).alias("media"),
+        F.percentile(v, 0.5, n).alias("mediana"),
+    )
+
+
 def growth(df: DataFrame, value: str, order: str, name: str = "taxa_crescimento") -> DataFrame:
     """Change in % against the previous existing row; NULL on the first row or after a zero.
 

@@ -18,6 +18,7 @@ from episurv.functions.codes import (
     SEX_RECODE,
     YES,
 )
+from episurv.functions.reshape import with_values
 from episurv.functions.columns import (
     age_years,
     band,
@@ -48,25 +49,25 @@ def column_report(df: DataFrame, groups: Mapping[str, Sequence[str]] = SELECTED_
 
 
 def type_cases(df: DataFrame) -> DataFrame:
-    """Typed, lower-cased columns in one select.
+    """Typed, lower-cased columns.
 
-    One projection reads the raw names on its right side only, so the age sees the raw unit
-    whatever the case sensitivity of the session.
+    Parsed values are computed once, since every later filter reads them. They are made from the
+    raw names before any renaming, so the age sees the raw unit whatever the case sensitivity of
+    the session.
     """
-    typed: dict[str, Column] = {}
-    for name in df.columns:
-        raw, low = F.col(name), name.lower()
-        if name in DATE_COLUMNS:
-            typed[low] = parse_date_multi(raw)
-        elif name == "NU_IDADE_N" and "TP_IDADE" in df.columns:
-            typed[low] = age_years(raw, F.col("TP_IDADE"))
-        elif name == "SEM_PRI":
-            typed[low] = int_in_range(raw, 1, 53)
-        elif name == "CS_SEXO":
-            typed[low] = recode(raw, SEX_RECODE)
-        else:
-            typed[low] = raw
-    return df.select(*[c.alias(n) for n, c in typed.items()])
+    parsed: dict[str, Column] = {f"_{c}": parse_date_multi(c) for c in DATE_COLUMNS if c in df.columns}
+    if {"NU_IDADE_N", "TP_IDADE"} <= set(df.columns):
+        parsed["_NU_IDADE_N"] = age_years("NU_IDADE_N", "TP_IDADE")
+    if "SEM_PRI" in df.columns:
+        parsed["_SEM_PRI"] = int_in_range("SEM_PRI", 1, 53)
+    valued = with_values(df, parsed) if parsed else df
+
+    def typed(name: str) -> Column:
+        if f"_{name}" in parsed:
+            return F.col(f"_{name}")
+        return recode(name, SEX_RECODE) if name == "CS_SEXO" else F.col(name)
+
+    return valued.select(*[typed(c).alias(c.lower()) for c in df.columns])
 
 
 def add_clean_codes(df: DataFrame, cols: Sequence[str] = CLEAN_COLUMNS, codes: Sequence[str] = (YES, NO)) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from episurv.functions.reshape import with_values
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,10 +70,18 @@ def raw_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("2")
     )
     outcome = F.when(F.col("o_orderstatus") == "F", "2").when(F.col("o_orderstatus") == "O", "1").otherwise("9")
-    return joined.select(
+    # Formatted once per row, like the text of a file.
+    dates = {
+        "DT_NOTIFIC": _mixed_text(F.date_add(d, k9 - 1 + F.col("rep")), k + 13),
+        "DT_SIN_PRI": _mixed_text(d, k),
+        "DT_INTERNA": F.when(admitted, _dmy(F.date_add(d, k5))),
+        "DT_ENTUTI": F.when(admitted & (icu == "1"), _dmy(F.date_add(d, k5 + k3))),
+        "DT_EVOLUCA": F.when(admitted & (outcome != "9"), _dmy(F.date_add(d, k5 + k21 - 1))),
+    }
+    return with_values(joined, dates).select(
         k.cast("string").alias("NU_NOTIFIC"),
-        _mixed_text(F.date_add(d, k9 - 1 + F.col("rep")), k + 13).alias("DT_NOTIFIC"),
-        _mixed_text(d, k).alias("DT_SIN_PRI"),
+        "DT_NOTIFIC",
+        "DT_SIN_PRI",
         F.weekofyear(d).cast("string").alias("SEM_PRI"),
         F.year(d).alias("ANO_DADOS"),
         F.when(ck % 20 == 0, "I").when(ck % 2 == 1, "M").otherwise("F").alias("CS_SEXO"),
@@ -86,7 +96,7 @@ def raw_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         icu.alias("UTI"),
         outcome.alias("EVOLUCAO"),
         _digit(k, 4, {0: "1", 1: "2", 2: "9"}, None).alias("VACINA"),
-        F.when(admitted, _dmy(F.date_add(d, k5))).alias("DT_INTERNA"),
-        F.when(admitted & (icu == "1"), _dmy(F.date_add(d, k5 + k3))).alias("DT_ENTUTI"),
-        F.when(admitted & (outcome != "9"), _dmy(F.date_add(d, k5 + k21 - 1))).alias("DT_EVOLUCA"),
+        "DT_INTERNA",
+        "DT_ENTUTI",
+        "DT_EVOLUCA",
     )

@@ -13,7 +13,6 @@ from episurv.operators.rates import (
     growth,
     icu_rate,
     mean,
-    median,
     mortality,
     rows,
     true_count,
@@ -24,46 +23,79 @@ from episurv.operators.rates import (
 from episurv.operators.typing import pad_to_schema
 
 
-def _distinct_ids(key: str, key_is_unique: bool):
-    """Distinct keys; a table whose key already passed the uniqueness gate needs no shuffle of ids."""
-    return F.count(F.col(key)) if key_is_unique else F.count_distinct(F.col(key))
+def _with_distinct_ids(measures: DataFrame, silver: DataFrame, keys: list[str], key: str, key_is_unique: bool) -> DataFrame:
+    """Distinct case ids per group beside its measures.
+
+    A distinct count moves every id. Inside the measures it would move all counters with each id,
+    so it is an aggregate of its own that reads the ids only, joined on the few groups. Where the
+    key is known to be unique, as after de-duplication, it is the plain count the measures hold.
+    """
+    if key_is_unique:
+        return measures.withColumnRenamed("_ids", "casos_unicos")
+    ids = silver.groupBy(*keys).agg(F.count_distinct(key).alias("casos_unicos"))
+    same = [measures[k].eqNullSafe(ids[k]) for k in keys]
+    return measures.join(ids, same).select(*[measures[c] for c in measures.columns if c != "_ids"], ids["casos_unicos"])
 
 
 def monthly_metrics(silver: DataFrame, key: str = "nu_notific", key_is_unique: bool = False) -> DataFrame:
-    monthly = silver.groupBy("ano", "mes", "ano_mes").agg(
+    """One row per month.
+
+    Cases are first added up per month and year of age. Those sums combine in the map tasks, and
+    the exact median then weighs at most one row per age instead of buffering the cases.
+    """
+    keys = ["ano", "mes", "ano_mes"]
+    flags = {
+        "total_internados": "is_internado", "total_uti": "is_uti", "total_vacinados": "is_vacinado",
+        "casos_com_febre": "has_febre", "casos_com_tosse": "has_tosse", "casos_com_dispneia": "has_dispneia",
+    }
+    gaps = {
+        "tempo_medio_notificacao": "tempo_sintoma_notificacao",
+        "tempo_medio_internacao": "tempo_sintoma_internacao",
+        "duracao_media_internacao": "tempo_internacao",
+    }
+    by_age = silver.groupBy(*keys, "nu_idade_n").agg(
         rows().alias("total_casos"),
-        _distinct_ids(key, key_is_unique).alias("casos_unicos"),
-        mean("nu_idade_n").alias("idade_media"),
-        median("nu_idade_n").alias("idade_mediana"),
+        F.count(key).alias("_ids"),
         deaths().alias("total_obitos"),
         cures().alias("total_curas"),
         with_outcome().alias("casos_com_desfecho"),
-        mortality().alias("taxa_mortalidade"),
-        true_count("is_internado").alias("total_internados"),
-        true_count("is_uti").alias("total_uti"),
-        icu_rate().alias("taxa_uti"),
-        true_count("is_vacinado").alias("total_vacinados"),
         with_vaccine_answer().alias("casos_com_info_vacina"),
-        vaccination().alias("taxa_vacinacao"),
-        true_count("has_febre").alias("casos_com_febre"),
-        true_count("has_tosse").alias("casos_com_tosse"),
-        true_count("has_dispneia").alias("casos_com_dispneia"),
-        mean("tempo_sintoma_notificacao").alias("tempo_medio_notificacao"),
-        mean("tempo_sintoma_internacao").alias("tempo_medio_internacao"),
-        mean("tempo_internacao").alias("duracao_media_internacao"),
+        *[true_count(c).alias(name) for name, c in flags.items()],
+        *[F.sum(c).alias(f"_sum_{name}") for name, c in gaps.items()],
+        *[F.count(c).alias(f"_n_{name}") for name, c in gaps.items()],
+    )
+    age, n = F.col("nu_idade_n"), F.col("total_casos")
+    counts = ["_ids", "total_obitos", "total_curas", "casos_com_desfecho", "casos_com_info_vacina", *flags]
+    added = by_age.groupBy(*keys).agg(
+        F.sum("total_casos").alias("total_casos"),
+        F.round(F.try_divide(F.sum(age * n).cast("double"), F.sum(F.when(age.isNotNull(), n)).cast("double")), 1).alias("idade_media"),
+        F.percentile(age, 0.5, n).alias("idade_mediana"),
+        *[F.sum(c).alias(c) for c in counts],
+        *[
+            F.round(F.try_divide(F.sum(f"_sum_{g}").cast("double"), F.sum(f"_n_{g}").cast("double")), 1).alias(g)
+            for g in gaps
+        ],
+    )
+    monthly = added.withColumns(
+        {
+            "taxa_mortalidade": rate(F.col("total_obitos"), F.col("casos_com_desfecho")),
+            "taxa_uti": rate(F.col("total_uti"), F.col("total_internados")),
+            "taxa_vacinacao": rate(F.col("total_vacinados"), F.col("casos_com_info_vacina")),
+        }
     )
-    return growth(monthly, "total_casos", "ano_mes")
+    return growth(_with_distinct_ids(monthly, silver, keys, key, key_is_unique), "total_casos", "ano_mes")
 
 
 def state_profile(silver: DataFrame, key: str = "nu_notific", key_is_unique: bool = False) -> DataFrame:
     """One row per state. The national share counts rows without a state in its denominator.
 
     The NULL state is one more group of the same aggregate, so the national total is a window sum
-    over the grouped rows and needs no second scan.
+    over the grouped rows and needs no second scan. Municipalities combine in the map tasks: there
+    are few per state.
     """
     by_state = silver.groupBy("sg_uf").agg(
         rows().alias("total_casos"),
-        _distinct_ids(key, key_is_unique).alias("casos_unicos"),
+        F.count(key).alias("_ids"),
         F.count_distinct("co_mun_res").alias("municipios_afetados"),
         mean("nu_idade_n").alias("idade_media"),
         true_count("is_idoso").alias("casos_idosos"),
@@ -85,7 +117,8 @@ def state_profile(silver: DataFrame, key: str = "nu_notific", key_is_unique: boo
         mean("tempo_internacao").alias("duracao_media_internacao"),
     )
     return (
-        by_state.withColumn("_nacional", F.sum("total_casos").over(Window.partitionBy()))
+        _with_distinct_ids(by_state, silver, ["sg_uf"], key, key_is_unique)
+        .withColumn("_nacional", F.sum("total_casos").over(Window.partitionBy()))
         .filter(F.col("sg_uf").isNotNull())
         .withColumn("ranking_casos", F.row_number().over(Window.orderBy(F.desc("total_casos"), "sg_uf")))
         .withColumn("percentual_nacional", rate(F.col("total_casos"), F.col("_nacional")))

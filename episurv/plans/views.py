@@ -30,7 +30,7 @@ def current_summary(history: DataFrame, date: str = "data_snapshot") -> DataFram
 
 def dashboard(silver: DataFrame) -> DataFrame:
     """KPI rows, each beside the newest month. Both sides are aggregates: 12 rows and one row."""
-    newest = last_months(gold.monthly_metrics(silver), 1).select(
+    newest = last_months(gold.monthly_metrics(silver, key_is_unique=True), 1).select(
         F.lit(True).alias("_one"),
         F.col("ano_mes").alias("ultimo_mes"),
         F.col("total_casos").alias("casos_ultimo_mes"),
@@ -47,8 +47,8 @@ def create_views(
     states: DataFrame | None = None,
 ) -> list[str]:
     """Register the five views; pass written gold tables to avoid recomputing them per query."""
-    monthly = gold.monthly_metrics(silver) if monthly is None else monthly
-    states = gold.state_profile(silver) if states is None else states
+    monthly = gold.monthly_metrics(silver, key_is_unique=True) if monthly is None else monthly
+    states = gold.state_profile(silver, key_is_unique=True) if states is None else states
     if history is None:
         history = gold.kpi_rows(gold.national_kpis(silver)).withColumn("data_snapshot", F.current_date())
     views = {

@@ -254,7 +254,7 @@ def a35(spark, d):
 @query("t1_newest_months", f"{SILVER}, {MONTHLY} SELECT ano_mes, total_casos, taxa_mortalidade, taxa_uti, taxa_vacinacao, taxa_crescimento FROM monthly_metrics ORDER BY ano_mes DESC LIMIT 12")
 def t1(spark, d):
     return (
-        gold.monthly_metrics(silver_of(spark, d))
+        gold.monthly_metrics(silver_of(spark, d), key_is_unique=True)
         .orderBy(F.desc("ano_mes"))
         .limit(12)
         .select("ano_mes", "total_casos", "taxa_mortalidade", "taxa_uti", "taxa_vacinacao", "taxa_crescimento")
@@ -281,7 +281,7 @@ def t2(spark, d):
 @query("t3_newest_24_months", f"{SILVER}, {MONTHLY} SELECT ano_mes, total_casos, tempo_medio_notificacao, tempo_medio_internacao FROM monthly_metrics ORDER BY ano_mes DESC LIMIT 24")
 def t3(spark, d):
     return (
-        gold.monthly_metrics(silver_of(spark, d))
+        gold.monthly_metrics(silver_of(spark, d), key_is_unique=True)
         .orderBy(F.desc("ano_mes"))
         .limit(24)
         .select("ano_mes", "total_casos", "tempo_medio_notificacao", "tempo_medio_internacao")

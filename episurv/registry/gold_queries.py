@@ -37,6 +37,12 @@ monthly_metrics AS (
 
 @query("a12_monthly_metrics", f"{SILVER}, {MONTHLY} SELECT * FROM monthly_metrics")
 def a12(spark, d):
+    """The key is unique here: the case table keeps one row per key."""
+    return gold.monthly_metrics(silver_of(spark, d), key_is_unique=True)
+
+
+@query("a12_monthly_metrics_any_key", f"{SILVER}, {MONTHLY} SELECT * FROM monthly_metrics")
+def a12_any_key(spark, d):
     return gold.monthly_metrics(silver_of(spark, d))
 
 
@@ -137,9 +143,8 @@ def a9(spark, d):
     f"{SILVER} SELECT ano, sg_uf, round(avg(nu_idade_n), 1) AS idade_media, quantile_cont(nu_idade_n, 0.5) AS idade_mediana FROM silver GROUP BY ano, sg_uf",
 )
 def a10(spark, d):
-    return silver_of(spark, d).groupBy("ano", "sg_uf").agg(
-        r.mean("nu_idade_n").alias("idade_media"), r.median("nu_idade_n").alias("idade_mediana")
-    )
+    found = r.mean_and_median(silver_of(spark, d), ["ano", "sg_uf"], "nu_idade_n")
+    return found.withColumnsRenamed({"media": "idade_media", "mediana": "idade_mediana"})
 
 
 @query("a11_period", f"{SILVER} SELECT count(*) AS registros, CAST(min(dt_sin_pri) AS VARCHAR) AS min_data, CAST(max(dt_sin_pri) AS VARCHAR) AS max_data FROM silver")
@@ -170,7 +175,7 @@ STATES = f"""state_profile AS (
 
 @query("a13_state_profile", f"{SILVER}, {STATES} SELECT * FROM state_profile")
 def a13(spark, d):
-    return gold.state_profile(silver_of(spark, d))
+    return gold.state_profile(silver_of(spark, d), key_is_unique=True)
 
 
 BAND_ORDER = "['0-1 ano','1-4 anos','5-9 anos','10-17 anos','18-29 anos','30-39 anos','40-49 anos','50-59 anos','60-69 anos','70+ anos']"
@@ -324,7 +329,7 @@ _BANDING = """CASE WHEN taxa_crescimento IS NULL THEN 'dados_insuficientes' WHEN
     FROM monthly_metrics) ORDER BY ano_mes DESC LIMIT 1""",
 )
 def w9(spark, d):
-    return series.latest_with_bands(gold.monthly_metrics(silver_of(spark, d)))
+    return series.latest_with_bands(gold.monthly_metrics(silver_of(spark, d), key_is_unique=True))
 
 
 # --- views ------------------------------------------------------------------------------------
@@ -342,17 +347,17 @@ def v1(spark, d):
 
 @query("v2_last_six_months", f"{SILVER}, {MONTHLY} SELECT * FROM monthly_metrics ORDER BY ano_mes DESC LIMIT 6")
 def v2(spark, d):
-    return views.last_months(gold.monthly_metrics(silver_of(spark, d)), 6)
+    return views.last_months(gold.monthly_metrics(silver_of(spark, d), key_is_unique=True), 6)
 
 
 @query("v3_top_states", f"{SILVER}, {STATES} SELECT * FROM state_profile WHERE ranking_casos <= 10")
 def v3(spark, d):
-    return views.top_states(gold.state_profile(silver_of(spark, d)), 10)
+    return views.top_states(gold.state_profile(silver_of(spark, d), key_is_unique=True), 10)
 
 
 @query("v4_mortality_alerts", f"{SILVER}, {STATES} SELECT * FROM state_profile WHERE taxa_mortalidade > 10")
 def v4(spark, d):
-    return views.mortality_alerts(gold.state_profile(silver_of(spark, d)))
+    return views.mortality_alerts(gold.state_profile(silver_of(spark, d), key_is_unique=True))
 
 
 @query("v5_current_summary", f"{SILVER}, {KPIS}, {KPI_LONG} SELECT *, '2024-02-01' AS data_snapshot FROM kpi_long")

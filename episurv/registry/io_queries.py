@@ -251,8 +251,8 @@ def s18_csv(spark, d):
 
 def _gold_views(spark, d):
     silver = silver_of(spark, d)
-    gold.monthly_metrics(silver).createOrReplaceTempView("gold_metricas_temporais")
-    gold.state_profile(silver).createOrReplaceTempView("gold_metricas_geograficas")
+    gold.monthly_metrics(silver, key_is_unique=True).createOrReplaceTempView("gold_metricas_temporais")
+    gold.state_profile(silver, key_is_unique=True).createOrReplaceTempView("gold_metricas_geograficas")
 
 
 @query(
@@ -275,12 +275,12 @@ def t4(spark, d):
 
 @query("t5_routed_newest", f"{SILVER}, {MONTHLY} SELECT * FROM monthly_metrics ORDER BY ano DESC, ano_mes DESC LIMIT 12")
 def t5(spark, d):
-    return sqltool.routed_rows(gold.monthly_metrics(silver_of(spark, d)), {"sg_uf": "NATION_3"}, ["ano", "ano_mes"])
+    return sqltool.routed_rows(gold.monthly_metrics(silver_of(spark, d), key_is_unique=True), {"sg_uf": "NATION_3"}, ["ano", "ano_mes"])
 
 
 @query("t5_routed_filtered", f"{SILVER}, {STATES} SELECT * FROM state_profile WHERE sg_uf = 'NATION_3'")
 def t5_filtered(spark, d):
-    return sqltool.routed_rows(gold.state_profile(silver_of(spark, d)), {"sg_uf": "NATION_3", "ano_mes": "1997-03"}, ["total_casos"])
+    return sqltool.routed_rows(gold.state_profile(silver_of(spark, d), key_is_unique=True), {"sg_uf": "NATION_3", "ano_mes": "1997-03"}, ["total_casos"])
 
 
 @query("d2_sql_with_arguments", f"{SILVER}, {STATES} SELECT sg_uf, total_casos FROM state_profile WHERE total_casos > 480")

@@ -505,7 +505,7 @@ DOCUMENTS = f"""{SILVER}, {KPIS}, {KPI_LONG}, {MONTHLY}, {STATES}, {AGE_SEX}, do
 def _gold_documents(spark, d):
     silver = silver_of(spark, d)
     kpis = gold.kpi_rows(gold.national_kpis(silver)).withColumn("data_snapshot", F.to_date(F.lit("2024-01-01")))
-    return docs.all_documents(kpis, gold.monthly_metrics(silver), gold.state_profile(silver), gold.age_sex_profile(silver))
+    return docs.all_documents(kpis, gold.monthly_metrics(silver, key_is_unique=True), gold.state_profile(silver, key_is_unique=True), gold.age_sex_profile(silver))
 
 
 @query("r1_render_documents", f"{DOCUMENTS} SELECT * FROM docs")
@@ -519,7 +519,7 @@ def r1(spark, d):
     CAST(ranking_casos AS VARCHAR) AS ranking, 'geographic_profile' AS tipo FROM state_profile""",
 )
 def r1_metadata(spark, d):
-    found = docs.state_documents(gold.state_profile(silver_of(spark, d)))
+    found = docs.state_documents(gold.state_profile(silver_of(spark, d), key_is_unique=True))
     return found.select("doc_id", *[F.col("metadata")[k].alias(k) for k in ("uf", "total_casos", "ranking", "tipo")])
 
 
