@@ -21,6 +21,7 @@ from episurv.functions.columns import (
 )
 from episurv.functions.reshape import measures_to_rows
 from episurv.operators.filters import known_category, since_days
+from episurv.operators.series import grand_total
 from episurv.operators.rates import deaths, mean, median, rows, with_outcome
 
 
@@ -54,9 +55,8 @@ def text_summary(silver: DataFrame) -> DataFrame:
 def top_categories(df: DataFrame, by: str, n: int = 10) -> DataFrame:
     """The largest categories with their share of all rows, rows without a category included."""
     counts = df.groupBy(by).agg(rows().alias("casos"))
-    total = F.sum("casos").over(Window.partitionBy())
     return (
-        counts.withColumn("percentual", rate(F.col("casos"), total))
+        counts.withColumn("percentual", rate(F.col("casos"), grand_total(counts, "casos")))
         .filter(F.col(by).isNotNull())
         .orderBy(F.desc("casos"), by)
         .limit(n)

@@ -17,7 +17,7 @@ from episurv.functions.codes import (
     YEARLY_NULL_FIELDS,
 )
 from episurv.functions.columns import is_missing, ordinal, parse_date_multi, pct
-from episurv.functions.reshape import measures_to_rows
+from episurv.functions.reshape import measures_to_rows, with_values
 from episurv.operators.rates import rows
 
 # Severity order and the key fields of the audit queries.
@@ -91,12 +91,21 @@ def domain_entries(df: DataFrame, values: Mapping[str, Sequence[str]] = VALID_VA
     ]
 
 
+def _date(field: str) -> str:
+    return f"_date_{field}"
+
+
+def with_dates(df: DataFrame, fields: Sequence[str] = DATE_COLUMNS, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+    """Parsed dates beside their texts, once per row for all date checks."""
+    return with_values(df, {_date(f): parse_date_multi(f, formats) for f in fields if f in df.columns})
+
+
 def date_format_entries(df: DataFrame, fields: Sequence[str] = DATE_COLUMNS, formats: Sequence[str] = DATE_FORMATS):
-    """Parsable in no accepted format, over rows that are not NULL."""
+    """Parsable in no accepted format, over rows that are not NULL. Reads the columns of `with_dates`."""
     return [
         _entry(
             "date_format", f, F.count(F.col(f)),
-            F.count_if(F.col(f).isNotNull() & parse_date_multi(f, formats).isNull()),
+            F.count_if(F.col(f).isNotNull() & F.col(_date(f)).isNull()),
             accepted_formats=" | ".join(formats),
         )
         for f in fields
@@ -105,11 +114,11 @@ def date_format_entries(df: DataFrame, fields: Sequence[str] = DATE_COLUMNS, for
 
 
 def date_order_entries(df: DataFrame, pairs: Sequence[tuple[str, str]] = DATE_ORDER_PAIRS):
-    """First date after the second, over rows where both parse."""
+    """First date after the second, over rows where both parse. Reads the columns of `with_dates`."""
     entries = []
     for a, b in pairs:
         if a in df.columns and b in df.columns:
-            x, y = parse_date_multi(a), parse_date_multi(b)
+            x, y = F.col(_date(a)), F.col(_date(b))
             entries.append(
                 _entry(
                     "consistency", f"{a} vs {b}", F.count_if(x.isNotNull() & y.isNotNull()), F.count_if(x > y),
@@ -162,11 +171,12 @@ def domain(df: DataFrame, values: Mapping[str, Sequence[str]] = VALID_VALUES) ->
 
 
 def date_format(df: DataFrame, fields: Sequence[str] = DATE_COLUMNS) -> DataFrame:
-    return fused_checks(df, date_format_entries(df, fields)).drop("valid_values", "relationship")
+    return fused_checks(with_dates(df, fields), date_format_entries(df, fields)).drop("valid_values", "relationship")
 
 
 def date_order(df: DataFrame, pairs: Sequence[tuple[str, str]] = DATE_ORDER_PAIRS) -> DataFrame:
-    return fused_checks(df, date_order_entries(df, pairs)).drop("valid_values", "accepted_formats")
+    fields = list(dict.fromkeys(f for pair in pairs for f in pair))
+    return fused_checks(with_dates(df, fields), date_order_entries(df, pairs)).drop("valid_values", "accepted_formats")
 
 
 def distinct_values(c: str) -> Column:
@@ -196,7 +206,7 @@ def uniqueness(df: DataFrame, key: str) -> DataFrame:
 def all_checks(df: DataFrame, key: str = "NU_NOTIFIC") -> DataFrame:
     """Every check as one table: two passes over the input in all."""
     fused = fused_checks(
-        df, completeness_entries(df), domain_entries(df), date_format_entries(df), date_order_entries(df)
+        with_dates(df), completeness_entries(df), domain_entries(df), date_format_entries(df), date_order_entries(df)
     )
     return fused.unionByName(uniqueness(df, key), allowMissingColumns=True)
 

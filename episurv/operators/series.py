@@ -31,9 +31,15 @@ def ranked(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(F.desc(value), tie)))
 
 
+def grand_total(df: DataFrame, value: str) -> Column:
+    """Sum over all rows as a scalar subquery; the rows are neither moved nor aggregated again."""
+    return df.select(F.sum(value)).scalar()
+
+
 def with_share(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "percentual", digits: int = 2) -> DataFrame:
     """Share of the sum over all rows, or over the rows of a group."""
-    return df.withColumn(name, rate(F.col(value), F.sum(value).over(Window.partitionBy(*by)), digits))
+    total = F.sum(value).over(Window.partitionBy(*by)) if by else grand_total(df, value)
+    return df.withColumn(name, rate(F.col(value), total, digits))
 
 
 def _ordered(keys: Sequence[str], order: str) -> WindowSpec:

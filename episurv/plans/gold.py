@@ -215,17 +215,36 @@ def weekly_series(silver: DataFrame, date: str = "dt_sin_pri") -> DataFrame:
 
 
 def series_table(silver: DataFrame, date: str = "dt_sin_pri") -> DataFrame:
-    """Both grains in one wide schema, told apart by `tipo_agregacao`."""
-    daily = daily_series(silver, date).select(
-        F.col(date).alias("data_referencia"),
-        F.year(date).alias("ano"),
-        "casos_dia", "obitos_dia", "internacoes_dia", "uti_dia", "casos_ma7", "obitos_ma7",
-        F.lit("diaria").alias("tipo_agregacao"),
+    """Both grains in one wide schema, told apart by `tipo_agregacao`.
+
+    The cases are read once: they are added up per day and week number, and both grains are
+    grouping sets over those few rows.
+    """
+    volumes = ["casos", "obitos", "internacoes", "uti"]
+    per_day = silver.groupBy(date, "ano", "sem_pri").agg(
+        rows().alias("casos"), deaths().alias("obitos"),
+        true_count("is_internado").alias("internacoes"), true_count("is_uti").alias("uti"),
     )
-    weekly = weekly_series(silver, date).withColumns(
-        {"data_referencia": F.col("data_inicio_semana"), "tipo_agregacao": F.lit("semanal")}
+    grains = per_day.withColumn("_day", F.col(date)).groupingSets([[date], ["ano", "sem_pri"]], date, "ano", "sem_pri").agg(
+        *[F.sum(c).alias(c) for c in volumes],
+        (F.grouping(date) == 0).alias("_daily"),
+        F.min("_day").alias("_first"),
+        F.max("_day").alias("_last"),
     )
-    return pad_to_schema(daily, SERIES_SCHEMA).unionByName(pad_to_schema(weekly, SERIES_SCHEMA))
+    daily, known = F.col("_daily"), F.col("_daily") | F.col("sem_pri").isNotNull()
+    week = Window.partitionBy("_daily").orderBy("_first", "sem_pri").rowsBetween(-6, 0)
+    columns = {
+        "data_referencia": F.col("_first"),
+        "ano": F.when(daily, F.year("_first")).otherwise(F.col("ano")),
+        **{f"{c}_dia": F.when(daily, F.col(c)) for c in volumes},
+        **{f"{c}_semana": F.when(~daily, F.col(c)) for c in volumes},
+        "casos_ma7": F.when(daily, F.round(F.avg("casos").over(week), 1)),
+        "obitos_ma7": F.when(daily, F.round(F.avg("obitos").over(week), 1)),
+        "data_inicio_semana": F.when(~daily, F.col("_first")),
+        "data_fim_semana": F.when(~daily, F.col("_last")),
+        "tipo_agregacao": F.when(daily, "diaria").otherwise("semanal"),
+    }
+    return pad_to_schema(grains.filter(known).withColumns(columns), SERIES_SCHEMA)
 
 
 # --- national KPIs --------------------------------------------------------------------------

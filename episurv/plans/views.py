@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episurv.plans import gold
-
 MORTALITY_ALERT_PCT = 10.0
 
 
@@ -28,35 +26,26 @@ def current_summary(history: DataFrame, date: str = "data_snapshot") -> DataFram
     return history.join(latest, date, "left_semi")
 
 
-def dashboard(silver: DataFrame) -> DataFrame:
+def dashboard(kpis: DataFrame, monthly: DataFrame) -> DataFrame:
     """KPI rows, each beside the newest month. Both sides are aggregates: 12 rows and one row."""
-    newest = last_months(gold.monthly_metrics(silver, key_is_unique=True), 1).select(
+    newest = last_months(monthly, 1).select(
         F.lit(True).alias("_one"),
         F.col("ano_mes").alias("ultimo_mes"),
         F.col("total_casos").alias("casos_ultimo_mes"),
         F.col("taxa_crescimento").alias("crescimento_ultimo_mes"),
     )
-    rows = gold.kpi_rows(gold.national_kpis(silver)).withColumn("_one", F.lit(True))
-    return rows.join(newest, "_one").drop("_one")
-
-
-def create_views(
-    silver: DataFrame,
-    history: DataFrame | None = None,
-    monthly: DataFrame | None = None,
-    states: DataFrame | None = None,
-) -> list[str]:
-    """Register the five views; pass written gold tables to avoid recomputing them per query."""
-    monthly = gold.monthly_metrics(silver, key_is_unique=True) if monthly is None else monthly
-    states = gold.state_profile(silver, key_is_unique=True) if states is None else states
-    if history is None:
-        history = gold.kpi_rows(gold.national_kpis(silver)).withColumn("data_snapshot", F.current_date())
+    return kpis.withColumn("_one", F.lit(True)).join(newest, "_one").drop("_one")
+
+
+def create_views(kpi_history: DataFrame, monthly: DataFrame, states: DataFrame, date: str = "data_snapshot") -> list[str]:
+    """Register the five views over the gold tables: KPI snapshots, months and states."""
+    current = current_summary(kpi_history, date)
     views = {
-        "vw_dashboard_principal": dashboard(silver),
+        "vw_dashboard_principal": dashboard(current.drop(date), monthly),
         "vw_metricas_ultimos_6_meses": last_months(monthly, 6),
         "vw_top10_ufs": top_states(states, 10),
         "vw_alertas_mortalidade": mortality_alerts(states),
-        "vw_resumo_geral_atual": current_summary(history),
+        "vw_resumo_geral_atual": current,
     }
     for name, df in views.items():
         df.createOrReplaceTempView(name)

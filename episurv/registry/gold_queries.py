@@ -342,7 +342,8 @@ def w9(spark, d):
     (SELECT * FROM monthly_metrics ORDER BY ano_mes DESC LIMIT 1) m""",
 )
 def v1(spark, d):
-    return views.dashboard(silver_of(spark, d))
+    silver = silver_of(spark, d)
+    return views.dashboard(gold.kpi_rows(gold.national_kpis(silver)), gold.monthly_metrics(silver, key_is_unique=True))
 
 
 @query("v2_last_six_months", f"{SILVER}, {MONTHLY} SELECT * FROM monthly_metrics ORDER BY ano_mes DESC LIMIT 6")

@@ -292,7 +292,13 @@ def d2(spark, d):
 
 @query("v0_create_views", f"{SILVER}, {STATES} SELECT sg_uf, total_casos, taxa_mortalidade FROM state_profile WHERE taxa_mortalidade > 10")
 def v0(spark, d):
-    views.create_views(silver_of(spark, d))
+    """The views over written gold tables, so a view does not recompute them."""
+    silver = silver_of(spark, d)
+    targets = {name: scratch_path(spark, name) for name in ("kpis", "months", "states")}
+    tb.append_snapshot(gold.kpi_rows(gold.national_kpis(silver)), targets["kpis"], "2024-01-01")
+    tb.write_table(gold.monthly_metrics(silver, key_is_unique=True), targets["months"])
+    tb.write_table(gold.state_profile(silver, key_is_unique=True), targets["states"])
+    views.create_views(*[tb.read_table(spark, path) for path in targets.values()])
     return spark.sql("SELECT sg_uf, total_casos, taxa_mortalidade FROM vw_alertas_mortalidade")
 
 

@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.session.timeZone": "UTC",
+    # Column expressions are built by the thousand; recording the call site of each costs seconds.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # HotSpot compiles no method above 8000 bytes; a larger generated one would run interpreted.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

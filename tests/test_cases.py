@@ -161,7 +161,8 @@ def test_totals_agree_between_the_gold_tables(spark):
     total = silver.count()
     assert gold.monthly_metrics(silver).agg(F.sum("total_casos")).first()[0] == total
     assert gold.national_kpis(silver).first().total_casos == total
-    views.create_views(silver)
+    history = gold.kpi_rows(gold.national_kpis(silver)).withColumn("data_snapshot", F.current_date())
+    views.create_views(history, gold.monthly_metrics(silver), gold.state_profile(silver))
     assert spark.table("vw_metricas_ultimos_6_meses").count() == 6
     assert spark.table("vw_resumo_geral_atual").count() == 12
 

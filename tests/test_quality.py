@@ -73,7 +73,7 @@ def test_all_checks_have_one_schema_and_every_kind(spark):
 
 def test_fused_checks_read_the_input_once(spark):
     raw = raw_cases(spark, SF)
-    plan = q.fused_checks(raw, q.completeness_entries(raw), q.domain_entries(raw), q.date_format_entries(raw))
+    plan = q.fused_checks(q.with_dates(raw), q.completeness_entries(raw), q.domain_entries(raw), q.date_format_entries(raw))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("FileScan") == 3  # orders, customer, nation
 
