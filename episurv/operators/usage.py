@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Limits per minute and hour.
@@ -14,36 +14,53 @@ MAX_PER_MINUTE, MAX_PER_HOUR = 100, 500
 MINUTE, HOUR = 60_000_000, 3_600_000_000
 
 
-def offered_load(df: DataFrame, key: str, ts: str) -> DataFrame:
+# Requests are counted in slices this long. A slice is the unit of work, so a key or an hour that
+# holds a large share of the rows is spread over its slices.
+SLICE = MINUTE
+
+
+def _whole(c: str, size: int) -> Column:
+    """How many whole units of a size fit, rounded down, in whole-number arithmetic."""
+    return ((F.col(c) - F.pmod(F.col(c), F.lit(size))) / F.lit(size)).cast("bigint")
+
+
+def offered_load(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     """Requests of the key in the last minute and the last hour, the request itself included.
 
-    A window is open at its old end: a request exactly one minute old is out. Rows are grouped by
-    key and hour, and each row also goes to the next hour as context, so a key that holds a large
-    share of the rows is spread over its hours and no task sorts the whole key.
+    A window is open at its old end: a request exactly one minute old is out. The count of a
+    window is a difference of two running counts, at the request and one window before it. A
+    running count is the position within a slice of time plus the sizes of the slices before it.
+    So no frame of a whole window is kept or added up again, and no task sorts a whole key.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.withColumns({"_at": at, "_own": F.floor(at / HOUR)}).withColumn(
-        "_hour", F.explode(F.array(F.col("_own"), F.col("_own") + 1))
-    )
-    w = Window.partitionBy(key, "_hour").orderBy("_at")
-    return (
-        rows.withColumns(
-            {
-                "no_ultimo_minuto": F.count(F.lit(1)).over(w.rangeBetween(1 - MINUTE, 0)),
-                "na_ultima_hora": F.count(F.lit(1)).over(w.rangeBetween(1 - HOUR, 0)),
-            }
-        )
-        .filter(F.col("_hour") == F.col("_own"))
-        .drop("_hour", "_own")
+
+    def point(kind: int, back: int, weight: int) -> Column:
+        return F.struct(F.lit(kind).alias("_kind"), (at - back).alias("_point"), F.lit(weight).alias("_weight"))
+
+    points = df.select(
+        key, tie, ts, at.alias("_at"), F.inline(F.array(point(0, 0, 1), point(1, MINUTE, 0), point(2, HOUR, 0)))
+    ).withColumn("_slice", _whole("_point", SLICE))
+    within = Window.partitionBy(key, "_slice").orderBy("_point").rangeBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = points.groupBy(key, "_slice").agg(F.sum("_weight").alias("_size"))
+    offsets = sizes.select(key, "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    counted = points.withColumn("_in_slice", F.sum("_weight").over(within)).join(offsets, [key, "_slice"])
+    running = F.col("_offset") + F.col("_in_slice")
+
+    def at_point(kind: int) -> Column:
+        return F.max(F.when(F.col("_kind") == kind, running))
+
+    return counted.groupBy(key, tie, ts, "_at").agg(
+        (at_point(0) - at_point(1)).alias("no_ultimo_minuto"), (at_point(0) - at_point(2)).alias("na_ultima_hora")
     )
 
 
 def rate_usage(
-    df: DataFrame, key: str, ts: str, per_minute: int = MAX_PER_MINUTE, per_hour: int = MAX_PER_HOUR
+    df: DataFrame, key: str, ts: str, tie: str, per_minute: int = MAX_PER_MINUTE, per_hour: int = MAX_PER_HOUR
 ) -> DataFrame:
     """Load at each request and its share of the limits."""
     return (
-        offered_load(df, key, ts)
+        offered_load(df, key, ts, tie)
         .withColumns(
             {
                 "uso_minuto_pct": F.col("no_ultimo_minuto") * 100.0 / F.lit(float(per_minute)),
@@ -102,11 +119,11 @@ def rate_limit(
     run on its own, started with the hour before it. A run streams through a sorted partition with
     at most `per_hour` timestamps of state; it is never held as a whole.
     """
-    load = offered_load(df.select(key, tie, ts), key, ts).select(
-        key, tie, "_at", F.floor(F.col("_at") / HOUR).alias("_hour"),
-        ((F.col("no_ultimo_minuto") > per_minute) | (F.col("na_ultima_hora") > per_hour)).alias("_above"),
+    requests = df.select(key, tie, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at")).withColumn(
+        "_hour", _whole("_at", HOUR)
     )
-    busy = load.groupBy(key, "_hour").agg(F.max("_above").alias("_busy")).filter("_busy").drop("_busy")
+    above = (F.col("no_ultimo_minuto") > per_minute) | (F.col("na_ultima_hora") > per_hour)
+    busy = offered_load(df, key, ts, tie).filter(above).select(key, _whole("_at", HOUR).alias("_hour")).distinct()
     runs = busy.withColumn(
         "_island", F.col("_hour") - F.row_number().over(Window.partitionBy(key).orderBy("_hour"))
     )
@@ -114,7 +131,7 @@ def rate_limit(
     # only be warm-up when it is not busy itself.
     first = runs.groupBy(key, "_island").agg((F.min("_hour") - 1).alias("_hour")).withColumn("_warm_up", F.lit(True))
     parts = runs.withColumn("_warm_up", F.lit(False)).unionByName(first)
-    to_replay = load.drop("_above").join(parts, [key, "_hour"])
+    to_replay = requests.join(parts, [key, "_hour"])
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     replayed = (
         to_replay.select(key, "_island", "_at", tie, "_warm_up")
@@ -124,5 +141,5 @@ def rate_limit(
             _replay(key, tie, per_minute, per_hour), f"{key} {kinds[key]}, {tie} {kinds[tie]}, veredito string"
         )
     )
-    calm = load.join(busy, [key, "_hour"], "left_anti").select(key, tie, F.lit("permitido").alias("veredito"))
+    calm = requests.join(busy, [key, "_hour"], "left_anti").select(key, tie, F.lit("permitido").alias("veredito"))
     return replayed.unionByName(calm)

@@ -244,7 +244,7 @@ def w8(spark, d):
       h AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)""",
 )
 def st3(spark, d):
-    return usage.rate_usage(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts")
+    return usage.rate_usage(table(spark, d, "events"), "user_id", "ts", "event_id")
 
 
 LIMIT_MINUTE, LIMIT_HOUR = 1, 3

@@ -78,7 +78,7 @@ def test_calm_requests_are_not_replayed(spark):
 
 def test_usage_counts_across_the_hour(spark):
     rows = [("a", 0, 3599 * SECOND), ("a", 1, 3601 * SECOND), ("a", 2, 7199 * SECOND), ("b", 3, 3601 * SECOND)]
-    got = {r.n: (r.no_ultimo_minuto, r.na_ultima_hora) for r in usage.rate_usage(frame(spark, rows), "k", "ts").collect()}
+    got = {r.n: (r.no_ultimo_minuto, r.na_ultima_hora) for r in usage.rate_usage(frame(spark, rows), "k", "ts", "n").collect()}
     assert got == {0: (1, 1), 1: (2, 2), 2: (1, 2), 3: (1, 1)}
 
 
