@@ -61,4 +61,5 @@ def load() -> None:
         audit_queries,
         text_queries,
         io_queries,
+        function_queries,
     )

@@ -186,8 +186,7 @@ def s13(spark, d):
     return stored.select("vec_id", "semantic_type", F.size("embedding").alias("dim"), "copia", F.lit(total).cast("bigint").alias("total"))
 
 
-@query("s14_table_profile")
-def s14(spark, d):
+def _profile(spark, d):
     target = scratch_path(spark, "profile")
     name = f"episurv_profile_{target.rsplit('-', 1)[1]}"
     silver = silver_of(spark, d).select("nu_notific", "sg_uf", "ano", "mes")
@@ -196,6 +195,21 @@ def s14(spark, d):
     return tb.table_profile(spark, name)
 
 
+@query("s14_table_profile")
+def s14(spark, d):
+    return _profile(spark, d)
+
+
+@query(
+    "s14_partition_profile",
+    f"""{SILVER}, p AS (SELECT DISTINCT 'ano=' || ano || '/mes=' || mes AS nome FROM silver)
+    SELECT 'partitions' AS secao, 'count' AS nome, CAST(count(*) AS VARCHAR) AS valor FROM p
+    UNION ALL SELECT * FROM (SELECT 'partition', nome, NULL FROM p ORDER BY nome LIMIT 10)""",
+)
+def s14_partitions(spark, d):
+    return _profile(spark, d).filter(F.col("secao") != "describe")
+
+
 @query(
     "s15_run_ledger",
     f"""{SILVER} SELECT CAST(0 AS BIGINT) AS version, 'INGEST' AS operation, count(*) AS num_rows FROM raw
