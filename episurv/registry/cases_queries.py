@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from episurv.functions.codes import AGE_BANDS_COARSE, OUTCOME_LABELS, SEX_LABELS, SEX_UNKNOWN
 from episurv.functions.columns import (
-    age_years, band, flag, int_in_range, ordinal, parse_date_multi, recode, share_filled, valid_only, year_month,
+    age_years, band, int_in_range, ordinal, parse_date_multi, recode,
 )
 from episurv.operators import filters as flt
 from episurv.operators import typing as typ
 from episurv.plans.cases import raw_cases
-from episurv.plans.silver import silver_cases, silver_of, typed_cases
+from episurv.plans.silver import silver_of, typed_cases
 from episurv.registry import query
-from episurv.registry.sql import FEATURES, PASS1, PASS2, PASS3, RAW, SILVER, TYPED, bands, coarse
+from episurv.registry.sql import FEATURES, PASS1, PASS2, PASS3, RAW, SILVER, TYPED, coarse
 
 ID = ["NU_NOTIFIC", "DT_NOTIFIC"]
 RAW_DATES = ["DT_NOTIFIC", "DT_SIN_PRI", "DT_INTERNA", "DT_ENTUTI", "DT_EVOLUCA"]
@@ -35,7 +35,7 @@ def p1(spark, d):
 
 @query(
     "p2_parse_date_multi",
-    f"""{TYPED}, parsed AS (SELECT 1) SELECT r.NU_NOTIFIC, r.DT_NOTIFIC,
+    f"""{RAW} SELECT r.NU_NOTIFIC, r.DT_NOTIFIC,
     {', '.join(f"CAST(coalesce(CAST(try_strptime(r.{c}, '%d/%m/%Y') AS DATE), CAST(try_strptime(r.{c}, '%Y-%m-%d') AS DATE)) AS VARCHAR) AS {c.lower()}_data" for c in RAW_DATES)}
     FROM raw r""",
 )

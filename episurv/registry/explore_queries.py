@@ -14,9 +14,9 @@ from episurv.operators import rates as r
 from episurv.operators.typing import select_available, type_cases
 from episurv.plans import gold
 from episurv.plans.cases import raw_cases, table
-from episurv.plans.silver import silver_of, typed_cases
+from episurv.plans.silver import silver_of
 from episurv.registry import query
-from episurv.registry.gold_queries import BAND_ORDER, MONTHLY, STATES
+from episurv.registry.gold_queries import BAND_ORDER, MONTHLY
 from episurv.registry.sql import MORTALITY, RAW, SILVER, TYPED, coarse, n_if, rate
 
 @query(

@@ -88,14 +88,14 @@ def x7(spark, d):
 
 @query(
     "x8_math_functions",
-    """SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice / nullif(l_quantity, 0), 6) AS unitario, round(sqrt(l_extendedprice), 6) AS raiz,
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / nullif(l_quantity, 0) AS unitario, sqrt(l_extendedprice) AS raiz,
     greatest(0.02, least(0.08, l_discount)) AS limitado FROM lineitem""",
 )
 def x8(spark, d):
     return table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey",
-        F.round(F.try_divide("l_extendedprice", F.nullif("l_quantity", F.lit(0.0))), 6).alias("unitario"),
-        F.round(F.sqrt("l_extendedprice"), 6).alias("raiz"),
+        F.try_divide("l_extendedprice", F.nullif("l_quantity", F.lit(0.0))).alias("unitario"),
+        F.sqrt("l_extendedprice").alias("raiz"),
         F.greatest(F.lit(0.02), F.least(F.lit(0.08), F.col("l_discount"))).alias("limitado"),
     )
 

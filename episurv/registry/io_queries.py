@@ -11,7 +11,7 @@ from episurv.plans.audit_log import as_audit_log, audit_log
 from episurv.plans.cases import raw_cases, table
 from episurv.plans.silver import silver_of
 from episurv.registry import query
-from episurv.registry.audit_queries import LIMIT_HOUR, LIMIT_MINUTE, LOG, OUT, _json_counts
+from episurv.registry.audit_queries import LIMIT_HOUR, LIMIT_MINUTE, LOG, OUT
 from episurv.registry.cases_queries import FEATURE_OUT
 from episurv.registry.gold_queries import KPI_LONG, KPIS, MONTHLY, STATES
 from episurv.registry.quality_queries import ALL, CHECK_COLS

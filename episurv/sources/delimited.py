@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,8 +89,6 @@ def dry_run(
             row = spark.range(1).select(F.lit(0).cast("bigint").alias("linhas"))
             columns, error = F.lit(0), F.lit(e.getCondition() or type(e).__name__)
         parts.append(row.select(F.lit(year).alias("ano"), "linhas", columns.alias("colunas"), error.alias("erro")))
-    from pyspark.sql import Window
-
     everything = Window.partitionBy()
     return reduce(DataFrame.unionByName, parts).withColumns(
         {"total_linhas": F.sum("linhas").over(everything), "ok": F.col("erro").isNull()}
