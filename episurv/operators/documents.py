@@ -251,4 +251,3 @@ def context_with_citations(
     return _within_budget(parts, query, rank).groupBy(query).agg(
         _joined(fits, rank).alias("contexto"), F.map_from_entries(entries).alias("citacoes")
     )
-

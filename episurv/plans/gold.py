@@ -34,7 +34,9 @@ def _with_distinct_ids(measures: DataFrame, silver: DataFrame, keys: list[str],
         return measures.withColumnRenamed("_ids", "casos_unicos")
     ids = silver.groupBy(*keys).agg(F.count_distinct(key).alias("casos_unicos"))
     same = [measures[k].eqNullSafe(ids[k]) for k in keys]
-    return measures.join(ids, same).select(*[measures[c] for c in measures.columns if c != "_ids"], ids["casos_unicos"])
+    return measures.join(ids, same).select(
+        *[ids["casos_unicos"] if c == "_ids" else measures[c] for c in measures.columns]
+    )
 
 
 def monthly_metrics(silver: DataFrame, key: str = "nu_notific", key_is_unique: bool = False) -> DataFrame:
