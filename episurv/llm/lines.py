@@ -95,7 +95,8 @@ def repeated_runs(docs: DataFrame, lines: int = LINES, window: int = WINDOW) ->
         ),
         "line-fingerprints",
     )
-    repeated = found.groupBy("_fp").count().filter("count > 1").select("_fp")
+    # Stored sides of a join stand behind an exchange of their own, so that hot keys of the other side can be split.
+    repeated = stored(found.groupBy("_fp").count().filter("count > 1").select("_fp"), "line-repeated")
     runs = (
         found.join(repeated, "_fp", "left_semi")
         .select("_id", "_k", "_h", F.explode("_runs").alias("_run"))
@@ -105,7 +106,8 @@ def repeated_runs(docs: DataFrame, lines: int = LINES, window: int = WINDOW) ->
             F.col("_run.b").alias("_b"),
         )
     )
-    first = runs.groupBy("_a", "_b").agg(F.min("_place").alias("_first"), F.max("_place").alias("_last")).filter("_first < _last")
+    ends = runs.groupBy("_a", "_b").agg(F.min("_place").alias("_first"), F.max("_place").alias("_last"))
+    first = stored(ends.filter("_first < _last").drop("_last"), "line-first")
     later = runs.join(first, ["_a", "_b"]).filter("_place > _first")
     return later.groupBy(F.col("_place._k").alias("_k"), F.col("_place._h").alias("_h")).agg(
         F.sort_array(F.collect_set("_place.at")).alias("_at")
