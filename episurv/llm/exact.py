@@ -169,10 +169,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     order = F.struct((-F.col("_chars")).alias("chars"), F.col("_id").isNull().alias("none"), "_id", "_row")
     stays = (
-        digests.join(verified, "_sha", "left_semi")
+        digests.join(stored(verified, "exact-verified"), "_sha", "left_semi")
         .groupBy("_sha")
         .agg(F.min(order).alias("_best"), F.count("*").alias("_size"))
     )
+    # Stored, it stands behind an exchange of its own, so that hot keys of the other side can be split.
+    stays = stored(stays, "exact-stays")
     return digests.join(stays, "_sha", "left").select(
         F.col("_id").alias(id_col),
         F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_best._id")).alias("keep_id"),
