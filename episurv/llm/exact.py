@@ -168,11 +168,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select(F.sha2("_norm", 256).alias("_sha"))
     )
     order = F.struct((-F.col("_chars")).alias("chars"), F.col("_id").isNull().alias("none"), "_id", "_row")
-    stays = (
-        digests.join(stored(verified, "exact-verified"), "_sha", "left_semi")
-        .groupBy("_sha")
-        .agg(F.min(order).alias("_best"), F.count("*").alias("_size"))
-    )
+    # Grouped before the join: a group's rows of one task are one row when they move.
+    groups = digests.groupBy("_sha").agg(F.min(order).alias("_best"), F.count("*").alias("_size")).filter("_size > 1")
+    stays = groups.join(stored(verified, "exact-verified"), "_sha", "left_semi")
     # Stored, it stands behind an exchange of its own, so that hot keys of the other side can be split.
     stays = stored(stays, "exact-stays")
     return digests.join(stays, "_sha", "left").select(
