@@ -174,7 +174,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(rows: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """(_k, _h, _at): per document the places of windows whose words also start elsewhere."""
     first = rows.mapInArrow(lambda b: _first_level(b, window), "_k long, _h long, _at int, _hash long")
-    repeated = first.groupBy("_hash").count().filter("count > 1")
+    # Stored, it stands behind an exchange of its own, so that hot keys of the other side can be split.
+    repeated = stored(first.groupBy("_hash").count().filter("count > 1"), "substring-repeated")
     salts = F.ceil(F.col("count") / hot).cast("int")
     found = stored(
         first.join(repeated, "_hash")
