@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from episurv.llm.common import KEY, WordHashes, keyed, mixed, slices, stored, text_bytes, window_minima
 
 WINDOW = 35
+#: Bytes of text hashed at once; arrays take some fifty bytes for each.
+SLICE = 1 << 20
 #: Occurrences of an inner window above which its group is split.
 HOT = 20_000
 
@@ -46,7 +48,7 @@ class _Shard:
 def _first_level(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     hashes, (quarter, _) = WordHashes(), _halves(window)
     for batch in batches:
-        for part in slices(batch, "_text"):
+        for part in slices(batch, "_text", SLICE):
             shard = _Shard(hashes, text_bytes(part.column("_text")), window)
             values, chosen = shard.inner(hashes, quarter, window)
             at = np.unique(chosen[shard.fits])
@@ -68,7 +70,7 @@ def _extend(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
     """Whole windows around surviving inner ones, those with the same inner windows in one row."""
     hashes, (quarter, half) = WordHashes(), _halves(window)
     for batch in batches:
-        for part in slices(batch, "_text"):
+        for part in slices(batch, "_text", SLICE):
             shard = _Shard(hashes, text_bytes(part.column("_text")), window)
             salts = np.zeros(len(shard.words) + 1, np.int32)  # of surviving inner windows, by place
             found = part.column("_found")
@@ -213,7 +215,7 @@ def dedup_substrings(
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SLICE):
                 totals, gone, kept = [], [], []
                 for text, at in zip(text_bytes(part.column("_text")), part.column("_at")):
                     words = text.split()
