@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 UNKNOWN = "und"
 DIMENSIONS = 512
 #: Labelled documents that a language is learnt from: those with the smallest hashes of their ids.
-TRAIN_ROWS = 2000
+TRAIN_ROWS = 1000
 #: Trigram vectors a task keeps; all are derived again when more come up.
 KEPT_TRIGRAMS = 1 << 15
 
@@ -96,7 +96,7 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str | None]:
 def prototypes(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
     """A unit vector for each language, from at most `rows` documents of each (more where hashes tie).
 
-    What reaches the driver is one vector a language.
+    What reaches the driver is one number and one vector a language; texts do not move.
     """
     known = labelled.filter(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"), F.xxhash64(id_col).alias("_rank")
@@ -109,7 +109,11 @@ def prototypes(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, r
         .groupBy("_lang")
         .agg(F.max("_rank").alias("_last"))
     )
-    sample = known.join(limits, "_lang").filter("_rank <= _last").select("_lang", "_text")
+    last = {r["_lang"]: r["_last"] for r in limits.collect()}  # a number for each language
+    if not last:
+        return {}
+    within = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+    sample = known.filter(F.col("_rank") <= within[F.col("_lang")]).select("_lang", "_text")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, sums = Profiles(), {}
