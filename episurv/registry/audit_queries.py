@@ -247,26 +247,26 @@ def st3(spark, d):
     return usage.rate_usage(table(spark, d, "events"), "user_id", "ts", "event_id")
 
 
-LIMIT_MINUTE, LIMIT_HOUR = 1, 3
+LIMIT_MINUTE, LIMIT_HOUR = 1, 1
 
 
 @query(
     "st2_rate_limit",
     f"""WITH RECURSIVE numbered AS (
-      SELECT event_type, event_id, epoch_us(ts) AS t_us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+      SELECT user_id, event_id, epoch_us(ts) AS t_us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
     replay AS (
-      SELECT event_type, event_id, rn, [t_us] AS admitted, 'permitido' AS veredito FROM numbered WHERE rn = 1
+      SELECT user_id, event_id, rn, [t_us] AS admitted, 'permitido' AS veredito FROM numbered WHERE rn = 1
       UNION ALL
-      SELECT event_type, event_id, rn, CASE WHEN v = 'permitido' THEN list_append(recent, t_us) ELSE recent END, v FROM (
+      SELECT user_id, event_id, rn, CASE WHEN v = 'permitido' THEN list_append(recent, t_us) ELSE recent END, v FROM (
         SELECT *, CASE WHEN len(list_filter(recent, lambda x: x > t_us - 60000000)) >= {LIMIT_MINUTE} THEN 'negado_minuto'
           WHEN len(recent) >= {LIMIT_HOUR} THEN 'negado_hora' ELSE 'permitido' END AS v
-        FROM (SELECT n.event_type, n.event_id, n.rn, n.t_us, list_filter(r.admitted, lambda x: x > n.t_us - 3600000000) AS recent
-          FROM replay r JOIN numbered n ON n.event_type = r.event_type AND n.rn = r.rn + 1)))
-    SELECT event_type, event_id, veredito FROM replay""",
+        FROM (SELECT n.user_id, n.event_id, n.rn, n.t_us, list_filter(r.admitted, lambda x: x > n.t_us - 3600000000) AS recent
+          FROM replay r JOIN numbered n ON n.user_id = r.user_id AND n.rn = r.rn + 1)))
+    SELECT user_id, event_id, veredito FROM replay""",
 )
 def st2(spark, d):
     return usage.rate_limit(
-        table(spark, d, "events"), "event_type", "ts", "event_id", per_minute=LIMIT_MINUTE, per_hour=LIMIT_HOUR
+        table(spark, d, "events"), "user_id", "ts", "event_id", per_minute=LIMIT_MINUTE, per_hour=LIMIT_HOUR
     )
 
 

@@ -9,7 +9,7 @@ from episurv.operators.quality import CHECK_SCHEMA, all_checks, check_log
 from episurv.plans import gold, views
 from episurv.plans.audit_log import as_audit_log, audit_log
 from episurv.plans.cases import raw_cases, table
-from episurv.plans.silver import silver_of
+from episurv.plans.silver import silver_of, written_silver
 from episurv.registry import query
 from episurv.registry.audit_queries import LIMIT_HOUR, LIMIT_MINUTE, LOG, OUT
 from episurv.registry.cases_queries import FEATURE_OUT
@@ -307,7 +307,7 @@ def d2(spark, d):
 @query("v0_create_views", f"{SILVER}, {STATES} SELECT sg_uf, total_casos, taxa_mortalidade FROM state_profile WHERE taxa_mortalidade > 10")
 def v0(spark, d):
     """The views over written gold tables, so a view does not recompute them."""
-    silver = silver_of(spark, d)
+    silver = written_silver(spark, d)
     targets = {name: scratch_path(spark, name) for name in ("kpis", "months", "states")}
     tb.append_snapshot(gold.kpi_rows(gold.national_kpis(silver)), targets["kpis"], "2024-01-01")
     tb.write_table(gold.monthly_metrics(silver, key_is_unique=True), targets["months"])
@@ -334,17 +334,32 @@ def st1(spark, d):
     return index_sync.current_index(spark, target).select("doc_id", "source", F.md5("text").alias("conteudo"), "versao")
 
 
-def _event_stream(spark, d):
-    events = table(spark, d, "events")
-    return file_stream(spark, d, events.schema, glob="events.parquet")
+def _event_stream(spark, d, clock=False):
+    """The events in several files, the newest first, at most four files a micro-batch.
+
+    `clock` adds a last row of no user, late enough for a watermark to pass all others.
+    """
+    events, path = table(spark, d, "events"), scratch_path(spark, "event-files")
+    newest = events.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("t")).first()["t"] or 0
+    weeks = F.least(F.lit(3), ((F.lit(newest) - F.unix_micros(F.col("ts").cast("timestamp"))) / (8 * 86_400_000_000)).cast("int"))
+    for week in range(4):
+        events.filter(F.coalesce(weeks, F.lit(3)) == week).write.mode("append").parquet(path)
+    if clock:
+        tick = events.limit(1).withColumns(
+            {"event_id": F.lit(-1).cast("bigint"), "user_id": F.lit(-1).cast(events.schema["user_id"].dataType),
+             "ts": F.timestamp_micros(F.lit(newest + 90 * 86_400_000_000)).cast("timestamp_ntz")}
+        )
+        tick.write.mode("append").parquet(path)
+    return file_stream(spark, path, events.schema, max_files=4)
 
 
 @query("st2_rate_limit_stream", ORACLES["st2_rate_limit"])
 def st2_stream(spark, d):
     target = scratch_path(spark, "verdicts")
-    stream = rate_limit_stream(_event_stream(spark, d), "event_type", "ts", "event_id", LIMIT_MINUTE, LIMIT_HOUR)
-    run_available(stream, target, scratch_path(spark, "state"))
-    return spark.read.parquet(target).select("event_type", "event_id", "veredito")
+    requests = _event_stream(spark, d, clock=True)
+    stream = rate_limit_stream(requests, "user_id", "ts", "event_id", LIMIT_MINUTE, LIMIT_HOUR, delay="60 days")
+    run_available(stream, target, scratch_path(spark, "state"), allow_late=False)
+    return spark.read.parquet(target).filter("event_id >= 0").select("user_id", "event_id", "veredito")
 
 
 @query("st4_append_events", f"{LOG} SELECT {OUT}, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date FROM log")

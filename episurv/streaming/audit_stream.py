@@ -1,4 +1,4 @@
-"""Audit events as a stream: one set of daily partial counts serves all summaries."""
+"""Audit events as a stream: every micro-batch leaves its own counts, and counts of all batches add up."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episurv.operators.audit import ERRORS, per_type_measures, summarise_sessions
-from episurv.streaming.batches import latest, run_available
+from episurv.streaming.batches import BATCH, run_available
 
 KEYS = ["date", "session_id", "event_type", "status"]
 
@@ -26,29 +26,21 @@ def append_events(log: DataFrame, target: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def daily_partials(log: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Counts and times per day, session, type and status.
-
-    A day's state is dropped once the watermark has passed its end; events later than that are
-    not counted any more.
-    """
-    stamped = log.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", delay)
-    day = F.window("timestamp", "1 day")
-    return (
-        stamped.groupBy(day.alias("_day"), "session_id", "event_type", "status")
-        .agg(*per_type_measures())
-        .withColumn("date", F.to_date(F.col("_day.start")))
-        .drop("_day")
-    )
+def daily_partials(log: DataFrame) -> DataFrame:
+    """Counts and times per day, session, type and status of the events at hand."""
+    stamped = log.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    return stamped.withColumn("date", F.to_date("timestamp")).groupBy(*KEYS).agg(*per_type_measures())
 
 
-def run_partials(log: DataFrame, target: str, checkpoint: str, delay: str = "1 hour") -> None:
-    """Write the counts each batch changed; a reader takes the newest of each key."""
-    run_available(daily_partials(log, delay), target, checkpoint, mode="update")
+def run_partials(log: DataFrame, target: str, checkpoint: str) -> None:
+    """One folder of counts for each micro-batch. There is no state and no watermark, so events may come in any order
+    and as late as they like; a batch that is run again replaces its folder."""
+    run_available(log, target, checkpoint, of_batch=daily_partials)
 
 
 def current_partials(spark: SparkSession, target: str) -> DataFrame:
-    return latest(spark, target, KEYS)
+    """The counts of all batches; a key may have several rows, which its readers add up."""
+    return spark.read.parquet(target).drop(BATCH)
 
 
 def session_summary(partials: DataFrame) -> DataFrame:

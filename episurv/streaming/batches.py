@@ -30,16 +30,32 @@ def write_batch(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process what is there now, batch by batch, and stop."""
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the engine dropped because the watermark had passed them, over the progress it remembers."""
+    operators = (op for progress in query.recentProgress for op in progress["stateOperators"])
+    return sum(op["numRowsDroppedByWatermark"] for op in operators)
+
+
+def run_available(
+    df: DataFrame,
+    path: str,
+    checkpoint: str,
+    mode: str = "append",
+    of_batch: Callable[[DataFrame], DataFrame] | None = None,
+    allow_late: bool = True,
+) -> StreamingQuery:
+    """Process what is there now, batch by batch, and stop. `of_batch` is applied to each batch before it is written."""
+    write = write_batch(path)
     query = (
         df.writeStream.outputMode(mode)
-        .foreachBatch(write_batch(path))
+        .foreachBatch(write if of_batch is None else lambda batch, batch_id: write(of_batch(batch), batch_id))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+    if not allow_late and (late := late_rows(query)):
+        raise ValueError(f"{late} rows came later than the watermark allows; run them again with a longer delay")
     return query
 
 

@@ -1,4 +1,4 @@
-"""The request limiter over a stream: one state per key, at most an hour of admitted requests."""
+"""The request limiter over a stream: requests wait until the watermark has passed them, then are judged in time order."""
 
 from __future__ import annotations
 
@@ -9,33 +9,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from episurv.operators.usage import MAX_PER_HOUR, MAX_PER_MINUTE, SlidingLimiter
-
-STATE = "minute array<bigint>, hour array<bigint>"
+from episurv.operators.usage import HOUR, MAX_PER_HOUR, MAX_PER_MINUTE, SlidingLimiter
 
 
 def rate_limit_stream(
-    requests: DataFrame, key: str, ts: str, tie: str, per_minute: int = MAX_PER_MINUTE, per_hour: int = MAX_PER_HOUR
+    requests: DataFrame,
+    key: str,
+    ts: str,
+    tie: str,
+    per_minute: int = MAX_PER_MINUTE,
+    per_hour: int = MAX_PER_HOUR,
+    delay: str = "1 hour",
 ) -> DataFrame:
-    """Verdicts as requests arrive. Requests of a key must not arrive before older batches of it.
+    """Verdicts of requests that may come out of order by up to `delay`.
 
-    A micro-batch of a key is sorted in memory; the trigger's file limit bounds it.
+    State per key: the requests the watermark has not passed, and at most an hour of admitted ones. It goes after an
+    hour of silence. Requests older than the watermark are dropped by the engine; run the stream with
+    `run_available(..., allow_late=False)`, which raises on them, so none is judged wrongly or lost in silence. The last
+    requests are judged when later ones (of any key, a clock row will do) move the watermark past them.
     """
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
+    state_schema = f"minute array<bigint>, hour array<bigint>, waiting array<struct<at:bigint,tie:{kinds[tie]}>>"
 
     def judge(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        minute, hour = state.get if state.exists else ([], [])
+        minute, hour, kept = state.get if state.exists else ([], [], [])
+        waiting = [(r[0], r[1]) for r in kept]
+        for rows in batches:
+            waiting.extend(zip(rows["_at"].tolist(), rows[tie].tolist()))
+        waiting.sort()
+        passed = state.getCurrentWatermarkMs()
+        ready = next((i for i, (at, _) in enumerate(waiting) if at > passed * 1000), len(waiting))
         limiter = SlidingLimiter(per_minute, per_hour, minute, hour)
-        rows = pd.concat(list(batches)).sort_values(["_at", tie])
-        verdicts = [limiter.verdict(int(at)) for at in rows["_at"]]
+        verdicts = [limiter.verdict(at) for at, _ in waiting[:ready]]
         (_, _, minute_now), (_, _, hour_now) = limiter.limits
-        state.update(([int(x) for x in minute_now], [int(x) for x in hour_now]))
-        yield pd.DataFrame({key: rows[key], tie: rows[tie], "veredito": verdicts})
+        rest = waiting[ready:]
+        live = [at for at in hour_now if at > passed * 1000 - HOUR]
+        if rest or live:
+            state.update((list(minute_now), live, rest))
+            wake = rest[0][0] // 1000 + 1 if rest else live[-1] // 1000 + HOUR // 1000 + 1
+            state.setTimeoutTimestamp(max(wake, passed + 1))
+        elif state.exists:
+            state.remove()
+        if ready:
+            yield pd.DataFrame({key: [group[0]] * ready, tie: [t for _, t in waiting[:ready]], "veredito": verdicts})
 
+    stamped = requests.select(key, tie, F.col(ts).cast("timestamp").alias("_ts")).withWatermark("_ts", delay)
     return (
-        requests.select(key, tie, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"))
+        stamped.withColumn("_at", F.unix_micros("_ts"))
         .groupBy(key)
         .applyInPandasWithState(
-            judge, f"{key} {kinds[key]}, {tie} {kinds[tie]}, veredito string", STATE, "append", GroupStateTimeout.NoTimeout
+            judge,
+            f"{key} {kinds[key]}, {tie} {kinds[tie]}, veredito string",
+            state_schema,
+            "append",
+            GroupStateTimeout.EventTimeTimeout,
         )
     )

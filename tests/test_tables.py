@@ -135,27 +135,47 @@ def test_index_sync_is_incremental_and_repeatable(spark, scratch):
     assert {r.doc_id: r.text for r in index_sync.current_index(spark, f"{scratch}/compact").collect()} == now
 
 
-def test_stream_limiter_equals_batch_over_several_batches(spark, scratch):
+def weekly_files(events, source, order):
+    """The events of each week as a file, written in the given order."""
+    week = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7)
+    for n in order:
+        events.filter(week == n).coalesce(1).write.mode("append").parquet(source)
+
+
+def clock_row(events, source):
+    later = F.lit("2024-06-01").cast("timestamp_ntz")
+    events.limit(1).withColumns({"event_id": F.lit(-1).cast("bigint"), "event_type": F.lit("clock"), "ts": later}).write.mode("append").parquet(source)
+
+
+@pytest.mark.parametrize("order,delay", [((0, 1, 2, 3, 4), "1 day"), ((4, 3, 2, 1, 0), "40 days"), ((1, 0, 3, 2, 4), "15 days")])
+def test_stream_limiter_equals_batch_over_several_batches(spark, scratch, order, delay):
     events = table(spark, SF, "events")
     source, target = f"{scratch}/src", f"{scratch}/out"
-    for day in range(0, 31, 8):
-        low, high = f"2024-01-{day + 1:02d}", f"2024-01-{min(day + 9, 32):02d}" if day + 9 <= 31 else "2024-02-28"
-        part = events.filter((F.col("ts") >= F.lit(low).cast("timestamp_ntz")) & (F.col("ts") < F.lit(high).cast("timestamp_ntz")))
-        part.coalesce(1).write.mode("append").parquet(source)
-        run_available(rate_limit_stream(file_stream(spark, source, events.schema), "event_type", "ts", "event_id", 1, 2), target, f"{scratch}/cp")
-    streamed = {r.event_id: r.veredito for r in spark.read.parquet(target).collect()}
+    weekly_files(events, source, order)
+    clock_row(events, source)
+    stream = rate_limit_stream(file_stream(spark, source, events.schema, max_files=1), "event_type", "ts", "event_id", 1, 2, delay)
+    run_available(stream, target, f"{scratch}/cp", allow_late=False)
+    streamed = {r.event_id: r.veredito for r in spark.read.parquet(target).collect() if r.event_id >= 0}
     batch = {r.event_id: r.veredito for r in usage.rate_limit(events, "event_type", "ts", "event_id", 1, 2).collect()}
     assert streamed == batch and "negado_hora" in batch.values()
 
 
-def test_stream_summaries_equal_batch(spark, scratch):
-    events = table(spark, SF, "events").orderBy("ts")
-    source = f"{scratch}/src"
-    for i, (low, high) in enumerate([("2024-01-01", "2024-01-10"), ("2024-01-10", "2024-02-10")]):
-        part = events.filter((F.col("ts") >= F.lit(low).cast("timestamp_ntz")) & (F.col("ts") < F.lit(high).cast("timestamp_ntz")))
-        part.coalesce(1).write.mode("append").parquet(source)
-        audit_stream.run_partials(as_audit_log(file_stream(spark, source, events.schema)), f"{scratch}/p", f"{scratch}/cp")
+def test_requests_later_than_the_delay_are_reported(spark, scratch):
+    events = table(spark, SF, "events")
+    weekly_files(events, f"{scratch}/src", (4, 3, 2, 1, 0))
+    stream = rate_limit_stream(file_stream(spark, f"{scratch}/src", events.schema, max_files=1), "event_type", "ts", "event_id", 1, 2, "1 hour")
+    with pytest.raises(ValueError, match="later than the watermark"):
+        run_available(stream, f"{scratch}/out", f"{scratch}/cp", allow_late=False)
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3, 4), (4, 3, 2, 1, 0)])
+def test_stream_summaries_equal_batch(spark, scratch, order):
+    events = table(spark, SF, "events")
+    weekly_files(events, f"{scratch}/src", order)
+    log = as_audit_log(file_stream(spark, f"{scratch}/src", events.schema, max_files=1))
+    audit_stream.run_partials(log, f"{scratch}/p", f"{scratch}/cp")
     partials = audit_stream.current_partials(spark, f"{scratch}/p")
+    assert partials.agg(F.sum("_n")).first()[0] == events.count()
     got = audit_stream.session_summary(partials).withColumn("start_time", F.col("start_time").cast("string")).drop("end_time")
     want = audit.session_summary(audit_log(spark, SF)).withColumn("start_time", F.col("start_time").cast("string")).drop("end_time")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
