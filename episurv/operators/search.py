@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,9 +24,8 @@ STATE_FACTOR, MONTH_FACTOR = 1.15, 1.1
 
 # Scores are compared at this precision, so copies of one vector tie and go by id.
 SCORE_DIGITS = 10
-# At most this many query vectors travel with the tasks; more go through the block join.
-MAX_CARRIED_QUERIES = 1024
-BLOCK_ROWS = 20_000
+# Bytes of query vectors that travel with the tasks of one scan.
+CARRIED_BYTES = 16 << 20
 
 
 def _unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,33 +104,9 @@ def _scan(query_ids: list, queries: np.ndarray, k: int, schema: pa.Schema):
     return run
 
 
-def _block_join(queries: DataFrame, corpus: DataFrame, k: int, schema: str) -> DataFrame:
-    """Block join for many queries: each cell of a grid holds a bounded slice of either side.
-
-    A cell gives k rows per query, never its pairs. The grid is sized by the row counts.
-    """
-    n_corpus = max(1, math.ceil(corpus.count() / BLOCK_ROWS))
-    n_queries = max(1, math.ceil(queries.count() / BLOCK_ROWS))
-
-    def spread(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.withColumns(
-            {
-                own: F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int"),
-                other: F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))),
-            }
-        )
-
-    def cell(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return _Best(np.empty((0, 1)), k).rows([])
-        units, good = _unit(np.stack(q["vector"].to_numpy()).astype(np.float64))
-        best = _Best(units, k)
-        best.add(_ids(c["id"].to_numpy()), np.stack(c["vector"].to_numpy()).astype(np.float64))
-        return best.rows(q["query_id"].to_numpy()[good])
-
-    left = spread(queries, "query_id", "_q", n_queries, "_c", n_corpus)
-    right = spread(corpus, "id", "_c", n_corpus, "_q", n_queries)
-    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(cell, schema)
+def _chunks(rows: Iterator, size: int) -> Iterator[list]:
+    while chunk := list(islice(rows, size)):
+        yield chunk
 
 
 def knn(
@@ -143,33 +118,32 @@ def knn(
     doc_id: str = "doc_id",
     vector: str = "embedding",
     filters: Mapping[str, str] | None = None,
-    max_carried: int = MAX_CARRIED_QUERIES,
+    dim: int | None = None,
+    max_carried: int | None = None,
 ) -> DataFrame:
     """The k most similar documents of each query: query_id, id, score, rank.
 
-    Up to `max_carried` query vectors travel with the scan tasks; each task reads its part of the
-    corpus once and returns its k best per query, so the shuffle holds k rows per query and task.
-    More queries than that go through a block join. Both are exact. Zero and missing vectors, and
-    vectors of another length, are no candidates.
+    `dim` is the length of the vectors, by default that of the longest one in the corpus (a small job). Queries and
+    documents are treated alike: zero and missing vectors, and those of another length, take no part. Query
+    vectors travel with the scan tasks in chunks of at most CARRIED_BYTES (or `max_carried` rows); the driver
+    holds one chunk at a time while it builds the plan. For each chunk a task reads its part of the corpus once and
+    returns its k best per query, so the shuffle holds k rows per query and task. The result is exact for any number.
     """
     kept = equality_filters(corpus, filters) if filters else corpus
     query_type, id_type = _key_type(queries, query_id), _key_type(corpus, doc_id)
     schema, arrow = _found_schema(query_type, id_type)
+    if dim is None:
+        dim = corpus.agg(F.max(F.size(vector)).alias("n")).first()["n"] or 0
     q = queries.select(F.col(query_id).cast(query_type).alias("query_id"), F.col(query_vector).cast("array<double>").alias("vector"))
-    head = q.filter(F.col("vector").isNotNull()).limit(max_carried + 1).collect()
-    if not head:
-        empty = q.select("query_id", F.lit(None).cast(id_type).alias("id"), F.lit(0.0).alias("score"))
-        return empty.limit(0).withColumn("rank", F.lit(0))
-    dim = len(head[0].vector)
     c = kept.filter(F.size(F.coalesce(F.col(vector), F.array().cast("array<float>"))) == dim).select(
         F.col(doc_id).cast(id_type).alias("id"), F.col(vector).alias("vector")
     )
-    if len(head) <= max_carried:
-        units, good = _unit(np.array([r.vector for r in head], dtype=np.float64))
-        ids = [r.query_id for r, ok in zip(head, good) if ok]
-        found = c.mapInArrow(_scan(ids, units, k, arrow), schema)
-    else:
-        found = _block_join(q.filter(F.size("vector") == dim), c, k, schema)
+    size = max_carried or max(1, CARRIED_BYTES // (8 * max(1, dim)))
+    found = q.select("query_id", F.lit(None).cast(id_type).alias("id"), F.lit(0.0).alias("score")).limit(0)
+    for chunk in _chunks(q.filter(F.size("vector") == dim).toLocalIterator(), size):
+        units, good = _unit(np.array([r.vector for r in chunk], dtype=np.float64).reshape(len(chunk), dim))
+        ids = [r.query_id for r, ok in zip(chunk, good) if ok]
+        found = found.unionByName(c.mapInArrow(_scan(ids, units, k, arrow), schema))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -194,8 +168,11 @@ def hybrid(
     vector: str = "embedding",
     max_pool: int = MAX_POOL,
 ) -> DataFrame:
-    """A larger pool re-ranked by source, year, and the state and month named in the question."""
-    pool = knn(queries, corpus, min(2 * k, max_pool), doc_id=doc_id, vector=vector).drop("rank")
+    """A larger pool re-ranked by source, year, and the state and month named in the question.
+
+    The pool holds twice the wanted rows, at most `max_pool`, and never fewer than wanted.
+    """
+    pool = knn(queries, corpus, max(k, min(2 * k, max_pool)), doc_id=doc_id, vector=vector).drop("rank")
     asked = queries.select("query_id", F.lower(text).alias("_asked"))
     meta = corpus.select(F.col(doc_id).alias("id"), "source_table", "ano_mes", F.lower("uf").alias("_uf"))
     month = F.coalesce(F.col("ano_mes"), F.lit(""))

@@ -89,3 +89,17 @@ def test_context_stops_at_the_first_overflow(spark):
     cited = {r.query_id: r for r in docs.context_with_citations(df, "query_id", max_length=300).collect()}
     assert list(cited[1].citacoes) == ["[1]", "[2]"] and cited[1].contexto == "[1] " + "a" * 50 + "\n\n"
     assert '"source_table":"N/A"' in cited[2].citacoes["[1]"]
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_queries_of_other_lengths_take_no_part(spark, copies):
+    queries = [[1.0, 0.0], [1.0, 2.0, 3.0], [0.0, 0.0], [0.0, 1.0]] * copies
+    got = found(search.knn(queries_of(spark, queries), corpus_of(spark, [[1, 0], [0, 1], [1, 1]]), 1, max_carried=5))
+    assert got == {i: [int(q[1])] for i, q in enumerate(queries) if len(q) == 2 and any(q)}
+
+
+def test_hybrid_gives_all_rows_wanted(spark):
+    asked = queries_of(spark, [[1, 0]]).withColumn("text", F.lit("x"))
+    docs = [[1, i] for i in range(40)]
+    df = corpus_of(spark, docs).withColumns({c: F.lit("") for c in ("source_table", "ano_mes", "uf")})
+    assert len(found(search.hybrid(asked, df, 25))[0]) == 25
