@@ -95,7 +95,8 @@ def filter_funnel(
         passed = passed & F.coalesce(condition, F.lit(False))
         aggs.append(F.count_if(passed).alias(f"n{i}"))
     last = len(steps) + 1
-    aggs.append(F.count_distinct(F.when(passed, F.col(key))).alias(f"n{last}"))
+    # A distinct count moves every key: it is a narrow aggregate of its own, and the counters stay where they are.
+    keys = df.filter(passed).agg(F.count_distinct(key).alias(f"n{last}")).withColumn("_one", F.lit(True))
     names = [name for name, _ in steps] + ["duplicatas"]
     rows = F.array(
         *[
@@ -112,6 +113,8 @@ def filter_funnel(
     total_loss = F.try_divide((F.col("n0") - F.col(f"n{last}")).cast("double"), F.col("n0").cast("double")) * 100.0
     return (
         df.agg(*aggs)
+        .withColumn("_one", F.lit(True))
+        .join(keys, "_one")
         .select("n0", f"n{last}", F.inline(rows))
         .select(
             "ordem",

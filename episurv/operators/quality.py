@@ -365,10 +365,12 @@ def load_gates(
     key: str = "nu_notific",
     required: Sequence[str] = ("nu_notific", "dt_sin_pri", "dt_notific", "ano", "mes"),
     max_loss_pct: float = MAX_LOAD_LOSS_PCT,
+    partitions: Sequence[str] = ("ano", "mes"),
 ) -> DataFrame:
-    """One report row per gate: loss, unique key, required columns, date order."""
+    """One report row per gate: loss, unique key, required columns, date order, number of partitions."""
     before = raw.agg(rows().alias("_raw")).withColumn("_one", F.lit(True))
     distinct = silver.select(key).agg(distinct_values(key).alias("_keys")).withColumn("_one", F.lit(True))
+    parts = silver.select(*partitions).distinct().agg(rows().alias("_parts")).withColumn("_one", F.lit(True))
     after = silver.agg(
         rows().alias("_rows"),
         *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in required],
@@ -386,8 +388,9 @@ def load_gates(
         gate("chaves_repetidas", F.col("_rows") - F.col("_keys"), F.col("_rows") == F.col("_keys")),
         *[gate(f"nulos_{c}", F.col(f"_null_{c}"), F.col(f"_null_{c}") == 0) for c in required],
         gate("datas_invertidas", F.col("_inverted"), F.col("_inverted") == 0),
+        gate("particoes", F.col("_parts"), F.col("_parts") > 0),
     ]
-    return after.join(before, "_one").join(distinct, "_one").select(F.inline(F.array(*gates)))
+    return after.join(before, "_one").join(distinct, "_one").join(parts, "_one").select(F.inline(F.array(*gates)))
 
 
 def require_gates(report: DataFrame) -> None:

@@ -9,7 +9,7 @@ from episurv.operators import explore, series
 from episurv.operators import rates as r
 from episurv.plans import gold, views
 from episurv.plans.cases import raw_cases
-from episurv.plans.silver import silver_of
+from episurv.plans.silver import silver_of, written_silver
 from episurv.registry import query
 from episurv.registry.sql import (
     ADMITTED, DEATHS, ICU, ICU_RATE, MORTALITY, OUTCOMES, RAW, SILVER, VACCINATED, VACCINATION, VACCINE_KNOWN, n_if,
@@ -132,10 +132,10 @@ def a8(spark, d):
     count(DISTINCT sg_uf) AS ufs FROM silver GROUP BY ano""",
 )
 def a9(spark, d):
-    return silver_of(spark, d).groupBy("ano").agg(
-        F.count_distinct("nu_notific").alias("ids"), F.count_distinct("co_mun_res").alias("municipios"),
-        F.count_distinct("sg_uf").alias("ufs"),
-    )
+    silver = written_silver(spark, d)
+    ids = silver.groupBy("ano").agg(F.count_distinct("nu_notific").alias("ids"))
+    places = silver.groupBy("ano").agg(F.count_distinct("co_mun_res").alias("municipios"), F.count_distinct("sg_uf").alias("ufs"))
+    return ids.join(places, ids["ano"].eqNullSafe(places["ano"])).select(ids["ano"], "ids", "municipios", "ufs")
 
 
 @query(
@@ -342,7 +342,7 @@ def w9(spark, d):
     (SELECT * FROM monthly_metrics ORDER BY ano_mes DESC LIMIT 1) m""",
 )
 def v1(spark, d):
-    silver = silver_of(spark, d)
+    silver = written_silver(spark, d)
     return views.dashboard(gold.kpi_rows(gold.national_kpis(silver)), gold.monthly_metrics(silver, key_is_unique=True))
 
 

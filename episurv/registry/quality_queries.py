@@ -8,7 +8,7 @@ from episurv.functions.codes import CRITICAL_FIELDS, DATE_COLUMNS, DATE_ORDER_PA
 from episurv.operators import explore as ex
 from episurv.operators import quality as q
 from episurv.plans.cases import raw_cases, table
-from episurv.plans.silver import silver_cases
+from episurv.plans.silver import written_silver
 from episurv.registry import query
 from episurv.registry.explore_queries import _CODE9
 from episurv.registry.sql import RAW, SILVER, _date, n_if
@@ -245,11 +245,11 @@ _REQUIRED = ("nu_notific", "dt_sin_pri", "dt_notific", "ano", "mes")
     SELECT 'perda_pct' AS verificacao, v AS valor, v < 60 AS ok FROM l
     UNION ALL SELECT 'chaves_repetidas', (count(*) - count(DISTINCT nu_notific))::DOUBLE, count(*) = count(DISTINCT nu_notific) FROM silver
     {' '.join(f"UNION ALL SELECT 'nulos_{c}', ({n_if(f'{c} IS NULL')})::DOUBLE, ({n_if(f'{c} IS NULL')}) = 0 FROM silver" for c in _REQUIRED)}
-    UNION ALL SELECT 'datas_invertidas', ({n_if('dt_sin_pri > dt_notific')})::DOUBLE, ({n_if('dt_sin_pri > dt_notific')}) = 0 FROM silver""",
+    UNION ALL SELECT 'datas_invertidas', ({n_if('dt_sin_pri > dt_notific')})::DOUBLE, ({n_if('dt_sin_pri > dt_notific')}) = 0 FROM silver
+    UNION ALL SELECT 'particoes', count(*)::DOUBLE, count(*) > 0 FROM (SELECT DISTINCT ano, mes FROM silver)""",
 )
 def q13(spark, d):
-    raw = raw_cases(spark, d)
-    return q.load_gates(raw, silver_cases(raw))
+    return q.load_gates(raw_cases(spark, d), written_silver(spark, d))
 
 
 @query("q14_status_distribution", f"{RAW}, {ALL} SELECT status, count(*) AS checks FROM checks GROUP BY status")

@@ -17,7 +17,7 @@ from episurv.operators import audit, guard, search, usage
 from episurv.operators import textrules as tx
 from episurv.plans import gold
 from episurv.plans.cases import table
-from episurv.plans.silver import silver_of
+from episurv.plans.silver import silver_of, written_silver
 from episurv.registry import query
 from episurv.registry.gold_queries import AGE_SEX, KPI_LONG, KPIS, MONTHLY, STATES
 from episurv.registry.sql import SILVER
@@ -195,7 +195,7 @@ def _query_log(spark, d):
     texts = F.array(*[F.lit(x.replace("{many}", "{k}" + _MANY)) for x in _TEXTS])
     template = F.element_at(texts, (F.col("event_id") % len(_TEXTS) + 1).cast("int"))
     out = F.replace(template, F.lit("{k}"), F.get_json_object("props", "$.k"))
-    return table(spark, d, "events").select(F.col("event_id").alias("query_id"), "event_type", F.col("ts").alias("timestamp"), out.alias("query"))
+    return table(spark, d, "events").select(F.col("event_id").alias("query_id"), "user_id", "event_type", F.col("ts").alias("timestamp"), out.alias("query"))
 
 
 _LOG_SQL = "CASE event_id % {} ".format(len(_TEXTS)) + " ".join(
@@ -208,7 +208,7 @@ _INJ = "CASE " + " ".join(f"WHEN regexp_matches(query, {sql_text(x)}, 'i') THEN
 _VERB = "CASE " + " ".join(f"WHEN regexp_matches(upper(query), '\\b{v}\\b') THEN '{v}'" for v in p.FORBIDDEN_VERBS) + " END"
 _SCHEMA = "CASE " + " ".join(f"WHEN contains(lower(query), '{s}.') THEN '{s}'" for s in p.FORBIDDEN_SCHEMAS) + " END"
 _LIMIT = "TRY_CAST(nullif(regexp_extract(upper(query), 'LIMIT\\s+(\\d+)', 1), '') AS HUGEINT)"
-VALIDATED = f"""WITH log AS (SELECT event_id AS query_id, event_type, ts AS timestamp, {_LOG_SQL} AS query FROM events),
+VALIDATED = f"""WITH log AS (SELECT event_id AS query_id, user_id, event_type, ts AS timestamp, {_LOG_SQL} AS query FROM events),
   facts AS (SELECT *, {_INJ} AS inj, {_VERB} AS verb, {_SCHEMA} AS sch, {_LIMIT} AS lim, ltrim(upper(query)) AS start,
     {has('lower(query)', p.ALLOWED_TABLES)} AS allowed FROM log),
   judged AS (SELECT query_id, event_type, timestamp, query, CASE
@@ -227,26 +227,26 @@ _WHEN = "strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') AS timestamp"
 
 @query("r22_validate_sql", f"{VALIDATED} SELECT query_id, event_type, {_WHEN}, query, valida, violation_type, severity, message FROM verdicts")
 def r22(spark, d):
-    return guard.validate_sql(_query_log(spark, d))
+    return guard.validate_sql(_query_log(spark, d).drop("user_id"))
 
 
 def _rated(spark, d):
     log = _query_log(spark, d)
-    verdicts = usage.rate_limit(log.select("query_id", "event_type", "timestamp"), "event_type", "timestamp", "query_id", 1, 3)
-    return guard.validate_sql(log.join(verdicts, ["event_type", "query_id"]), rate_verdict="veredito")
+    verdicts = usage.rate_limit(log.select("query_id", "user_id", "timestamp"), "user_id", "timestamp", "query_id", 1, 1)
+    return guard.validate_sql(log.join(verdicts, ["user_id", "query_id"]), rate_verdict="veredito")
 
 
 @query(
     "r22_validate_sql_rated",
     f"""{VALIDATED.replace('WITH log', 'WITH RECURSIVE log')}, numbered AS (
-      SELECT event_type, query_id, epoch_us(timestamp) AS t_us, row_number() OVER (PARTITION BY event_type ORDER BY timestamp, query_id) AS rn FROM log),
+      SELECT user_id, query_id, epoch_us(timestamp) AS t_us, row_number() OVER (PARTITION BY user_id ORDER BY timestamp, query_id) AS rn FROM log),
     replay AS (
-      SELECT event_type, query_id, rn, [t_us] AS admitted, true AS ok FROM numbered WHERE rn = 1
+      SELECT user_id, query_id, rn, [t_us] AS admitted, true AS ok FROM numbered WHERE rn = 1
       UNION ALL
-      SELECT event_type, query_id, rn, CASE WHEN v THEN list_append(recent, t_us) ELSE recent END, v FROM (
-        SELECT *, len(list_filter(recent, lambda x: x > t_us - 60000000)) < 1 AND len(recent) < 3 AS v
-        FROM (SELECT n.event_type, n.query_id, n.rn, n.t_us, list_filter(r.admitted, lambda x: x > n.t_us - 3600000000) AS recent
-          FROM replay r JOIN numbered n ON n.event_type = r.event_type AND n.rn = r.rn + 1)))
+      SELECT user_id, query_id, rn, CASE WHEN v THEN list_append(recent, t_us) ELSE recent END, v FROM (
+        SELECT *, len(list_filter(recent, lambda x: x > t_us - 60000000)) < 1 AND len(recent) < 1 AS v
+        FROM (SELECT n.user_id, n.query_id, n.rn, n.t_us, list_filter(r.admitted, lambda x: x > n.t_us - 3600000000) AS recent
+          FROM replay r JOIN numbered n ON n.user_id = r.user_id AND n.rn = r.rn + 1)))
     SELECT query_id, valida AND ok AS valida, CASE WHEN NOT valida THEN violation_type WHEN NOT ok THEN 'RATE_LIMIT_EXCEEDED' END AS violation_type,
       CASE WHEN NOT valida THEN severity WHEN NOT ok THEN 'high' END AS severity FROM verdicts JOIN replay USING (query_id)""",
 )
@@ -259,7 +259,7 @@ def r22_rated(spark, d):
     f"{VALIDATED} SELECT violation_type, severity, count(*) AS total, count(*) AS bloqueadas FROM verdicts WHERE NOT valida GROUP BY 1, 2",
 )
 def a44(spark, d):
-    return audit.violation_summary(guard.violations(guard.validate_sql(_query_log(spark, d))))
+    return audit.violation_summary(guard.violations(guard.validate_sql(_query_log(spark, d).drop("user_id"))))
 
 
 _VIOLATION = f"query_id, event_type, {_WHEN}, substr(query, 1, 200) AS query, violation_type, severity, message, true AS blocked"
@@ -267,17 +267,17 @@ _VIOLATION = f"query_id, event_type, {_WHEN}, substr(query, 1, 200) AS query, vi
 
 @query("a44_recent_violations", f"{VALIDATED} SELECT {_VIOLATION} FROM verdicts v WHERE NOT valida ORDER BY v.timestamp DESC, query_id DESC LIMIT 10")
 def a44_recent(spark, d):
-    return audit.recent_violations(guard.violations(guard.validate_sql(_query_log(spark, d))))
+    return audit.recent_violations(guard.violations(guard.validate_sql(_query_log(spark, d).drop("user_id"))))
 
 
 @query("a44_critical_violations", f"{VALIDATED} SELECT {_VIOLATION} FROM verdicts v WHERE NOT valida AND severity = 'critical'")
 def a44_critical(spark, d):
-    return audit.critical_violations(guard.violations(guard.validate_sql(_query_log(spark, d))))
+    return audit.critical_violations(guard.violations(guard.validate_sql(_query_log(spark, d).drop("user_id"))))
 
 
 @query("a44_drop_old_violations", f"{VALIDATED} SELECT {_VIOLATION} FROM verdicts v WHERE NOT valida AND v.timestamp > TIMESTAMP '2024-01-31' - INTERVAL 7 DAY")
 def a44_drop_old(spark, d):
-    return audit.drop_old_violations(guard.violations(guard.validate_sql(_query_log(spark, d))), "2024-01-31", 7)
+    return audit.drop_old_violations(guard.violations(guard.validate_sql(_query_log(spark, d).drop("user_id"))), "2024-01-31", 7)
 
 
 _DANGER = any_sql(f"regexp_matches(text, {sql_text(x)}, 'i')" for x in p.DANGEROUS_INPUT)
@@ -432,11 +432,12 @@ def a43(spark, d):
 @query(
     "r25_extract_entities",
     f"""SELECT doc_id, {_JSON_LIST.format(f"list_concat({_ufs('text')}, {_pct_list('text')})")} AS entidades,
-    CAST(len(regexp_extract_all(text, {sql_text('(^|[^0-9])[0-9]+')})) AS INTEGER) AS n_numeros FROM documents""",
+    {_JSON_LIST.format(f"regexp_extract_all(text, {sql_text(p.NUMBER_PATTERN)}, 0, 'i')")} AS numeros FROM documents""",
 )
 def r25(spark, d):
-    runs = F.regexp_extract_all("text", F.lit("(^|[^0-9])[0-9]+"), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", tx.entities("text").alias("entidades"), F.size(runs).alias("n_numeros"))
+    return table(spark, d, "documents").select(
+        "doc_id", tx.entities("text").alias("entidades"), F.to_json(tx.numbers("text")).alias("numeros")
+    )
 
 
 @query("x4_content_hash", "SELECT doc_id, md5(lower(source || text)) AS hash FROM documents")
@@ -503,7 +504,7 @@ DOCUMENTS = f"""{SILVER}, {KPIS}, {KPI_LONG}, {MONTHLY}, {STATES}, {AGE_SEX}, do
 
 
 def _gold_documents(spark, d):
-    silver = silver_of(spark, d)
+    silver = written_silver(spark, d)
     kpis = gold.kpi_rows(gold.national_kpis(silver)).withColumn("data_snapshot", F.to_date(F.lit("2024-01-01")))
     return docs.all_documents(kpis, gold.monthly_metrics(silver, key_is_unique=True), gold.state_profile(silver, key_is_unique=True), gold.age_sex_profile(silver))
 
@@ -666,15 +667,15 @@ GEO_WORDS, TIME_WORDS = ["le", "ein", "sh"], ["the", "que"]
     "r10_typed",
     f"""WITH {CORPUS}, asked AS (SELECT conv_id AS query_id, embedding::DOUBLE[] AS vector,
       CASE WHEN {hit('lower(text)', whole(*GEO_WORDS), 'c')} THEN 'geographic' WHEN {hit('lower(text)', whole(*TIME_WORDS), 'c')} THEN 'temporal' END AS kind
-      FROM (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id) JOIN embeddings ON vec_id = conv_id),
+      FROM (SELECT conv_id * 1000 + turn AS conv_id, conv_id AS vec, text FROM conversations WHERE role = 'user') JOIN embeddings ON vec_id = vec),
     scores AS (SELECT query_id, doc_id AS id, kind, round(list_cosine_similarity(q.vector, c.embedding), 10) AS score
       FROM asked q JOIN corpus c ON q.kind IS NULL OR c.semantic_type = q.kind), {RANKED}
     SELECT query_id, id, round(score, 6) AS score, rank, kind AS semantic_type FROM ranked WHERE rank <= 3""",
 )
 def r10(spark, d):
-    first = table(spark, d, "conversations").filter(F.col("role") == "user").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    said = table(spark, d, "conversations").filter(F.col("role") == "user")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("vector"))
-    asked = first.join(vectors, "conv_id").withColumnRenamed("conv_id", "query_id")
+    asked = said.join(vectors, "conv_id").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text", "vector")
     found = search.typed(asked, _corpus(spark, d), 3, states=(), geographic=GEO_WORDS, temporal=TIME_WORDS)
     return found.withColumn("score", F.round("score", 6))
 
