@@ -31,12 +31,12 @@ TEXT_COLUMNS = """NU_NOTIFIC, DT_NOTIFIC, DT_SIN_PRI, SEM_PRI, CS_SEXO, NU_IDADE
   nullif(TOSSE, '') AS TOSSE, DISPNEIA, HOSPITAL, UTI, EVOLUCAO, VACINA, DT_INTERNA, DT_ENTUTI, DT_EVOLUCA"""
 
 
-def _csv_folder(spark, d) -> str:
-    """The raw notifications as delimited files, one source per year."""
+def _csv_folder(spark, d, parts=4) -> str:
+    """The raw notifications as delimited files, one source of several files per year."""
     path = scratch_path(spark, "csv")
     raw = raw_cases(spark, d).withColumn("src", F.concat(F.lit("INFLUD"), F.substring(F.col("ANO_DADOS").cast("string"), 3, 2), F.lit("-cases.csv")))
     (
-        raw.drop("ANO_DADOS").repartition("src").write.partitionBy("src")
+        raw.drop("ANO_DADOS").repartition("src", F.pmod(F.xxhash64("NU_NOTIFIC"), F.lit(parts))).write.partitionBy("src")
         .options(header="true", sep=";", encoding="ISO-8859-1", escape='"').csv(path)
     )
     return path
@@ -47,6 +47,12 @@ def s1(spark, d):
     return csv.scan_delimited(spark, f"{_csv_folder(spark, d)}/src=*")
 
 
+@query("s1_scan_single_lines", ORACLES["s1_scan_delimited"])
+def s1_single(spark, d):
+    """These files hold one record per line, so a large one may be split."""
+    return csv.scan_delimited(spark, f"{_csv_folder(spark, d)}/src=*", multiLine="false")
+
+
 @query("s2_scan_year", f"{RAW} SELECT {TEXT_COLUMNS} FROM raw WHERE ANO_DADOS = 1997")
 def s2(spark, d):
     return csv.scan_year(spark, _csv_folder(spark, d), 1997, PATTERN)
@@ -57,7 +63,7 @@ def s2(spark, d):
     f"{RAW} SELECT 'src=INFLUD' || substr(CAST(ANO_DADOS AS VARCHAR), 3) || '-cases.csv' AS nome, CAST(1 AS BIGINT) AS arquivos, true AS com_conteudo FROM raw GROUP BY ANO_DADOS",
 )
 def s3(spark, d):
-    found = csv.require_sources(csv.list_sources(spark, _csv_folder(spark, d)))
+    found = csv.require_sources(csv.list_sources(spark, _csv_folder(spark, d, parts=1)))
     return found.select(F.replace("nome", F.lit("%3D"), F.lit("=")).alias("nome"), "arquivos", (F.col("bytes") > 0).alias("com_conteudo"))
 
 
@@ -73,11 +79,10 @@ def s4(spark, d):
 
 @query(
     "s5_ingest_metadata",
-    f"{RAW} SELECT {TEXT_COLUMNS}, ANO_DADOS, true AS has_time, 'INFLUD98-cases.csv' AS fonte FROM raw WHERE ANO_DADOS = 1998",
+    f"{RAW} SELECT {TEXT_COLUMNS}, ANO_DADOS, true AS has_time, 'INFLUD' || substr(CAST(ANO_DADOS AS VARCHAR), 3) || '-cases.csv' AS fonte FROM raw",
 )
 def s5(spark, d):
-    loaded = csv.add_ingest_metadata(csv.scan_year(spark, _csv_folder(spark, d), 1998, PATTERN), 1998)
-    return loaded.withColumns(
+    return _bronze(spark, d).withColumns(
         {"has_time": F.col("_ingested_at").isNotNull(), "fonte": F.regexp_extract("_source_file", r"(INFLUD\d\d-cases\.csv)", 1)}
     ).drop("_ingested_at", "_source_file")
 
@@ -138,7 +143,9 @@ def s9(spark, d):
 def s10(spark, d):
     target = scratch_path(spark, "clustered")
     cases = silver_of(spark, d).select("nu_notific", "ano", "mes", "sg_uf", "dt_sin_pri")
-    tb.cluster_layout(cases, target, ["ano"], ["dt_sin_pri", "sg_uf"])
+    name = f"episurv_clustered_{target.rsplit('-', 1)[1]}"
+    tb.cluster_layout(cases, target, ["ano"], ["dt_sin_pri", "sg_uf"], name=name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
     return tb.read_table(spark, target)
 
 
@@ -192,12 +199,24 @@ def _profile(spark, d):
     silver = silver_of(spark, d).select("nu_notific", "sg_uf", "ano", "mes")
     silver.write.format("parquet").option("path", target).partitionBy("ano", "mes").saveAsTable(name)
     tb.analyze(spark, name)
-    return tb.table_profile(spark, name)
+    found = tb.table_profile(spark, name)  # runs its commands now, so the table can go
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
-@query("s14_table_profile")
+@query(
+    "s14_table_profile",
+    f"""{SILVER} SELECT * FROM (VALUES ('describe', 'nu_notific', 'string'), ('describe', 'sg_uf', 'string'), ('describe', 'ano', 'int'),
+    ('describe', 'mes', 'int'), ('describe', 'Type', 'EXTERNAL'), ('describe', 'Provider', 'parquet')) AS t(secao, nome, valor)
+    UNION ALL SELECT 'describe', 'Statistics', count(*) || ' rows' FROM silver
+    UNION ALL SELECT 'partitions', 'count', CAST(count(*) AS VARCHAR) FROM (SELECT DISTINCT ano, mes FROM silver)
+    UNION ALL SELECT * FROM (SELECT DISTINCT 'partition', 'ano=' || ano || '/mes=' || mes AS nome, CAST(NULL AS VARCHAR) FROM silver ORDER BY nome LIMIT 10)""",
+)
 def s14(spark, d):
-    return _profile(spark, d)
+    """All but what differs from run to run: names, places, times, bytes."""
+    fixed = ["nu_notific", "sg_uf", "ano", "mes", "Type", "Provider", "Statistics"]
+    found = _profile(spark, d).filter((F.col("secao") != "describe") | F.col("nome").isin(fixed)).distinct()
+    return found.withColumn("valor", F.when(F.col("nome") == "Statistics", F.regexp_extract("valor", r"\d+ rows", 0)).otherwise(F.col("valor")))
 
 
 @query(

@@ -9,6 +9,7 @@ from episurv.operators import explore as ex
 from episurv.operators import quality as q
 from episurv.plans.cases import raw_cases, table
 from episurv.plans.silver import written_silver
+from episurv.session import scratch_path
 from episurv.registry import query
 from episurv.registry.explore_queries import _CODE9
 from episurv.registry.sql import RAW, SILVER, _date, n_if
@@ -166,10 +167,14 @@ def q10(spark, d):
 
 def _two_runs(spark, d):
     """The log of two runs: all records, and the records of the later years."""
-    raw = raw_cases(spark, d)
-    first = q.check_log(q.all_checks(raw), "run-1", "2024-01-01 00:00:00")
-    second = q.check_log(q.all_checks(raw.filter(F.col("ANO_DADOS") >= 1999)), "run-2", "2024-02-01 00:00:00")
-    return first.unionByName(second)
+    source, target = scratch_path(spark, "raw"), scratch_path(spark, "check-log")
+    raw_cases(spark, d).write.parquet(source)
+    raw = spark.read.parquet(source)
+    runs = [(raw, "run-1", "2024-01-01 00:00:00"), (raw.filter(F.col("ANO_DADOS") >= 1999), "run-2", "2024-02-01 00:00:00")]
+    for rows, run, at in runs:
+        log = q.check_log(q.all_checks(rows), run, at)
+        log.write.mode("append").parquet(target)
+    return spark.read.schema(log.schema).parquet(target)
 
 
 _LATER = ALL.replace("counts AS", "counts2 AS").replace("checks AS", "checks2 AS").replace("FROM counts)", "FROM counts2)").replace("FROM raw", "FROM later")

@@ -298,10 +298,9 @@ def r23_documents(spark, d):
 PII = [(r"[a-z0-9.]+@[a-z0-9.]+", "EMAIL"), (r"[0-9]{3}-[0-9]{3,4}", "TELEFONE"), (r"[A-Z][a-z]+ [A-Z][a-z]+", "NOME"), (r"[0-9]{4,}", "NUMERO")]
 
 
-def _redacted_sql() -> str:
-    steps, source = [], "SELECT doc_id, text FROM documents"
-    for i, (pattern, kind) in enumerate(PII):
-        counts = "".join(f", text_pii_{k.lower()}" for _, k in PII[:i])
+def _redacted_sql(patterns=PII, source="SELECT doc_id, text FROM documents") -> str:
+    for i, (pattern, kind) in enumerate(patterns):
+        counts = "".join(f", text_pii_{k.lower()}" for _, k in patterns[:i])
         source = (
             f"SELECT doc_id, regexp_replace(text, {sql_text(pattern)}, '[REDACTED]_{kind}', 'g') AS text{counts}, "
             f"CAST(len(regexp_extract_all(text, {sql_text(pattern)})) AS INTEGER) AS text_pii_{kind.lower()} FROM ({source})"
@@ -314,9 +313,33 @@ def r20(spark, d):
     return guard.redact_pii(table(spark, d, "documents").select("doc_id", "text"), ["text"], PII, counts=True)
 
 
-@query("r20_redact_pii_fixed_patterns")
+def _personal(kind: str) -> str:
+    """A sentence with each kind of personal data, cut from the digits of an order key; both engines read it."""
+    digits = f"lpad(CAST(o_orderkey * 7919 + 13 AS {kind}), 14, '5')"
+
+    def cut(start: int, length: int) -> str:
+        return f"substr({digits}, {start}, {length})"
+
+    parts = [
+        "'Paciente Ana Silva, CPF '", cut(1, 3), "'.'", cut(4, 3), "'.'", cut(7, 3), "'-'", cut(10, 2), "', '", cut(1, 11),
+        "', CNPJ '", cut(1, 2), "'.'", cut(3, 3), "'.'", cut(6, 3), "'/'", cut(9, 4), "'-'", cut(13, 2),
+        "', fone('", cut(2, 2), "') 9'", cut(1, 4), "'-'", cut(5, 4), "', nascido 05/06/'", cut(4, 4), "', CEP '", cut(1, 5), "'-'", cut(6, 3),
+    ]
+    return " || ".join(parts)
+
+
+@query("r20_redact_pii_fixed_patterns", _redacted_sql(p.PII_PATTERNS, f"SELECT o_orderkey AS doc_id, {_personal('VARCHAR')} AS text FROM orders"))
 def r20_fixed(spark, d):
-    return guard.redact_pii(table(spark, d, "documents").select("doc_id", "text"), ["text"], counts=True)
+    """The patterns a user gets by default, over sentences with each kind, made from order keys."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_personal('STRING')).alias("text"))
+    return guard.redact_pii(rows, ["text"], counts=True)
+
+
+@query("r20_redact_documents_fixed_patterns", _redacted_sql(p.PII_PATTERNS[:4] + p.PII_PATTERNS[5:]))
+def r20_documents(spark, d):
+    """The same over whole documents, but for names: the engines differ in what bounds a word of accented letters."""
+    patterns = p.PII_PATTERNS[:4] + p.PII_PATTERNS[5:]
+    return guard.redact_pii(table(spark, d, "documents").select("doc_id", "text"), ["text"], patterns, counts=True)
 
 
 @query(

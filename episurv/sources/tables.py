@@ -46,15 +46,24 @@ def write_partitioned(df: DataFrame, target: str, cols: Sequence[str], replace_a
     _save(writer.partitionBy(*cols), target)
 
 
-def cluster_layout(df: DataFrame, target: str, partition_cols: Sequence[str], keys: Sequence[str], files: int | None = None) -> None:
+def cluster_layout(
+    df: DataFrame, target: str, partition_cols: Sequence[str], keys: Sequence[str], files: int | None = None, name: str | None = None
+) -> None:
     """Rows near in the keys share files, so readers skip files by their min and max.
 
+    With a name, the result becomes an external table of the catalog and its statistics are computed.
+
     Ranges are cut by sampled key values, partition columns first, so a large partition spans
     several tasks and each task writes to few folders.
     """
     order = [*partition_cols, *keys]
     ranged = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
-    _save(ranged.sortWithinPartitions(*order).write.mode("overwrite").partitionBy(*partition_cols), target)
+    writer = ranged.sortWithinPartitions(*order).write.mode("overwrite").partitionBy(*partition_cols)
+    if name is None:
+        _save(writer, target)
+    else:
+        writer.format("parquet").option("path", target).saveAsTable(name)
+        analyze(df.sparkSession, name)
 
 
 def analyze(spark: SparkSession, name: str) -> None:
