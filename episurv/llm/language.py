@@ -93,6 +93,12 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str | None]:
         yield from batch.column(name).slice(at, 256).to_pylist()
 
 
+def _by_language(values: dict[str, int]):
+    return F.create_map(*[F.lit(x).cast("long") if isinstance(x, int) else F.lit(x) for pair in values.items() for x in pair])[
+        F.col("_lang")
+    ]
+
+
 def prototypes(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
     """A unit vector for each language, from at most `rows` documents of each (more where hashes tie).
 
@@ -101,19 +107,23 @@ def prototypes(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, r
     known = labelled.filter(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"), F.xxhash64(id_col).alias("_rank")
     )
+    # Hashes are spread evenly, so a share of their range holds a few times the rows wanted, whatever the table's size.
+    counts = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().collect()}  # a number for each language
+    if not counts:
+        return {}
+    share = {lang: min(1.0, 4 * (rows + 25) / n) for lang, n in counts.items()}
+    bound = {lang: min((1 << 63) - 1, int(s * (1 << 64)) - (1 << 63)) for lang, s in share.items()}
     first = Window.partitionBy("_lang").orderBy("_rank")
     limits = (
         known.select("_lang", "_rank")
+        .filter(F.col("_rank") <= _by_language(bound))
         .withColumn("_n", F.row_number().over(first))
         .filter(F.col("_n") <= rows)
         .groupBy("_lang")
         .agg(F.max("_rank").alias("_last"))
     )
-    last = {r["_lang"]: r["_last"] for r in limits.collect()}  # a number for each language
-    if not last:
-        return {}
-    within = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
-    sample = known.filter(F.col("_rank") <= within[F.col("_lang")]).select("_lang", "_text")
+    last = {r["_lang"]: r["_last"] for r in limits.collect()}
+    sample = known.filter(F.col("_rank") <= _by_language(last)).select("_lang", "_text")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, sums = Profiles(), {}
