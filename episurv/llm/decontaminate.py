@@ -209,15 +209,11 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 def _search_block(rows: DataFrame, phrases: Phrases) -> DataFrame:
     """Adds this block's spans and items to columns _spans and _items; counts words into _words."""
-    # Of at most BLOCK_BYTES of text; plain values, as a broadcast class would have to be importable on executors.
-    shared = rows.sparkSession.sparkContext.broadcast(
-        (phrases.words, phrases.rows, phrases.lengths, phrases.items, phrases.item_of, phrases.item_from)
-    )
     names = rows.columns
     text, spans, items = names.index("_text"), names.index("_spans"), names.index("_items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Phrases(*shared.value)
+        known = phrases  # of at most BLOCK_BYTES of text, it travels with the function
         get = known.words.get
         left, right = known.rows[:, :-1].astype(np.int64), known.rows[:, 1:]
         codes = left * (len(known.words) + 1) + right
