@@ -257,6 +257,48 @@ def _search_block(rows: DataFrame, phrases: Phrases) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def _pieces(text: bytes, length: int, most: int) -> Iterator[bytes]:
+    """Parts of the text, of about `most` bytes, that together have its phrases."""
+    if len(text) <= most:
+        yield text
+        return
+    turns = np.diff(np.r_[1, (np.frombuffer(text.translate(ALNUM_TABLE), np.uint8) == 0x20).astype(np.int8), 1])
+    starts, ends = np.flatnonzero(turns == -1), np.flatnonzero(turns == 1)
+    a, b = 0, 0
+    while b < len(starts):
+        b = min(len(starts), max(a + length, int(np.searchsorted(ends, starts[a] + most, side="right"))))
+        yield text[starts[a] : ends[b - 1]]
+        a = b - length + 1
+
+
+def _blocks(items: DataFrame, length: int, block_bytes: int) -> list[DataFrame]:
+    """The benchmark's (_item, _t) in tables of at most block_bytes each, unless one phrase alone is longer."""
+    items = items.filter(F.octet_length("_t") > 0)
+    size = F.octet_length("_t") + F.coalesce(F.octet_length("_item"), F.lit(0))
+    total = items.agg(F.sum(size)).first()[0] or 0
+    if total <= block_bytes:
+        return [items]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+                texts = [p.decode() for p in _pieces(text, length, block_bytes // 16)]
+                columns = [pa.array([item] * len(texts), pa.string()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["_item", "_t"])
+
+    pieces = stored(items.mapInArrow(cut, items.schema).distinct(), "benchmark-pieces")
+    total, largest = pieces.agg(F.sum(size), F.max(size)).first()
+    count = 2 * -(-(total or 0) // block_bytes)
+    place = F.xxhash64("_item", "_t")
+
+    def fullest() -> int:
+        return pieces.groupBy(F.pmod(place, F.lit(count))).agg(F.sum(size).alias("bytes")).agg(F.max("bytes")).first()[0]
+
+    while count and fullest() > max(block_bytes, largest):
+        count *= 2
+    return [pieces.filter(F.pmod(place, F.lit(count)) == n) for n in range(count)] or [pieces]
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -272,7 +314,8 @@ def find_contamination(
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A phrase is `length` consecutive words of
     an item, or all words of a shorter one. Null texts have no words; an item without id marks words but is not
     listed; items with one id are one. An empty benchmark finds nothing. The benchmark is measured first and
-    searched in blocks that are small enough to send to every task.
+    searched in blocks that are small enough to send to every task; items longer than a block are cut into pieces that
+    overlap by a word less than a phrase.
     """
     rows = docs.select(
         F.struct("*").alias("_row"),
@@ -281,14 +324,11 @@ def find_contamination(
         F.array().cast("array<struct<start:int,end:int>>").alias("_spans"),
         F.array().cast("array<string>").alias("_items"),
     )
-    items = benchmark.select(F.col(item_col).cast("string").alias("_item"), F.col(item_text).alias("_t"))
-    total = items.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
-    for n in range(blocks):
-        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("_item", "_t"), F.lit(blocks)) == n)
-        phrases = Phrases.of([(r["_item"], (r["_t"] or "").encode()) for r in block.collect()], length)
+    blocks = _blocks(benchmark.select(F.col(item_col).cast("string").alias("_item"), F.col(item_text).alias("_t")), length, block_bytes)
+    for n, block in enumerate(blocks):
+        phrases = Phrases.of([(r["_item"], r["_t"].encode()) for r in block.collect()], length)
         rows = _search_block(rows, phrases)
-        if n + 1 < blocks:
+        if n + 1 < len(blocks):
             rows = stored(rows, "contamination")
     return rows
 

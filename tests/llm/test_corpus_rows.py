@@ -82,6 +82,24 @@ def test_contamination(spark, block_bytes):
     assert [got[i] for i in range(len(texts))] == brute_contamination(texts, items, 10)
 
 
+def test_pieces_have_all_phrases():
+    rng = random.Random(8)
+    for n in (0, 1, 9, 10, 11, 300):
+        text = sentence(rng, n)
+        pieces = list(decontaminate._pieces(text.encode(), 10, 64))
+        parts = [alnum(p.decode()) for p in pieces]
+        windows = {tuple(p[i : i + 10]) for p in parts for i in range(max(1, len(p) - 9))}
+        words = alnum(text)
+        assert windows - {()} == {tuple(words[i : i + 10]) for i in range(max(1, n - 9))} - {()}
+        assert n < 300 or len(parts) > 10
+
+
+def test_long_benchmark_without_a_word(spark):
+    bench = spark.createDataFrame([(1, "." * 900), (1, "." * 900)], "item_id long, text string")
+    got = by_id(decontaminate.contamination_report(frame(spark, ["a b", None]), bench, block_bytes=600), "n_words", "n_hit")
+    assert got == {0: (2, 0), 1: (0, 0)}
+
+
 def test_cut_texts(spark):
     item = "one two three four five six seven eight nine ten"
     texts = [f"Before, {item.title()}! After.", item, "nothing here", None, "", f"{item} {item} x"]
