@@ -201,7 +201,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(pairs: DataFrame, small: bool) -> DataFrame:
         both = pairs if small else pairs.unionByName(pairs.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
-        least = both.groupBy("_a").agg(F.least(F.min("_b"), F.col("_a")).alias("_m"))
+        # Stored, it stands behind an exchange of its own, so that a node with very many links can be split.
+        least = stored(both.groupBy("_a").agg(F.least(F.min("_b"), F.col("_a")).alias("_m")), "links-least")
         joined = both.join(least, "_a")
         if small:  # pairs point from larger to smaller: all smaller neighbours and the node itself go below the least
             moved = joined.select(F.col("_b").alias("_a"), F.col("_m").alias("_b")).unionByName(
@@ -234,7 +235,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     named = classes.join(roots, classes["_fp"] == roots["node"], "left").select(
         "_fp", "_least", F.coalesce("root", "_fp").alias("_root")
     )
-    smallest = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    smallest = stored(named.groupBy("_root").agg(F.min("_least").alias("component_id")), "simhash-smallest")
     return marks, named.join(smallest, "_root").select("_fp", "_root", "component_id")
 
 
