@@ -50,7 +50,7 @@ class Profiles:
 
     def _reset(self) -> None:
         self.place: dict[int, int] = {}
-        self.rows = np.zeros((1024, DIMENSIONS), np.float32)
+        self.rows = np.zeros((1024, DIMENSIONS), np.int8)
 
     def _letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -82,8 +82,10 @@ class Profiles:
                 self._reset()
             place = self.place
             self._bind([c for c in part if c not in place])
-            rows = [place[c] for c in part]
-            total += counts[at : at + len(part)].astype(np.float32) @ self.rows[rows]
+            rows = np.array([place[c] for c in part])
+            weights = counts[at : at + len(part)].astype(np.float32)
+            for lo in range(0, len(rows), 1024):
+                total += weights[lo : lo + 1024] @ self.rows[rows[lo : lo + 1024]].astype(np.float32)
         size = float(np.sqrt(total @ total))
         return total / size if size else total
 
