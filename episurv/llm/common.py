@@ -45,6 +45,12 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *key_columns(id_col, text_col))
 
 
+def others(docs: DataFrame, text_col: str) -> Column:
+    """A struct of all columns but the text, so that a text goes through Python once."""
+    names = [c for c in docs.columns if c != text_col]
+    return F.struct(*[F.col(f"`{c}`") for c in names] or [F.lit(None).cast("boolean").alias("_none")])
+
+
 def alnum_words(text: bytes) -> list[bytes]:
     """Lower-cased words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`."""
     return text.translate(ALNUM_TABLE).split()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episurv.llm.common import ALNUM_TABLE, alnum_words, slices, stored, text_bytes
+from episurv.llm.common import ALNUM_TABLE, alnum_words, others, slices, stored, text_bytes
 
 PHRASE = 10
 #: Bytes of benchmark text searched at once. A larger benchmark is searched block after block.
@@ -308,7 +308,7 @@ def find_contamination(
     length: int = PHRASE,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """For every row of `docs`: _row (a struct of all its columns), _text, _words, _spans (of words, merged),
+    """For every row of `docs`: _row (a struct of its other columns), _text, _words, _spans (of words, merged),
     _items (as strings).
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A phrase is `length` consecutive words of
@@ -318,7 +318,7 @@ def find_contamination(
     overlap by a word less than a phrase.
     """
     rows = docs.select(
-        F.struct("*").alias("_row"),
+        others(docs, text_col).alias("_row"),
         F.col(text_col).alias("_text"),
         F.lit(0).cast("long").alias("_words"),
         F.array().cast("array<struct<start:int,end:int>>").alias("_spans"),

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from episurv.llm.common import KEY, key_columns, keyed, mixed, slices, stored, text_bytes, window_minima
+from episurv.llm.common import KEY, key_columns, keyed, mixed, others, slices, stored, text_bytes, window_minima
 
 #: Lines of a fingerprint; fingerprints of a window. Runs of LINES + WINDOW - 1 lines are found for certain.
 LINES, WINDOW = 2, 3
@@ -117,7 +117,7 @@ def repeated_runs(docs: DataFrame, lines: int = LINES, window: int = WINDOW) ->
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: int = LINES, window: int = WINDOW
 ) -> DataFrame:
-    """For each row: _row (a struct of all its columns), kept text, number of solid lines, of those removed.
+    """For each row: _row (a struct of its other columns), kept text, number of solid lines, of those removed.
 
     A line is what stands between line feeds; lines of white space only are passed over and stay, and others are compared
     without white space at their ends. A line goes if it lies in a run of lines + window - 1 consecutive
@@ -127,7 +127,7 @@ def dedup_lines(
     """
     length = lines + window - 1
     repeats = repeated_runs(keyed(docs, id_col, text_col), lines, window)
-    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"), *key_columns(id_col, text_col))
+    rows = docs.select(others(docs, text_col).alias("_row"), F.col(text_col).alias("_text"), *key_columns(id_col, text_col))
     marked = rows.join(repeats, KEY, "left").select("_row", "_text", "_at")
     names = ["_row", "_text", "_lines", "_removed"]
 
