@@ -360,16 +360,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where = batch.column(spans).to_pylist()
+            where, columns = batch.column(spans).to_pylist(), list(batch.columns)
             if any(where):
-                texts = batch.column(text).to_pylist()
+                texts = columns[text].to_pylist()
                 for i, spans_of in enumerate(where):
                     if spans_of:
                         texts[i] = _without(texts[i].encode(), spans_of).decode()
-                columns = list(batch.columns)
-                columns[text] = pa.array(texts, batch.column(text).type)
-                batch = pa.RecordBatch.from_arrays(columns, names)
-            yield batch
+                columns[text] = pa.array(texts, columns[text].type)
+            yield pa.RecordBatch.from_arrays(columns, names)  # also without a hit: all batches have one schema
 
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.filter((F.size("_spans") == 0) | (hit < F.col("_words"))).mapInArrow(cut, found.schema)

@@ -110,6 +110,20 @@ def test_cut_texts(spark):
     assert decontaminate.decontaminate(frame(spark, texts), bench.limit(0)).count() == len(texts)
 
 
+def test_cut_texts_in_batches_without_a_hit(spark):
+    item = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 1)
+    try:
+        docs = frame(spark, ["nothing here", f"a {item}", None, f"{item} b", "c"]).coalesce(1)
+        got = {r["_row"]["doc_id"]: r["_text"] for r in decontaminate.decontaminate(docs, bench).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == {0: "nothing here", 1: "a ", 2: None, 3: " b", 4: "c"}
+
+
 def test_index_against_plain_search():
     rng = np.random.default_rng(3)
     text = np.r_[0, rng.integers(0, 4, 3000), 0]
