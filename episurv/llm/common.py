@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from episurv.session import scratch_path
 
@@ -33,6 +34,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch of texts. JVM and Python each hold a batch on its way in and one on its way out, for every task.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_texts(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """`df.mapInArrow` in batches of about BATCH_BYTES or one row; a bound that the session's owner set stays."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, None) is None:
+        conf.set(_BATCH_CONF, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 KEY = ["_k", "_h"]
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episurv.llm.common import ALNUM_TABLE, alnum_words, others, slices, stored, text_bytes
+from episurv.llm.common import ALNUM_TABLE, alnum_words, map_texts, others, slices, stored, text_bytes
 
 PHRASE = 10
 #: Bytes of benchmark text searched at once. A larger benchmark is searched block after block.
@@ -254,7 +254,7 @@ def _search_block(rows: DataFrame, phrases: Phrases) -> DataFrame:
                 columns[names.index("_words")] = pa.array(sizes)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return map_texts(rows, run, rows.schema)
 
 
 def _pieces(text: bytes, length: int, most: int) -> Iterator[bytes]:
@@ -370,4 +370,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             yield pa.RecordBatch.from_arrays(columns, names)  # also without a hit: all batches have one schema
 
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return found.filter((F.size("_spans") == 0) | (hit < F.col("_words"))).mapInArrow(cut, found.schema)
+    return map_texts(found.filter((F.size("_spans") == 0) | (hit < F.col("_words"))), cut, found.schema)

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from episurv.llm.common import map_texts
+
 UNKNOWN = "und"
 DIMENSIONS = 512
 #: Labelled documents that a language is learnt from: those with the smallest hashes of their ids.
@@ -139,7 +141,7 @@ def prototypes(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, r
                 [pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["_lang", "_v"]
             )
 
-    parts = sample.mapInArrow(bundle, "_lang string, _v array<double>")
+    parts = map_texts(sample, bundle, "_lang string, _v array<double>")
     summed = (
         parts.select("_lang", F.posexplode("_v").alias("_at", "_x"))
         .groupBy("_lang", "_at")
@@ -188,7 +190,7 @@ def identify(
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, lang_out, score_out]
             )
 
-    return rows.mapInArrow(predict, schema)
+    return map_texts(rows, predict, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from episurv.llm.common import KEY, key_columns, keyed, mixed, others, slices, stored, text_bytes, window_minima
+from episurv.llm.common import KEY, key_columns, keyed, map_texts, mixed, others, slices, stored, text_bytes, window_minima
 
 #: Lines of a fingerprint; fingerprints of a window. Runs of LINES + WINDOW - 1 lines are found for certain.
 LINES, WINDOW = 2, 3
@@ -90,9 +90,7 @@ def repeated_runs(docs: DataFrame, lines: int = LINES, window: int = WINDOW) ->
     """(_k, _h, _at): per document the first line (of solid ones, from 0) of each run that occurs earlier."""
     id_kind = docs.schema["_id"].dataType.simpleString()
     found = stored(
-        docs.mapInArrow(
-            lambda batches: _fingerprints(batches, lines, window), f"_id {id_kind}, {FINGERPRINTS}"
-        ),
+        map_texts(docs, lambda batches: _fingerprints(batches, lines, window), f"_id {id_kind}, {FINGERPRINTS}"),
         "line-fingerprints",
     )
     # Stored sides of a join stand behind an exchange of their own, so that hot keys of the other side can be split.
@@ -152,4 +150,4 @@ def dedup_lines(
                 )
 
     schema = T.StructType([*rows.schema.fields[:2]]).add("_lines", "long").add("_removed", "long")
-    return marked.mapInArrow(remove, schema)
+    return map_texts(marked, remove, schema)

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from episurv.llm.common import map_texts
+
 WINDOW = 1024
 END = 0
 #: Partly filled windows that a task may have before it pours them together.
@@ -179,4 +181,4 @@ def pack(
             emit(done)
         yield from flush()
 
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episurv.llm.common import KEY, key_columns, keyed, stored, text_bytes
+from episurv.llm.common import KEY, key_columns, keyed, map_texts, stored, text_bytes
 
 BITS, BLOCKS, SHINGLE, SEED, DISTANCE = 64, 4, 3, 42, 2
 #: Reference pairs for each block.
@@ -74,7 +74,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _k, _h, _fp) of each row; see `keyed`."""
     rows = keyed(docs, id_col, text_col)
-    return rows.mapInArrow(_mark, f"_id {rows.schema['_id'].dataType.simpleString()}, _k long, _h long, _fp long")
+    return map_texts(rows, _mark, f"_id {rows.schema['_id'].dataType.simpleString()}, _k long, _h long, _fp long")
 
 
 def candidate_keys(prints: DataFrame) -> DataFrame:
