@@ -28,30 +28,35 @@ class Encoder:
     """Token ids of texts by the vocabulary of a byte-level BPE file.
 
     The file is one of the `tokenizers` library, whose own encoder needs over three times the CPU seconds allowed. The
-    same merges run in `tiktoken`, whose ids are the same (the tests compare them).
+    same merges run in `tiktoken`, whose ids are the same (the tests compare them). With `added`, the file's added tokens
+    have their own ids wherever their string stands in a text, as the file's encoder has it when loaded; without, such a
+    string is ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import json
 
         import public_tokenizers
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            content = json.load(file)
+        vocabulary = content["model"]["vocab"]
+        own = {t["content"]: t["id"] for t in content.get("added_tokens") or ()}
         # Byte-level files write each byte as a visible character: printable ones as they are, others from 256 on.
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
         byte_of = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token)}
-        ranks.pop(b"<|endoftext|>", None)  # a special token; its string in a text is ordinary text
+        for token in own:  # no merges make them
+            ranks.pop(token.encode(), None)
         self.encoding = tiktoken.Encoding(
-            "file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            "file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=own if added else {}
         )
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of the text, END last."""
-        ids = self.encoding.encode_ordinary(text)
+        ids = self.encoding.encode(text, allowed_special="all")
         ids.append(END)
         return np.array(ids, "<u4")
 
@@ -121,12 +126,18 @@ def _cut(pieces: list[tuple], size: int) -> tuple[list[tuple], list[tuple]]:
 
 
 def pack(
-    docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
+    docs: DataFrame,
+    tokenizer: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW,
+    added: bool = False,
 ) -> DataFrame:
     """One row a piece: id, start in the document, length, ids (little-endian unsigned 32-bit, as binary), tokens of the
     document, sequence, offset there.
 
-    Each document is its ids and END; each id lies in one piece. Null and empty texts are END alone. Sequences
+    Each document is its ids and END; each id lies in one piece. With `added`, strings of the file's added tokens get those
+    tokens' ids, otherwise they are ordinary text. Null and empty texts are END alone. Sequences
     hold `window` ids; at the end of a task a few hold a smaller power of two, so none needs padding. The number of a
     sequence is that of its task (upper bits) and of its completion there. Repeated rows are packed each; an empty table
     gives an empty result; other columns are not read.
@@ -142,7 +153,7 @@ def pack(
         schema = schema.add(name, "binary" if name == "ids" else "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(tokenizer), SumOfSquares(window)
+        encoder, packer = Encoder(tokenizer, added), SumOfSquares(window)
         sequence = TaskContext.get().partitionId() << 33
         id_type = None
         out: list[tuple] = []

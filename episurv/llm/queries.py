@@ -146,7 +146,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents")).select(
+    return packing.pack(table(spark, sf_dir, "documents"), added=True).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 
