@@ -15,6 +15,7 @@ from episurv.functions import patterns as p
 from episurv.functions.codes import STATE_CODES
 from episurv.functions.columns import as_col
 from episurv.operators.filters import equality_filters
+from episurv.session import scratch_path
 
 # Search depth and re-ranking factors.
 TOP_K, MAX_POOL = 5, 15
@@ -125,8 +126,8 @@ def knn(
 
     `dim` is the length of the vectors, by default that of the longest one in the corpus (a small job). Queries and
     documents are treated alike: zero and missing vectors, and those of another length, take no part. Query
-    vectors travel with the scan tasks in chunks of at most CARRIED_BYTES (or `max_carried` rows); the driver
-    holds one chunk at a time while it builds the plan. For each chunk a task reads its part of the corpus once and
+    vectors travel with the scan tasks in chunks of at most CARRIED_BYTES (or `max_carried` rows). What a chunk finds is
+    written to the shared folder before the next one is fetched, so the driver holds one chunk and the plan none. For each chunk a task reads its part of the corpus once and
     returns its k best per query, so the shuffle holds k rows per query and task. The result is exact for any number.
     """
     kept = equality_filters(corpus, filters) if filters else corpus
@@ -139,11 +140,13 @@ def knn(
         F.col(doc_id).cast(id_type).alias("id"), F.col(vector).alias("vector")
     )
     size = max_carried or max(1, CARRIED_BYTES // (8 * max(1, dim)))
-    found = q.select("query_id", F.lit(None).cast(id_type).alias("id"), F.lit(0.0).alias("score")).limit(0)
+    path = scratch_path(queries.sparkSession, "knn")
+    queries.sparkSession.createDataFrame([], schema).write.parquet(path)
     for chunk in _chunks(q.filter(F.size("vector") == dim).toLocalIterator(), size):
         units, good = _unit(np.array([r.vector for r in chunk], dtype=np.float64).reshape(len(chunk), dim))
         ids = [r.query_id for r, ok in zip(chunk, good) if ok]
-        found = found.unionByName(c.mapInArrow(_scan(ids, units, k, arrow), schema))
+        c.mapInArrow(_scan(ids, units, k, arrow), schema).write.mode("append").parquet(path)
+    found = queries.sparkSession.read.schema(schema).parquet(path)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
