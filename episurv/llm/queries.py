@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episurv.llm import chat, exact, html, language, lines, packing, shards, simhash, substrings
-from episurv.llm.common import table
+from episurv.llm import alignment, chat, exact, html, language, licenses, lines, packing, shards, simhash, substrings, variants
+from episurv.llm.common import stored, table
 from episurv.llm.decontaminate import contamination_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,6 +209,63 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"))
+    n_groups = F.size("links").cast("long")
+    rows = stored(
+        found.select(
+            F.monotonically_increasing_id().alias("_row"),
+            F.col("doc_id").cast("long").alias("doc_id"),
+            "n_a",
+            "n_b",
+            n_groups.alias("n_groups"),
+            F.when(n_groups == 0, "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"),
+            "links",
+        ),
+        "aligned",
+    )
+    scores = alignment.link_scores(rows, "_row")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_links", "n_best", "count_sum")]
+    return rows.join(scores, "_row", "left").select("doc_id", "n_a", "n_b", "n_groups", *counts, "groups_sha256")
+
+
+#: One run of letters of so many loses a letter before variants are grouped.
+LOSES_A_LETTER = 31
+
+
+@query()
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = variants.runs_of_letters(table(spark, sf_dir, "documents"), "text", "doc_id")
+    # Only those that are long enough afterwards matter; others are not hashed.
+    runs = runs.filter(F.length("run") >= variants.LEAST_LENGTH)
+    owner = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    h = F.crc32(F.concat(owner, F.lit(":"), F.col("run")).cast("binary"))
+    at = F.pmod("_hash", F.length("run"))
+    less = F.concat(F.col("run").substr(F.lit(1), at), F.col("run").substr(at + 2, F.length("run")))
+    words = runs.select("run", h.alias("_hash")).select(
+        F.when(F.col("_hash") % LOSES_A_LETTER == 0, less).otherwise(F.col("run")).alias("word")
+    )
+    return variants.group_variants(variants.counted_words(words)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query()
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] == "base")
+    first = F.transform(base, lambda s: s["first"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(first).alias("first_word"),
+        F.array_max(first).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda s: s["label"]))), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
