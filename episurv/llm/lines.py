@@ -1,10 +1,12 @@
 """Line deduplication by winnowing over line hashes.
 
-A fingerprint is the hash of two neighbouring lines. Of each three neighbouring fingerprints the smallest is selected, so any
-run of four equal lines shares a selected one. Selected fingerprints that occur once are out. Around the
-others matches are extended both ways, to every run of four lines that contains them; a run seen at an earlier
-position is a later repeat, and overlapping repeats make up the maximal one that is deleted. Occurrences are compared with
-the earliest one only, never with each other.
+Each solid line of a text has a hash. A window is the run of lines from one line on that reaches the least number of words or of
+lines; the line with the smallest hash in it is its guaranteed fingerprint. Fingerprints that stand in one place only
+are out. Windows around the others are joined with the earliest place of the same window, and each such match is extended both ways,
+line by line, as long as both places go on alike; what the matches of a document cover together are its later repeats, which
+are deleted. Places are compared with the earliest one of their window only, never with each other.
+
+Texts stay in Spark expressions from end to end; only the hashes of lines go through Python.
 """
 
 from __future__ import annotations
@@ -13,141 +15,188 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from episurv.llm.common import KEY, key_columns, keyed, map_texts, mixed, others, slices, stored, text_bytes, window_minima
 
-#: Lines of a fingerprint; fingerprints of a window. Runs of LINES + WINDOW - 1 lines are found for certain.
-LINES, WINDOW = 2, 3
+from episurv.llm.common import KEY, SPACES, key_columns, mixed, others, stored
 
+#: Words, or else lines, of the shortest repeat that is deleted.
+WORDS, LINES = 50, 4
+_BLANKS = r"[\x20\x09-\x0D]+"
 
-def solid_lines(text: bytes) -> list[tuple[int, bytes]]:
-    """Number in the text and content of each line that is not blank, without white space at its ends."""
-    return [(i, s) for i, line in enumerate(text.split(b"\n")) if (s := line.strip())]
 
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
-def _line_hashes(contents: list[bytes]) -> np.ndarray:
-    """Two 64-bit hashes of each line."""
-    both = [xxhash.xxh3_128_intdigest(c) for c in contents]
-    return np.array([(h & (2**64 - 1), h >> 64) for h in both], np.uint64).reshape(-1, 2)
 
+def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _k, _h, _n, _lines): number of lines, and for each solid one where it stands, its words, two hashes.
 
-def _runs(hashes: np.ndarray, length: int) -> np.ndarray:
-    """Two hashes of each run of `length` lines."""
-    n = len(hashes) - length + 1
-    out = np.zeros((max(0, n), 2), np.uint64)
-    for i in range(length):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + max(0, n)] + np.uint64(i + 1))
-    return out
+    A line is what stands between line feeds, taken without white space at its ends; it is solid if something is left.
+    """
+    content = F.transform(_lines(F.col(text_col)), lambda x: F.btrim(x, F.lit(SPACES)))
+    numbered = F.transform(content, lambda x, i: F.struct(i.alias("at"), x.alias("s")))
+    solid = F.filter(numbered, lambda x: x["s"] != "")
+    hashed = F.transform(
+        solid,
+        lambda x: F.struct(
+            x["at"].alias("at"),
+            F.size(F.split(x["s"], _BLANKS)).alias("words"),
+            F.xxhash64(x["s"]).alias("a"),
+            F.xxhash64(F.lit(7), x["s"]).alias("b"),
+        ),
+    )
+    return docs.select(
+        F.col(id_col).alias("_id"),
+        *key_columns(id_col, text_col),
+        F.coalesce(hashed, F.array().cast("array<struct<at:int,words:int,a:bigint,b:bigint>>")).alias("_lines"),
+    )
 
 
-FINGERPRINTS = "_k long, _h long, _fp long, _runs array<struct<at:int,a:long,b:long>>"
+def window_ends(words: np.ndarray, least_words: int, least_lines: int) -> np.ndarray:
+    """For each line the line after the window that begins there; beyond the last line if the text ends before."""
+    total = np.r_[0, np.cumsum(words)]
+    by_words = np.searchsorted(total, total[:-1] + least_words)
+    by_lines = np.arange(len(words)) + least_lines
+    ends = np.minimum(by_words, by_lines)
+    return np.where(ends <= len(words), ends, len(words) + 1)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], lines: int, window: int) -> Iterator[pa.RecordBatch]:
-    """For each selected fingerprint the runs it was selected for: each run of a document once."""
-    run_type = pa.struct([("at", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+def _windows(batches: Iterator[pa.RecordBatch], words: int, lines: int, reach: int) -> Iterator[pa.RecordBatch]:
+    """For each window its fingerprint, two hashes, place, and the hashes of up to `reach` lines on either side."""
+    factor = np.uint64(0x9E3779B97F4A7C15)
     for batch in batches:
-        for part in slices(batch, "_text"):
-            rows, prints, offsets, ats, runs_out = [], [], [0], [], []
-            total = 0
-            for row, text in enumerate(text_bytes(part.column("_text"))):
-                hashes = _line_hashes([c for _, c in solid_lines(text)])
-                if len(hashes) < lines + window - 1:
-                    continue
-                fps = _runs(hashes, lines)[:, 0]
-                runs = _runs(hashes, lines + window - 1)
-                chosen = window_minima(fps, window)  # of each run, the place of its fingerprint
-                heads = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
-                rows.append(np.full(len(heads), row))
-                prints.append(fps[chosen[heads]])
-                offsets.extend((total + np.r_[heads[1:], len(chosen)]).tolist())
-                total += len(chosen)
-                ats.append(np.arange(len(chosen), dtype=np.int32))
-                runs_out.append(runs)
-            if not rows:
+        table = batch.column("_lines")
+        sizes = np.asarray(pa.compute.list_value_length(table))
+        flat = table.flatten()
+        n_words, a, b = (np.asarray(flat.field(c)) for c in ("words", "a", "b"))
+        a, b = a.view(np.uint64), b.view(np.uint64)
+        first = np.cumsum(np.r_[0, sizes])
+        out = {c: [] for c in ("row", "at", "end", "print", "x", "y")}
+        before, after = [], []
+        for row in np.flatnonzero(sizes):
+            lo, n = first[row], int(sizes[row])
+            ends = window_ends(n_words[lo : lo + n], words, lines)
+            starts = np.flatnonzero(ends <= n)
+            ends = ends[starts]
+            if not len(starts):
                 continue
-            at_row = pa.array(np.concatenate(rows))
-            both = np.concatenate(runs_out).view(np.int64)
-            items = pa.StructArray.from_arrays(
-                [pa.array(np.concatenate(ats)), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))],
-                fields=list(run_type),
-            )
+            ha, hb = a[lo : lo + n], b[lo : lo + n]
+            x, y = (ends - starts).astype(np.uint64), np.zeros(len(starts), np.uint64)
+            low = np.full(len(starts), np.iinfo(np.uint64).max)
+            for step in range(int((ends - starts).max())):
+                inside = np.flatnonzero(starts + step < ends)
+                here = starts[inside] + step
+                x[inside] = mixed(x[inside] * factor + ha[here])
+                y[inside] = mixed(y[inside] * factor + hb[here])
+                low[inside] = np.minimum(low[inside], ha[here])
+            out["row"].append(np.full(len(starts), row))
+            for name, values in (("at", starts), ("end", ends), ("print", low), ("x", x), ("y", y)):
+                out[name].append(values)
+            line = ha.view(np.int64)
+            before += [line[max(0, s - reach) : s][::-1].tolist() for s in starts]
+            after += [line[e : e + reach].tolist() for e in ends]
+        if out["row"]:
+            whole = {name: np.concatenate(values) for name, values in out.items()}
+            at_row = pa.array(whole["row"])
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(part.column(c).take(at_row) for c in ("_id", "_k", "_h")),
-                    pa.array(np.concatenate(prints).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items),
+                    *(batch.column(c).take(at_row) for c in ("_id", *KEY)),
+                    *(pa.array(whole[c].astype(np.int32)) for c in ("at", "end")),
+                    *(pa.array(whole[c].view(np.int64)) for c in ("print", "x", "y")),
+                    *(pa.array(lists, pa.list_(pa.int64())) for lists in (before, after)),
                 ],
-                ["_id", "_k", "_h", "_fp", "_runs"],
+                ["_id", *KEY, "_at", "_end", "_fp", "_a", "_b", "_before", "_after"],
             )
 
 
-def repeated_runs(docs: DataFrame, lines: int = LINES, window: int = WINDOW) -> DataFrame:
-    """(_k, _h, _at): per document the first line (of solid ones, from 0) of each run that occurs earlier."""
-    id_kind = docs.schema["_id"].dataType.simpleString()
+def _alike(x: Column, y: Column) -> Column:
+    """How many values two arrays have in common from their start on."""
+    same = F.zip_with(x, y, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    first = F.array_position(same, False)
+    return F.when(first > 0, first - 1).otherwise(F.size(same))
+
+
+def repeats(lines: DataFrame, least_words: int = WORDS, least_lines: int = LINES) -> DataFrame:
+    """(_id, _k, _h, _from, _to, _source): runs of solid lines (numbered from 0, the end is not included) that match an earlier
+    place; the source has the earlier document's _id, _k, _h and the line there. `lines` is a stored `line_table`.
+
+    Of the maximal run of a match those lines that are no part of another match are at most `least_lines` less one on either side,
+    so an extension by so many makes it whole.
+    """
+    reach = max(0, min(least_words, least_lines) - 1)
+    kind = lines.schema["_id"].dataType.simpleString()
+    schema = f"_id {kind}, _k long, _h long, _at int, _end int, _fp long, _a long, _b long, _before array<long>, _after array<long>"
     found = stored(
-        map_texts(docs, lambda batches: _fingerprints(batches, lines, window), f"_id {id_kind}, {FINGERPRINTS}"),
-        "line-fingerprints",
+        lines.select("_id", *KEY, "_lines").mapInArrow(lambda batches: _windows(batches, least_words, least_lines, reach), schema),
+        "line-windows",
     )
     # Stored sides of a join stand behind an exchange of their own, so that hot keys of the other side can be split.
-    repeated = stored(found.groupBy("_fp").count().filter("count > 1").select("_fp"), "line-repeated")
-    runs = (
-        found.join(repeated, "_fp", "left_semi")
-        .select("_id", "_k", "_h", F.explode("_runs").alias("_run"))
-        .select(
-            F.struct(F.col("_id").isNotNull().alias("known"), "_id", "_k", "_h", F.col("_run.at").alias("at")).alias("_place"),
-            F.col("_run.a").alias("_a"),
-            F.col("_run.b").alias("_b"),
-        )
-    )
-    ends = runs.groupBy("_a", "_b").agg(F.min("_place").alias("_first"), F.max("_place").alias("_last"))
+    repeated = stored(found.groupBy("_fp").agg(F.count("*").alias("_n")).filter("_n > 1").select("_fp"), "line-repeated")
+    place = F.struct(F.col("_id").isNotNull().alias("known"), "_id", *KEY, F.col("_at").alias("at"), "_before", "_after")
+    windows = found.join(repeated, "_fp", "left_semi").select("_a", "_b", "_end", place.alias("_place"))
+    ends = windows.groupBy("_a", "_b").agg(F.min("_place").alias("_first"), F.max("_place").alias("_last"))
     first = stored(ends.filter("_first < _last").drop("_last"), "line-first")
-    later = runs.join(first, ["_a", "_b"]).filter("_place > _first")
-    return later.groupBy(F.col("_place._k").alias("_k"), F.col("_place._h").alias("_h")).agg(
-        F.sort_array(F.collect_set("_place.at")).alias("_at")
+    later = windows.join(first, ["_a", "_b"]).filter("_place > _first")
+    back, on = (_alike(F.col(f"_place.{c}"), F.col(f"_first.{c}")) for c in ("_before", "_after"))
+    return later.select(
+        *[F.col(f"_place.{c}").alias(c) for c in ("_id", *KEY)],
+        (F.col("_place.at") - back).cast("int").alias("_from"),
+        (F.col("_end") + on).cast("int").alias("_to"),
+        F.struct("_first._id", "_first._k", "_first._h", (F.col("_first.at") - back).cast("int").alias("at")).alias("_source"),
     )
 
 
+def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which lines of a document go, by their numbers among all lines."""
+    for batch in batches:
+        masks, gone = [], []
+        for at, spans in zip(batch.column("_at"), batch.column("_spans").to_pylist()):
+            at = np.asarray(at.values)
+            change = np.zeros(len(at) + 1, np.int64)
+            for span in spans:
+                change[span["from"]] += 1
+                change[span["to"]] -= 1
+            out = np.cumsum(change[:-1]) > 0
+            mask = np.zeros(int(at[-1]) + 1, bool)
+            mask[at[out]] = True
+            masks.append(mask.tolist())
+            gone.append(int(out.sum()))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in KEY), pa.array(masks, pa.list_(pa.bool_())), pa.array(gone, pa.int64())],
+            [*KEY, "_mask", "_gone"],
+        )
+
+
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: int = LINES, window: int = WINDOW
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = WORDS, least_lines: int = LINES
 ) -> DataFrame:
     """For each row: _row (a struct of its other columns), kept text, number of solid lines, of those removed.
 
-    A line is what stands between line feeds; lines of white space only are passed over and stay, and others are compared
-    without white space at their ends. A line goes if it lies in a run of lines + window - 1 consecutive
-    (solid) lines which also starts at an earlier place: at a smaller id (null first), or before it in the same document. Rows
-    alike in id and text are treated alike, neither being earlier. Null texts stay null; an empty table gives an
-    empty result.
+    Lines of white space only are passed over and stay; others are compared without white space at their ends. From each solid
+    line on, a window reaches `least_words` words or `least_lines` lines. A window that also stands at an earlier place (at a
+    smaller id, null first, or before it in the same document) goes, and so do the lines next to it that are the same as
+    next to the earliest such place. Rows alike in id and text are treated alike, neither being earlier. Null texts stay
+    null; an empty table gives an empty result.
     """
-    length = lines + window - 1
-    repeats = repeated_runs(keyed(docs, id_col, text_col), lines, window)
+    lines = stored(line_table(docs, id_col, text_col), "lines")
+    spans = repeats(lines, least_words, least_lines).groupBy(*KEY).agg(
+        F.collect_set(F.struct(F.col("_from").alias("from"), F.col("_to").alias("to"))).alias("_spans")
+    )
+    # Rows alike share their lines, so one of them is enough.
+    places = lines.filter(F.size("_lines") > 0).groupBy(*KEY).agg(F.first(F.col("_lines.at")).alias("_at"))
+    masks = stored(
+        places.join(stored(spans, "line-spans"), KEY)
+        .select(*KEY, "_at", "_spans")
+        .mapInArrow(_masks, "_k long, _h long, _mask array<boolean>, _gone long"),
+        "line-masks",
+    )
     rows = docs.select(others(docs, text_col).alias("_row"), F.col(text_col).alias("_text"), *key_columns(id_col, text_col))
-    marked = rows.join(repeats, KEY, "left").select("_row", "_text", "_at")
-    names = ["_row", "_text", "_lines", "_removed"]
-
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                texts, totals, gone = [], [], []
-                for text, at in zip(part.column("_text").to_pylist(), part.column("_at").to_pylist()):
-                    solid = solid_lines((text or "").encode())
-                    totals.append(len(solid))
-                    out = np.zeros(len(solid), bool)
-                    for a in at or ():
-                        out[a : a + length] = True
-                    gone.append(int(out.sum()))
-                    if at:
-                        drop = {solid[i][0] for i in np.flatnonzero(out)}
-                        text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
-                    texts.append(text)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("_row"), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())],
-                    names,
-                )
-
-    schema = T.StructType([*rows.schema.fields[:2]]).add("_lines", "long").add("_removed", "long")
-    return map_texts(marked, remove, schema)
+    stays = F.filter(_lines(F.col("_text")), lambda x, i: ~F.coalesce(F.get("_mask", i), F.lit(False)))
+    solid = F.filter(_lines(F.col("_text")), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    return rows.join(masks, KEY, "left").select(
+        "_row",
+        F.when(F.col("_mask").isNull(), F.col("_text")).otherwise(F.array_join(stays, "\n")).alias("_text"),
+        F.coalesce(F.size(solid), F.lit(0)).cast("long").alias("_lines"),
+        F.coalesce("_gone", F.lit(0).cast("long")).alias("_removed"),
+    )

@@ -151,18 +151,33 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(r"""
+def _alike(x: str, y: str) -> str:
+    """SQL for how many of the three neighbours on one side are the same."""
+    first, second, third = (f"{x}[{k}] = {y}[{k}]" for k in (1, 2, 3))
+    return f"CASE WHEN {first} THEN CASE WHEN {second} THEN CASE WHEN {third} THEN 3 ELSE 2 END ELSE 1 END ELSE 0 END"
+
+
+@query(rf"""
 WITH cut AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 whole AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS n FROM cut),
 solid AS (
-  SELECT doc_id, n, s, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i
+  SELECT doc_id, n, s, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i
   FROM (SELECT doc_id, n, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM whole) WHERE s <> ''),
-runs AS (
-  SELECT doc_id, i, s || chr(10) || lead(s, 1) OVER w || chr(10) || lead(s, 2) OVER w || chr(10) || lead(s, 3) OVER w AS r
-  FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-later AS (SELECT doc_id, i FROM (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY r ORDER BY doc_id, i) AS k FROM runs WHERE r IS NOT NULL) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 4)) AS i FROM later),
+near AS (
+  SELECT *, [lead(s, 1) OVER v, lead(s, 2) OVER v, lead(s, 3) OVER v] AS after, [lag(s, 1) OVER v, lag(s, 2) OVER v, lag(s, 3) OVER v] AS before,
+    CASE WHEN w >= 50 THEN 1 WHEN w + lead(w, 1) OVER v >= 50 THEN 2 WHEN w + lead(w, 1) OVER v + lead(w, 2) OVER v >= 50 THEN 3
+      WHEN lead(s, 3) OVER v IS NOT NULL THEN 4 END AS size
+  FROM solid WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT doc_id, i, size, array_to_string(list_concat([s], after)[1:size], chr(10)) AS r FROM near WHERE size IS NOT NULL),
+placed AS (SELECT doc_id, i, size, first_value(doc_id) OVER v AS other, first_value(i) OVER v AS k FROM runs WINDOW v AS (PARTITION BY r ORDER BY doc_id, i)),
+later AS (SELECT * FROM placed WHERE doc_id <> other OR i <> k),
+spans AS (
+  SELECT later.doc_id, later.i - {_alike('a.before', 'b.before')} AS lo, later.i + later.size + {_alike('c.after', 'd.after')} AS hi FROM later
+  JOIN near a ON a.doc_id = later.doc_id AND a.i = later.i
+  JOIN near b ON b.doc_id = later.other AND b.i = later.k
+  JOIN near c ON c.doc_id = later.doc_id AND c.i = later.i + later.size - 1
+  JOIN near d ON d.doc_id = later.other AND d.i = later.k + later.size - 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(lo, hi)) AS i FROM spans),
 marked AS (SELECT w.doc_id, w.n, w.line, s.i IS NOT NULL AS solid, g.i IS NOT NULL AS drop
   FROM whole w LEFT JOIN solid s USING (doc_id, n) LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = s.i)
 SELECT doc_id, (count(*) FILTER (solid))::BIGINT AS n_lines, (count(*) FILTER (drop))::BIGINT AS n_removed,

@@ -169,31 +169,55 @@ def test_substrings_of_repeated_rows(spark):
 # ---- lines ------------------------------------------------------------------------------------
 
 
-def brute_lines(texts, length):
+def brute_lines(texts, words=50, lines_of=4):
+    """Number of solid lines, of those removed, kept text; texts stand in the order of their ids."""
     solid = [[(i, s) for i, x in enumerate((t or "").split("\n")) if (s := x.strip(" \t\n\x0b\f\r"))] for t in texts]
-    seen, out = set(), []
-    for rows, text in zip(solid, texts):
+    first, reach = {}, min(words, lines_of) - 1
+
+    def window(rows, i):
+        total = 0
+        for j in range(i, len(rows)):
+            total += len(re.findall(r"[^\x20\x09-\x0D]+", rows[j][1]))
+            if total >= words or j - i + 1 >= lines_of:
+                return tuple(s for _, s in rows[i : j + 1])
+        return None
+
+    def alike(a, b, x, y, step):
+        n = 0
+        while n < reach and 0 <= x < len(a) and 0 <= y < len(b) and a[x][1] == b[y][1]:
+            n, x, y = n + 1, x + step, y + step
+        return n
+
+    out = []
+    for doc, (rows, text) in enumerate(zip(solid, texts)):
         gone = set()
-        for i in range(len(rows) - length + 1):
-            run = tuple(s for _, s in rows[i : i + length])
-            if run in seen:
-                gone.update(range(i, i + length))
-            seen.add(run)
+        for i in range(len(rows)):
+            if (run := window(rows, i)) is None:
+                continue
+            where, k = first.setdefault(run, (doc, i))
+            if (where, k) != (doc, i):
+                other, size = solid[where], len(run)
+                lo, hi = i - alike(rows, other, i - 1, k - 1, -1), i + size + alike(rows, other, i + size, k + size, 1)
+                gone.update(range(lo, hi))
         drop = {rows[i][0] for i in gone}
         kept = None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
         out.append((len(rows), len(gone), kept))
     return out
 
 
-@pytest.mark.parametrize("lines_of,window", [(2, 3), (1, 1), (3, 4)])
-def test_lines(spark, lines_of, window):
+@pytest.mark.parametrize("words,lines_of", [(50, 4), (5, 3), (1, 1), (9, 100), (1000, 2)])
+def test_lines(spark, words, lines_of):
     rng = random.Random(4)
-    pool = [f"line {i}" for i in range(12)] + ["", "  ", "\x0b"]
+    pool = [f"line {i}" for i in range(12)] + ["", "  ", "\x0b", "one", "a line of six words each"]
     texts = [None, "", "\n\n", "a"] + ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 25))) for _ in range(80)]
     texts += [" x \n" * 30, texts[9], "\n ".join(f"line {i}" for i in range(12)), "\n".join(f"line {i}" for i in range(12))]
-    found = lines.dedup_lines(frame(spark, texts), lines=lines_of, window=window)
+    passage = sentence(rng, 60)
+    texts += [f"own {i}\n{passage}\n{'tail' if i % 2 else 'end'}\nlast {i}" for i in range(4)]
+    found = lines.dedup_lines(frame(spark, texts), least_words=words, least_lines=lines_of)
     got = {r["_row"]["doc_id"]: (r["_lines"], r["_removed"], r["_text"]) for r in found.collect()}
-    assert [got[i] for i in range(len(texts))] == brute_lines(texts, lines_of + window - 1)
+    assert [got[i] for i in range(len(texts))] == brute_lines(texts, words, lines_of)
+    if words == 50:
+        assert [got[len(texts) - k][1] for k in (4, 3, 2, 1)] == [0, 1, 2, 1]  # the second tail stands apart from its like
 
 
 # ---- near duplicates --------------------------------------------------------------------------
