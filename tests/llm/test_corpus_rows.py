@@ -492,6 +492,61 @@ def test_pages_with_articles(spark):
     assert all(got[i] == f"H{i} & co One two{i} three" for i in range(5)) and got[9] == "only é <text>"
 
 
+LAYOUTS = ["has-sidebar", "content-with-sidebar", "no-sidebar", "search-results", "layout header-fixed", "comment-page", "search", "header"]
+
+
+def test_layout_classes_keep_the_article(spark):
+    pages = []
+    for i, name in enumerate(LAYOUTS):
+        for n in range(2):
+            inner = f"<div class='sidebar'>Side</div><article><p class='notice-of-award'>Award {n}</p><p>Text {i} {n}</p><div class='ad'>Buy</div></article>"
+            pages.append((10 * i + n, f"http://{i}.example/{n}", page(f"<div class='{name}'>{inner}</div><div class='comments'><article>Reader {n}</article></div>")))
+    got = extracted(spark, pages)
+    for i in range(len(LAYOUTS) - 2):
+        assert [got[10 * i + n] for n in range(2)] == [f"Award {n} Text {i} {n}" for n in range(2)], LAYOUTS[i]
+    for i in (6, 7):  # marked by whole words, with nothing clear of marks on the page: better too much than nothing
+        assert all(f"Award {n} Text {i} {n}" in got[10 * i + n] for n in range(2)), LAYOUTS[i]
+
+
+def test_wrapper_decides_where_no_tag_does(spark):
+    """Inside the content region what is the same on all pages goes. By one page alone it could not be told."""
+    body = "<div class=a><div class=c><div class=s>Share this with your friends</div><h2>Title {0}</h2><div class=t>{1}</div><div class=u>All rights kept</div></div></div>"
+    pages = [(i, f"https://c.example/{i}", page(body.format(i, f"text {i} " * (i + 3)))) for i in range(5)]
+    got = extracted(spark, pages)
+    assert got == {i: f"Title {i} " + " ".join([f"text {i}"] * (i + 3)) for i in range(5)}
+    alone = html.extract(pages[0][2], None, ([], False))
+    assert "Share this" in alone and "All rights" in alone
+
+
+def test_constant_blocks_of_an_article_stay(spark):
+    pages = [(i, f"https://d.example/{i}", page(f"<div class=l>Menu</div><article><h1>News</h1><p>Text {i}</p></article>")) for i in range(5)]
+    assert extracted(spark, pages) == {i: f"News Text {i}" for i in range(5)}
+
+
+def test_deep_pages(spark):
+    pages = [
+        (0, "http://e.example/0", "<div>" * 10_000 + "deep" + "</div>" * 10_000),
+        (1, "http://e.example/1", "<div>" * 10_000 + "deeper"),
+        (2, "http://e.example/2", "<font>" * 10_000 + "inline <p>and a block"),
+        (3, "http://e.example/3", "<article>" + "<b><div>" * 5_000 + "both</article>"),
+    ]
+    got = extracted(spark, pages)
+    assert got[0] == "deep" and got[1] == "deeper" and got[3] == "both" and "and a block" in got[2]
+
+
+def test_wrapper_does_not_grow_with_the_pages():
+    rng, wrapper, sizes = random.Random(3), None, []
+    for i in range(10_000):
+        divs = "".join(f"<div class='x{rng.choice('abcdefgh')}{''.join(rng.choices('abcdefghij', k=8))}' id='n{rng.random()}'>t</div>" for _ in range(3))
+        shape = html._light(html._page_shape(page(f"{divs}<div class=text>Text {i}</div>")))
+        wrapper = shape if wrapper is None else html.merged(wrapper, shape)
+        if wrapper.pages % html.THIN_EVERY == 0:
+            wrapper = html.thinned(wrapper)
+            sizes.append(sum(1 for _ in wrapper.below()))
+    assert wrapper.pages == 10_000 and max(sizes) <= 5
+    assert html.Shape.unpacked(wrapper.packed()).packed() == wrapper.packed()
+
+
 def test_pages_without_articles(spark):
     """What is the same on all pages is template, what varies is content."""
     body = "<div class=top><p>Welcome to the site</p></div><div class=x><div class=y><h2>Title {0}</h2><p>Text of page {0} {1}</p></div></div><div class=end><p>Legal words</p></div>"
