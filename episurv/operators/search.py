@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,102 +12,33 @@ from pyspark.sql import functions as F
 from episurv.functions import patterns as p
 from episurv.functions.codes import STATE_CODES
 from episurv.functions.columns import as_col
+from episurv.operators.cells import build_cells, search_cells
 from episurv.operators.filters import equality_filters
-from episurv.session import scratch_path
+from episurv.operators.vectors import SCORE_DIGITS, Best, found_schema, ids_of, key_type, matrix_of, unit_rows
 
 # Search depth and re-ranking factors.
 TOP_K, MAX_POOL = 5, 15
+DOCUMENT_TYPES = ("geographic", "temporal")
 SUMMARY_TABLE, SUMMARY_FACTOR = "gold_resumo_geral", 1.2
 RECENT_YEARS, RECENT_FACTOR = ("2024", "2025"), 1.1
 STATE_FACTOR, MONTH_FACTOR = 1.15, 1.1
 
-# Scores are compared at this precision, so copies of one vector tie and go by id.
-SCORE_DIGITS = 10
 # Bytes of query vectors that travel with the tasks of one scan.
 CARRIED_BYTES = 16 << 20
 
 
-def _unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    norms = np.sqrt((matrix * matrix).sum(axis=1))
-    good = norms > 0
-    return matrix[good] / norms[good, None], good
-
-
-class _Best:
-    """The k best (score, id) of each query seen so far."""
-
-    def __init__(self, queries: np.ndarray, k: int):
-        self.queries, self.k = queries, k
-        self.scores: list[np.ndarray] = [np.empty(0)] * len(queries)
-        self.ids: list[np.ndarray | None] = [None] * len(queries)
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        unit, good = _unit(vectors)
-        ids = ids[good]
-        if not len(ids):
-            return
-        scores = np.round(self.queries @ unit.T, SCORE_DIGITS)
-        for q in range(len(self.queries)):
-            row = scores[q]
-            floor = self.scores[q][self.k - 1] if len(self.scores[q]) >= self.k else -np.inf
-            if len(row) > self.k:
-                floor = max(floor, np.partition(row, len(row) - self.k)[len(row) - self.k])
-            near = row >= floor
-            s, i = row[near], ids[near]
-            if self.ids[q] is not None:
-                s, i = np.concatenate([self.scores[q], s]), np.concatenate([self.ids[q], i])
-            order = np.lexsort((i, -s))[: self.k]
-            self.scores[q], self.ids[q] = s[order], i[order]
-
-    def rows(self, query_ids: Sequence) -> pd.DataFrame:
-        return pd.DataFrame(
-            [
-                (query, id_.item(), score)
-                for query, ids, scores in zip(query_ids, self.ids, self.scores)
-                if ids is not None
-                for id_, score in zip(ids, scores)
-            ],
-            columns=["query_id", "id", "score"],
-        )
-
-
-def _key_type(df: DataFrame, name: str) -> str:
-    """Ids are whole numbers or text."""
-    return "bigint" if df.schema[name].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
-
-
-def _found_schema(query_type: str, id_type: str) -> tuple[str, pa.Schema]:
-    arrow = {"bigint": pa.int64(), "string": pa.string()}
-    fields = [("query_id", arrow[query_type]), ("id", arrow[id_type]), ("score", pa.float64())]
-    return f"query_id {query_type}, id {id_type}, score double", pa.schema(fields)
-
-
-def _ids(values: np.ndarray) -> np.ndarray:
-    """Ids in a type that sorts; text arrives as objects."""
-    return values.astype(str) if values.dtype == object else values
-
-
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-
-
 def _scan(query_ids: list, queries: np.ndarray, k: int, schema: pa.Schema):
     dim = queries.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(queries, k)
+        best = Best(queries, k)
         for batch in batches:
-            best.add(_ids(batch.column(0).to_numpy(zero_copy_only=False)), _matrix(batch.column(1), dim))
+            best.add(ids_of(batch.column(0).to_numpy(zero_copy_only=False)), matrix_of(batch.column(1), dim))
         yield pa.RecordBatch.from_pandas(best.rows(query_ids), schema=schema, preserve_index=False)
 
     return run
 
 
-def _chunks(rows: Iterator, size: int) -> Iterator[list]:
-    while chunk := list(islice(rows, size)):
-        yield chunk
-
-
 def knn(
     queries: DataFrame,
     corpus: DataFrame,
@@ -125,28 +54,28 @@ def knn(
     """The k most similar documents of each query: query_id, id, score, rank.
 
     `dim` is the length of the vectors, by default that of the longest one in the corpus (a small job). Queries and
-    documents are treated alike: zero and missing vectors, and those of another length, take no part. Query
-    vectors travel with the scan tasks in chunks of at most CARRIED_BYTES (or `max_carried` rows). What a chunk finds is
-    written to the shared folder before the next one is fetched, so the driver holds one chunk and the plan none. For each chunk a task reads its part of the corpus once and
-    returns its k best per query, so the shuffle holds k rows per query and task. The result is exact for any number.
+    documents are treated alike: zero and missing vectors, and those of another length, take no part. Queries of at most CARRIED_BYTES
+    (or `max_carried` rows) travel with the tasks of one scan, each of which reads its part of the corpus once and returns its k
+    best per query. More of them are searched by cells (see `cells`), where no query passes through the driver. The result is
+    exact and the same on either way.
     """
     kept = equality_filters(corpus, filters) if filters else corpus
-    query_type, id_type = _key_type(queries, query_id), _key_type(corpus, doc_id)
-    schema, arrow = _found_schema(query_type, id_type)
+    query_type, id_type = key_type(queries, query_id), key_type(corpus, doc_id)
+    schema, arrow = found_schema(query_type, id_type)
     if dim is None:
         dim = corpus.agg(F.max(F.size(vector)).alias("n")).first()["n"] or 0
     q = queries.select(F.col(query_id).cast(query_type).alias("query_id"), F.col(query_vector).cast("array<double>").alias("vector"))
+    q = q.filter(F.size("vector") == dim)
+    size = max_carried or max(1, CARRIED_BYTES // (8 * max(1, dim)))
+    few = q.limit(size + 1).collect()  # at most what one scan carries, and one more
+    if len(few) > size:
+        return search_cells(q, build_cells(kept, dim, doc_id, vector), k).found
     c = kept.filter(F.size(F.coalesce(F.col(vector), F.array().cast("array<float>"))) == dim).select(
         F.col(doc_id).cast(id_type).alias("id"), F.col(vector).alias("vector")
     )
-    size = max_carried or max(1, CARRIED_BYTES // (8 * max(1, dim)))
-    path = scratch_path(queries.sparkSession, "knn")
-    queries.sparkSession.createDataFrame([], schema).write.parquet(path)
-    for chunk in _chunks(q.filter(F.size("vector") == dim).toLocalIterator(), size):
-        units, good = _unit(np.array([r.vector for r in chunk], dtype=np.float64).reshape(len(chunk), dim))
-        ids = [r.query_id for r, ok in zip(chunk, good) if ok]
-        c.mapInArrow(_scan(ids, units, k, arrow), schema).write.mode("append").parquet(path)
-    found = queries.sparkSession.read.schema(schema).parquet(path)
+    units, good = unit_rows(np.array([r.vector for r in few], dtype=np.float64).reshape(len(few), dim))
+    ids = [r.query_id for r, ok in zip(few, good) if ok]
+    found = c.mapInArrow(_scan(ids, units, k, arrow), schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -223,12 +152,10 @@ def typed(
     queries: DataFrame, corpus: DataFrame, k: int = TOP_K, text: str = "text", doc_id: str = "doc_id",
     vector: str = "embedding", **terms: Sequence[str],
 ) -> DataFrame:
-    """Search among documents of the type each question asks for, or among all."""
+    """Search among documents of the type each question asks for, or among all: one index, whose cells are apart by type, and one
+    search for all questions."""
     asked = queries.withColumn("semantic_type", question_document_type(text, **terms))
-    parts = []
-    for kind in ("geographic", "temporal", None):
-        mine = asked.filter(F.col("semantic_type").isNull() if kind is None else F.col("semantic_type") == kind)
-        filters = {"semantic_type": kind} if kind else None
-        found = knn(mine, corpus, k, doc_id=doc_id, vector=vector, filters=filters)
-        parts.append(found.withColumn("semantic_type", F.lit(kind).cast("string")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    dim = corpus.agg(F.max(F.size(vector)).alias("n")).first()["n"] or 0
+    index = build_cells(corpus, dim, doc_id, vector, kind="semantic_type", kinds=DOCUMENT_TYPES)
+    found = search_cells(asked, index, k, wanted="semantic_type").found
+    return found.join(asked.select(F.col("query_id"), "semantic_type"), "query_id")

@@ -13,7 +13,7 @@ from episurv.functions import templates as t
 from episurv.functions.codes import STATE_CODES
 from episurv.functions.documents import content_hash, head_and_tail
 from episurv.operators import documents as docs
-from episurv.operators import audit, guard, search, usage
+from episurv.operators import audit, cells, guard, search, usage
 from episurv.operators import textrules as tx
 from episurv.plans import gold
 from episurv.plans.cases import table
@@ -654,6 +654,17 @@ def r7_blocks(spark, d):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query("r7_cells_read")
+def r7_read(spark, d):
+    """What the search of all rows against all reads of the index: depends on the cells, so SQL has no twin."""
+    corpus = _corpus(spark, d)
+    asked = corpus.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = cells.build_cells(corpus, corpus.agg(F.max(F.size("embedding"))).first()[0] or 0)
+    reads = cells.search_cells(asked, index, 3).reads
+    total = index.cells.agg(F.count("*").alias("cells"), F.sum("rows").alias("rows")).first()
+    return reads.withColumns({"all_cells": F.lit(total["cells"]), "all_rows": F.lit(total["rows"])})
+
+
 @query(
     "r8_knn_filtered",
     f"""WITH {CENTROIDS}, {CORPUS.replace('ON vec_id = doc_id', "ON vec_id = doc_id WHERE label % 3 = 1 AND vec_id % 2 = 0")}, {SCORES}, {RANKED}

@@ -1,17 +1,83 @@
-"""Queries in many chunks: the plan does not grow with them."""
+"""Queries that are too many for one scan: cells of the index, next to all pairs."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from episurv.operators.cells import build_cells, search_cells
 from episurv.operators.search import knn
+from episurv.operators import cells
 
 
-def test_plan_holds_no_chunk(spark):
+def frame(spark, vectors, kinds=None):
+    rows = [(i, [float(x) for x in v], kinds[i] if kinds else None) for i, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, "doc_id long, embedding array<float>, kind string")
+
+
+def brute(queries, corpus, k, allowed=lambda q, c: True):
+    a, b = (np.array(x, np.float32).astype(float) for x in (queries, corpus))
+    a, b = (x / np.maximum(1e-300, np.sqrt((x * x).sum(axis=1)))[:, None] for x in (a, b))
+    scores = np.round(a @ b.T, 10)
+    out = {}
+    for q in range(len(a)):
+        ids = [c for c in range(len(b)) if b[c].any() and a[q].any() and allowed(q, c)]
+        if ids:
+            out[q] = sorted(ids, key=lambda c: (-scores[q, c], c))[:k]
+    return out
+
+
+def ids(found):
+    out = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append(r["id"])
+    return out
+
+
+def clustered(seed, n, dim=8, groups=6, spread=0.05):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dim))
+    return centres[rng.integers(groups, size=n)] + spread * rng.normal(size=(n, dim))
+
+
+def test_both_ways_are_alike(spark):
     rng = np.random.default_rng(3)
-    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(12)]
-    corpus = spark.createDataFrame(rows, "doc_id long, embedding array<float>")
+    corpus = frame(spark, rng.normal(size=(40, 4)))
     queries = corpus.selectExpr("doc_id AS query_id", "embedding AS vector")
     few, many = knn(queries, corpus, k=2), knn(queries, corpus, k=2, max_carried=3)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
-    plan = many._jdf.queryExecution().logical().toString()
-    assert "Union" not in plan and "MapInArrow" not in plan
     assert knn(queries.limit(0), corpus).count() == 0
+    assert knn(queries, corpus.limit(0), max_carried=3, dim=4).count() == 0
+
+
+@pytest.mark.parametrize("block,query_block", [(4096, 1024), (7, 5)])
+def test_cells_equal_all_pairs(spark, monkeypatch, block, query_block):
+    monkeypatch.setattr(cells, "BLOCK", block)
+    monkeypatch.setattr(cells, "QUERY_BLOCK", query_block)
+    corpus = [*clustered(1, 300), *[clustered(1, 1)[0]] * 40, np.zeros(8)]  # a hot cell of copies, which tie
+    queries = [*clustered(2, 30), *clustered(1, 20), np.zeros(8)]
+    asked = frame(spark, queries).selectExpr("doc_id AS query_id", "embedding AS vector")
+    odd = asked.limit(2).selectExpr("query_id + 1000 AS query_id", "IF(query_id = 0, NULL, slice(vector, 1, 3)) AS vector")
+    index = build_cells(frame(spark, corpus).repartition(3), 8, cells=12)
+    found, reads = search_cells(asked.union(odd), index, 5)
+    assert ids(found) == brute(queries, corpus, 5)
+    total = index.cells.agg(F.count("*"), F.sum("rows")).first()
+    assert total[1] == 340
+    share = reads.agg(F.avg("rows")).first()[0] / 340
+    assert share < 0.6  # cells that cannot hold a better row are not read
+
+
+def test_fewer_rows_than_wanted(spark):
+    corpus = clustered(4, 6)
+    index = build_cells(frame(spark, corpus), 8, cells=3)
+    asked = frame(spark, clustered(5, 4)).selectExpr("doc_id AS query_id", "embedding AS vector")
+    assert ids(search_cells(asked, index, 10).found) == brute(clustered(5, 4), corpus, 10)
+
+
+def test_kinds_are_apart(spark):
+    corpus, queries = clustered(6, 90), clustered(7, 30)
+    kinds = [["a", "b", "c", None][i % 4] for i in range(90)]
+    wanted = [["a", "b", None, "z"][i % 4] for i in range(30)]
+    asked = frame(spark, queries, wanted).selectExpr("doc_id AS query_id", "embedding AS vector", "kind AS w")
+    index = build_cells(frame(spark, corpus, kinds), 8, kind="kind", kinds=("a", "b"), cells=5)
+    found = search_cells(asked, index, 4, wanted="w").found
+    assert ids(found) == brute(queries, corpus, 4, lambda q, c: wanted[q] is None or wanted[q] in "ab" and kinds[c] == wanted[q])
