@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from episurv.llm.common import KEY, SPACES, key_columns, mixed, others, stored
 
@@ -30,7 +31,7 @@ def _lines(text: Column) -> Column:
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _k, _h, _n, _lines): number of lines, and for each solid one where it stands, its words, two hashes.
+    """(_id, _k, _h, _lines): for each solid line where it stands, its words, two hashes.
 
     A line is what stands between line feeds, taken without white space at its ends; it is solid if something is left.
     """
@@ -62,8 +63,8 @@ def window_ends(words: np.ndarray, least_words: int, least_lines: int) -> np.nda
     return np.where(ends <= len(words), ends, len(words) + 1)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], words: int, lines: int, reach: int) -> Iterator[pa.RecordBatch]:
-    """For each window its fingerprint, two hashes, place, and the hashes of up to `reach` lines on either side."""
+def _windows(batches: Iterator[pa.RecordBatch], words: int, lines: int) -> Iterator[pa.RecordBatch]:
+    """Each window: place, fingerprint (least first hash of its lines) and a hash of its lines' second hashes."""
     factor = np.uint64(0x9E3779B97F4A7C15)
     for batch in batches:
         table = batch.column("_lines")
@@ -72,79 +73,114 @@ def _windows(batches: Iterator[pa.RecordBatch], words: int, lines: int, reach: i
         n_words, a, b = (np.asarray(flat.field(c)) for c in ("words", "a", "b"))
         a, b = a.view(np.uint64), b.view(np.uint64)
         first = np.cumsum(np.r_[0, sizes])
-        out = {c: [] for c in ("row", "at", "end", "print", "x", "y")}
-        before, after = [], []
-        for row in np.flatnonzero(sizes):
-            lo, n = first[row], int(sizes[row])
-            ends = window_ends(n_words[lo : lo + n], words, lines)
-            starts = np.flatnonzero(ends <= n)
-            ends = ends[starts]
-            if not len(starts):
-                continue
-            ha, hb = a[lo : lo + n], b[lo : lo + n]
-            x, y = (ends - starts).astype(np.uint64), np.zeros(len(starts), np.uint64)
-            low = np.full(len(starts), np.iinfo(np.uint64).max)
-            for step in range(int((ends - starts).max())):
-                inside = np.flatnonzero(starts + step < ends)
-                here = starts[inside] + step
-                x[inside] = mixed(x[inside] * factor + ha[here])
-                y[inside] = mixed(y[inside] * factor + hb[here])
-                low[inside] = np.minimum(low[inside], ha[here])
-            out["row"].append(np.full(len(starts), row))
-            for name, values in (("at", starts), ("end", ends), ("print", low), ("x", x), ("y", y)):
-                out[name].append(values)
-            line = ha.view(np.int64)
-            before += [line[max(0, s - reach) : s][::-1].tolist() for s in starts]
-            after += [line[e : e + reach].tolist() for e in ends]
-        if out["row"]:
-            whole = {name: np.concatenate(values) for name, values in out.items()}
-            at_row = pa.array(whole["row"])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c).take(at_row) for c in ("_id", *KEY)),
-                    *(pa.array(whole[c].astype(np.int32)) for c in ("at", "end")),
-                    *(pa.array(whole[c].view(np.int64)) for c in ("print", "x", "y")),
-                    *(pa.array(lists, pa.list_(pa.int64())) for lists in (before, after)),
-                ],
-                ["_id", *KEY, "_at", "_end", "_fp", "_a", "_b", "_before", "_after"],
-            )
-
-
-def _alike(x: Column, y: Column) -> Column:
-    """How many values two arrays have in common from their start on."""
-    same = F.zip_with(x, y, lambda a, b: F.coalesce(a == b, F.lit(False)))
-    first = F.array_position(same, False)
-    return F.when(first > 0, first - 1).otherwise(F.size(same))
+        # Lines of the batch count on through its documents; a window ends within its own.
+        starts, ends = [], []
+        for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+            if lo < hi:
+                of_doc = window_ends(n_words[lo:hi], words, lines) + lo
+                whole = np.flatnonzero(of_doc <= hi)
+                starts.append(whole + lo)
+                ends.append(of_doc[whole])
+        if not starts:
+            continue
+        starts, ends = np.concatenate(starts), np.concatenate(ends)
+        low, code = np.full(len(starts), np.iinfo(np.uint64).max), (ends - starts).astype(np.uint64)
+        for step in range(int((ends - starts).max(initial=0))):
+            inside = np.flatnonzero(starts + step < ends)
+            here = starts[inside] + step
+            code[inside] = mixed(code[inside] * factor + b[here])
+            low[inside] = np.minimum(low[inside], a[here])
+        row = np.searchsorted(first, starts, side="right") - 1
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(batch.column(c).take(pa.array(row)) for c in ("_id", "_k")),
+                *(pa.array((x - first[row]).astype(np.int32)) for x in (starts, ends)),
+                *(pa.array(x.view(np.int64)) for x in (low, code)),
+            ],
+            ["_id", "_k", "_at", "_end", "_fp", "_code"],
+        )
+
+
+def _chains(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Matches of one document that go on side by side in both places, as one."""
+    for batch in batches:
+        rows = []
+        for name, key, matches in zip(batch.column("_id").to_pylist(), batch.column("_k").to_pylist(), batch.column("_found").to_pylist()):
+            chains: dict[tuple, list] = {}  # by source and distance: what goes on
+            for m in sorted(matches, key=lambda m: m["at"]):
+                line = (m["id"], m["k"], m["source"] - m["at"])
+                known = chains.get(line)
+                if known is not None and m["at"] <= known[3]:
+                    known[3] = max(known[3], m["end"])
+                    continue
+                if known is not None:
+                    rows.append(known)
+                chains[line] = [name, key, m["at"], m["end"], m["id"], m["k"], m["source"]]
+            rows += chains.values()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _extend(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+    """Each match grows line by line to either side while both places say the same."""
+    names = ["_id", "_k", "_from", "_to", "_source_id", "_source_k", "_source"]
+    for batch in batches:
+        columns = {c: batch.column(c).to_pylist() for c in ("_from", "_to", "_source")}
+        for row in range(batch.num_rows):
+            mine, theirs = (np.asarray(batch.column(c)[row].values) for c in ("_mine", "_theirs"))
+            lo, hi, at = (columns[c][row] for c in ("_from", "_to", "_source"))
+            on, back = 0, 0
+            while on < reach and hi + on < len(mine) and at + hi - lo + on < len(theirs) and mine[hi + on] == theirs[at + hi - lo + on]:
+                on += 1
+            while back < reach and lo > back and at > back and mine[lo - back - 1] == theirs[at - back - 1]:
+                back += 1
+            for c, value in (("_from", lo - back), ("_to", hi + on), ("_source", at - back)):
+                columns[c][row] = value
+        grown = {c: pa.array(values, pa.int32()) for c, values in columns.items()}
+        yield pa.RecordBatch.from_arrays([grown[c] if c in grown else batch.column(c) for c in names], names)
 
 
 def repeats(lines: DataFrame, least_words: int = WORDS, least_lines: int = LINES) -> DataFrame:
-    """(_id, _k, _h, _from, _to, _source): runs of solid lines (numbered from 0, the end is not included) that match an earlier
-    place; the source has the earlier document's _id, _k, _h and the line there. `lines` is a stored `line_table`.
+    """(_id, _k, _from, _to, _source_id, _source_k, _source): runs of solid lines (numbered from 0, the end is not included) that say
+    what an earlier document, or an earlier part of the same one, says from its line _source on. `lines` is a stored `line_table`.
 
-    Of the maximal run of a match those lines that are no part of another match are at most `least_lines` less one on either side,
-    so an extension by so many makes it whole.
+    A match's maximal run has, beyond the windows that match themselves, at most `least_lines` less one lines on either side (or
+    `least_words` less one), so it is extended by no more.
     """
     reach = max(0, min(least_words, least_lines) - 1)
-    kind = lines.schema["_id"].dataType.simpleString()
-    schema = f"_id {kind}, _k long, _h long, _at int, _end int, _fp long, _a long, _b long, _before array<long>, _after array<long>"
+    kind = lines.schema["_id"].dataType
+    named = kind.simpleString()
     found = stored(
-        lines.select("_id", *KEY, "_lines").mapInArrow(lambda batches: _windows(batches, least_words, least_lines, reach), schema),
+        lines.select("_id", "_k", "_lines").mapInArrow(
+            lambda batches: _windows(batches, least_words, least_lines),
+            f"_id {named}, _k long, _at int, _end int, _fp long, _code long",
+        ),
         "line-windows",
     )
     # Stored sides of a join stand behind an exchange of their own, so that hot keys of the other side can be split.
     repeated = stored(found.groupBy("_fp").agg(F.count("*").alias("_n")).filter("_n > 1").select("_fp"), "line-repeated")
-    place = F.struct(F.col("_id").isNotNull().alias("known"), "_id", *KEY, F.col("_at").alias("at"), "_before", "_after")
-    windows = found.join(repeated, "_fp", "left_semi").select("_a", "_b", "_end", place.alias("_place"))
-    ends = windows.groupBy("_a", "_b").agg(F.min("_place").alias("_first"), F.max("_place").alias("_last"))
-    first = stored(ends.filter("_first < _last").drop("_last"), "line-first")
-    later = windows.join(first, ["_a", "_b"]).filter("_place > _first")
-    back, on = (_alike(F.col(f"_place.{c}"), F.col(f"_first.{c}")) for c in ("_before", "_after"))
-    return later.select(
-        *[F.col(f"_place.{c}").alias(c) for c in ("_id", *KEY)],
-        (F.col("_place.at") - back).cast("int").alias("_from"),
-        (F.col("_end") + on).cast("int").alias("_to"),
-        F.struct("_first._id", "_first._k", "_first._h", (F.col("_first.at") - back).cast("int").alias("at")).alias("_source"),
+    place = F.struct(F.col("_id").isNotNull().alias("known"), F.col("_id").alias("id"), F.col("_k").alias("k"), F.col("_at").alias("at"))
+    # The fingerprint and the code are hashes of the same lines by two functions: together 128 bits.
+    windows = found.join(repeated, "_fp", "left_semi").select("_fp", "_code", "_end", place.alias("_place"))
+    earliest = windows.groupBy("_fp", "_code").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    earliest = stored(earliest.filter("_n > 1").drop("_n"), "line-first")
+    later = windows.join(earliest, ["_fp", "_code"]).filter("_place > _first")
+    match = F.struct("_place.at", F.col("_end").alias("end"), "_first.id", "_first.k", F.col("_first.at").alias("source"))
+    by_doc = later.groupBy(F.col("_place.id").alias("_id"), F.col("_place.k").alias("_k")).agg(F.collect_set(match).alias("_found"))
+    fields = [("_id", None), ("_k", pa.int64()), ("_from", pa.int32()), ("_to", pa.int32()), ("_source_id", None), ("_source_k", pa.int64()), ("_source", pa.int32())]
+    arrow = pa.schema([(name, to_arrow_type(kind) if of is None else of) for name, of in fields])
+    schema = f"_id {named}, _k long, _from int, _to int, _source_id {named}, _source_k long, _source int"
+    chains = stored(by_doc.mapInArrow(lambda batches: _chains(batches, arrow), schema), "line-chains")
+    known = lines.filter(F.size("_lines") > 0).select("_id", "_k", F.col("_lines.a").alias("_a")).dropDuplicates(["_id", "_k"])
+    theirs = known.select(F.col("_id").alias("_x"), F.col("_k").alias("_y"), F.col("_a").alias("_theirs"))
+    mine = known.select(F.col("_id").alias("_p"), F.col("_k").alias("_q"), F.col("_a").alias("_mine"))
+    both = (
+        chains.join(stored(theirs, "line-theirs"), (F.col("_source_k") == F.col("_y")) & F.col("_source_id").eqNullSafe(F.col("_x")))
+        .drop("_x", "_y")
+        .join(mine, (F.col("_k") == F.col("_q")) & F.col("_id").eqNullSafe(F.col("_p")))
+        .drop("_p", "_q")
     )
+    return both.mapInArrow(lambda batches: _extend(batches, reach), schema)
 
 
 def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,14 +216,15 @@ def dedup_lines(
     null; an empty table gives an empty result.
     """
     lines = stored(line_table(docs, id_col, text_col), "lines")
-    spans = repeats(lines, least_words, least_lines).groupBy(*KEY).agg(
+    spans = repeats(lines, least_words, least_lines).groupBy(F.col("_id").alias("_name"), F.col("_k").alias("_code")).agg(
         F.collect_set(F.struct(F.col("_from").alias("from"), F.col("_to").alias("to"))).alias("_spans")
     )
     # Rows alike share their lines, so one of them is enough.
-    places = lines.filter(F.size("_lines") > 0).groupBy(*KEY).agg(F.first(F.col("_lines.at")).alias("_at"))
+    places = lines.select("_id", *KEY, F.col("_lines.at").alias("_at"))
     masks = stored(
-        places.join(stored(spans, "line-spans"), KEY)
+        places.join(stored(spans, "line-spans"), (F.col("_k") == F.col("_code")) & F.col("_id").eqNullSafe(F.col("_name")))
         .select(*KEY, "_at", "_spans")
+        .dropDuplicates(KEY)
         .mapInArrow(_masks, "_k long, _h long, _mask array<boolean>, _gone long"),
         "line-masks",
     )
