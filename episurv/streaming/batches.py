@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from episurv.operators.filters import first_per_key
 
 BATCH = "_batch"
+# Seconds to wait for the last report of a stream that has ended.
+LISTENER_S = 60
 
 
 def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None, max_files: int | None = None) -> DataFrame:
@@ -30,10 +33,25 @@ def write_batch(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the engine dropped because the watermark had passed them, over the progress it remembers."""
-    operators = (op for progress in query.recentProgress for op in progress["stateOperators"])
-    return sum(op["numRowsDroppedByWatermark"] for op in operators)
+class LateRows(StreamingQueryListener):
+    """Adds up the rows the engine dropped because the watermark had passed them, over all batches of one run."""
+
+    def __init__(self):
+        self.total, self.run, self.ended = 0, None, threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if self.run is None or str(event.progress.runId) == self.run:
+            self.total += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if self.run is None or str(event.runId) == self.run:
+            self.ended.set()
 
 
 def run_available(
@@ -44,8 +62,14 @@ def run_available(
     of_batch: Callable[[DataFrame], DataFrame] | None = None,
     allow_late: bool = True,
 ) -> StreamingQuery:
-    """Process what is there now, batch by batch, and stop. `of_batch` is applied to each batch before it is written."""
+    """Process what is there now, batch by batch, and stop. `of_batch` is applied to each batch before it is written.
+
+    Unless late rows are allowed, every batch's dropped rows are counted, and any raise an error at the end.
+    """
     write = write_batch(path)
+    late, spark = LateRows(), df.sparkSession
+    if not allow_late:
+        spark.streams.addListener(late)
     query = (
         df.writeStream.outputMode(mode)
         .foreachBatch(write if of_batch is None else lambda batch, batch_id: write(of_batch(batch), batch_id))
@@ -53,9 +77,16 @@ def run_available(
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
-    if not allow_late and (late := late_rows(query)):
-        raise ValueError(f"{late} rows came later than the watermark allows; run them again with a longer delay")
+    late.run = str(query.runId)
+    try:
+        query.awaitTermination()
+        if not allow_late and not late.ended.wait(LISTENER_S):
+            raise RuntimeError("the stream ended, but not all of its progress was reported")
+    finally:
+        if not allow_late:
+            spark.streams.removeListener(late)
+    if late.total:
+        raise ValueError(f"{late.total} rows came later than the watermark allows; run them again with a longer delay")
     return query
 
 

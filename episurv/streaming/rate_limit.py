@@ -1,4 +1,9 @@
-"""The request limiter over a stream: requests wait until the watermark has passed them, then are judged in time order."""
+"""The request limiter over a stream: requests wait until the watermark has passed them, then are judged in time order.
+
+State lives in the RocksDB store, in pieces. What waits is a map from a minute to the requests of that minute, so a new request
+touches its own minute only. What was admitted in the last hour is a list. A timer at the end of each minute with requests
+judges them once the watermark is there; one an hour after the last admitted request clears the key.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +12,72 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from episurv.operators.usage import HOUR, MAX_PER_HOUR, MAX_PER_MINUTE, MINUTE, SlidingLimiter
+
+PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Columns beside the caller's. Python sees no name that begins with an underscore.
+STAMP, AT = "request_time", "request_micros"
+#: Milliseconds of a minute; timers that judge stand at whole minutes, those that clear one behind.
+_MINUTE_MS, _HOUR_MS = MINUTE // 1000, HOUR // 1000
+
+
+class Limiter(StatefulProcessor):
+    def __init__(self, key: str, tie: str, kind: str, per_minute: int, per_hour: int):
+        self.key, self.tie, self.kind, self.per_minute, self.per_hour = key, tie, kind, per_minute, per_hour
 
-from episurv.operators.usage import HOUR, MAX_PER_HOUR, MAX_PER_MINUTE, SlidingLimiter
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "minute bigint", f"at array<bigint>, tie array<{self.kind}>")
+        self.admitted = handle.getListState("admitted", "at bigint")
+        self.judged = handle.getValueState("judged", "minute bigint, clear bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for minute, part in batch.groupby(batch[AT] // MINUTE):
+                minute = int(minute)
+                at, tie = [int(x) for x in part[AT]], part[self.tie].tolist()
+                if self.waiting.containsKey((minute,)):
+                    before = self.waiting.getValue((minute,))
+                    at, tie = [*before[0], *at], [*before[1], *tie]
+                else:
+                    self.handle.registerTimer((minute + 1) * _MINUTE_MS)
+                self.waiting.updateValue((minute,), (at, tie))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        expired = expiredTimerInfo.getExpiryTimeInMs()
+        last, clear = self.judged.get() if self.judged.exists() else (None, None)
+        if expired % _MINUTE_MS:
+            if expired == clear:  # no request was admitted since the timer was set
+                self.admitted.clear()
+                self.judged.clear()
+            return
+        minute = expired // _MINUTE_MS - 1
+        if last is not None and minute <= last:
+            raise RuntimeError("timers came out of order")
+        at, tie = self.waiting.getValue((minute,))
+        self.waiting.removeKey((minute,))
+        requests = sorted(zip(at, tie))
+        hour = [r[0] for r in self.admitted.get()]
+        limiter = SlidingLimiter(self.per_minute, self.per_hour, [x for x in hour if x > requests[0][0] - MINUTE], hour)
+        verdicts = [limiter.verdict(a) for a, _ in requests]
+        hour = list(limiter.limits[1][2])
+        if hour:
+            self.admitted.put([(x,) for x in hour])
+            now = hour[-1] // MINUTE * _MINUTE_MS + _HOUR_MS + _MINUTE_MS + 1
+            if now != clear:
+                if clear is not None:
+                    self.handle.deleteTimer(clear)
+                self.handle.registerTimer(now)
+            clear = now
+        self.judged.update((minute, clear))
+        yield pd.DataFrame({self.key: [key[0]] * len(requests), self.tie: [t for _, t in requests], "veredito": verdicts})
+
+    def close(self) -> None:
+        pass
 
 
 def rate_limit_stream(
@@ -23,45 +91,22 @@ def rate_limit_stream(
 ) -> DataFrame:
     """Verdicts of requests that may come out of order by up to `delay`.
 
-    State per key: the requests the watermark has not passed, and at most an hour of admitted ones. It goes after an
+    State per key: the requests of minutes the watermark has not passed, and at most an hour of admitted ones. It goes after an
     hour of silence. Requests older than the watermark are dropped by the engine; run the stream with
     `run_available(..., allow_late=False)`, which raises on them, so none is judged wrongly or lost in silence. The last
-    requests are judged when later ones (of any key, a clock row will do) move the watermark past them.
+    requests are judged when later ones (of any key, a clock row will do) move the watermark past the end of their minute.
+    The session is set to the RocksDB store, which this needs; streams that have run with another keep theirs.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
-    state_schema = f"minute array<bigint>, hour array<bigint>, waiting array<struct<at:bigint,tie:{kinds[tie]}>>"
-
-    def judge(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        minute, hour, kept = state.get if state.exists else ([], [], [])
-        waiting = [(r[0], r[1]) for r in kept]
-        for rows in batches:
-            waiting.extend(zip(rows["_at"].tolist(), rows[tie].tolist()))
-        waiting.sort()
-        passed = state.getCurrentWatermarkMs()
-        ready = next((i for i, (at, _) in enumerate(waiting) if at > passed * 1000), len(waiting))
-        limiter = SlidingLimiter(per_minute, per_hour, minute, hour)
-        verdicts = [limiter.verdict(at) for at, _ in waiting[:ready]]
-        (_, _, minute_now), (_, _, hour_now) = limiter.limits
-        rest = waiting[ready:]
-        live = [at for at in hour_now if at > passed * 1000 - HOUR]
-        if rest or live:
-            state.update((list(minute_now), live, rest))
-            wake = rest[0][0] // 1000 + 1 if rest else live[-1] // 1000 + HOUR // 1000 + 1
-            state.setTimeoutTimestamp(max(wake, passed + 1))
-        elif state.exists:
-            state.remove()
-        if ready:
-            yield pd.DataFrame({key: [group[0]] * ready, tie: [t for _, t in waiting[:ready]], "veredito": verdicts})
-
-    stamped = requests.select(key, tie, F.col(ts).cast("timestamp").alias("_ts")).withWatermark("_ts", delay)
+    spark, kinds = requests.sparkSession, {f.name: f.dataType.simpleString() for f in requests.schema.fields}
+    spark.conf.set(PROVIDER_CONF, ROCKSDB)
+    stamped = requests.select(key, tie, F.col(ts).cast("timestamp").alias(STAMP)).withWatermark(STAMP, delay)
     return (
-        stamped.withColumn("_at", F.unix_micros("_ts"))
+        stamped.withColumn(AT, F.unix_micros(STAMP))
         .groupBy(key)
-        .applyInPandasWithState(
-            judge,
+        .transformWithStateInPandas(
+            Limiter(key, tie, kinds[tie], per_minute, per_hour),
             f"{key} {kinds[key]}, {tie} {kinds[tie]}, veredito string",
-            state_schema,
             "append",
-            GroupStateTimeout.EventTimeTimeout,
+            "eventTime",
         )
     )
