@@ -34,6 +34,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled and merged at every size: it grows with the corpus, so a plan that broadcasts it on little
+    data tells nothing of the plan on much."""
+    return df.hint("merge")
+
+
 #: Bytes of an Arrow batch of texts. JVM and Python each hold a batch on its way in and one on its way out, for every task.
 BATCH_BYTES = 4 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"

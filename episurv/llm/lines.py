@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from episurv.llm.common import KEY, SPACES, key_columns, mixed, others, stored
+from episurv.llm.common import KEY, SPACES, key_columns, mixed, others, shuffled, stored
 
 #: Words, or else lines, of the shortest repeat that is deleted.
 WORDS, LINES = 50, 4
@@ -161,10 +161,10 @@ def repeats(lines: DataFrame, least_words: int = WORDS, least_lines: int = LINES
     repeated = stored(found.groupBy("_fp").agg(F.count("*").alias("_n")).filter("_n > 1").select("_fp"), "line-repeated")
     place = F.struct(F.col("_id").isNotNull().alias("known"), F.col("_id").alias("id"), F.col("_k").alias("k"), F.col("_at").alias("at"))
     # The fingerprint and the code are hashes of the same lines by two functions: together 128 bits.
-    windows = found.join(repeated, "_fp", "left_semi").select("_fp", "_code", "_end", place.alias("_place"))
+    windows = found.join(shuffled(repeated), "_fp", "left_semi").select("_fp", "_code", "_end", place.alias("_place"))
     earliest = windows.groupBy("_fp", "_code").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
     earliest = stored(earliest.filter("_n > 1").drop("_n"), "line-first")
-    later = windows.join(earliest, ["_fp", "_code"]).filter("_place > _first")
+    later = windows.join(shuffled(earliest), ["_fp", "_code"]).filter("_place > _first")
     match = F.struct("_place.at", F.col("_end").alias("end"), "_first.id", "_first.k", F.col("_first.at").alias("source"))
     by_doc = later.groupBy(F.col("_place.id").alias("_id"), F.col("_place.k").alias("_k")).agg(F.collect_set(match).alias("_found"))
     fields = [("_id", None), ("_k", pa.int64()), ("_from", pa.int32()), ("_to", pa.int32()), ("_source_id", None), ("_source_k", pa.int64()), ("_source", pa.int32())]
@@ -175,9 +175,9 @@ def repeats(lines: DataFrame, least_words: int = WORDS, least_lines: int = LINES
     theirs = known.select(F.col("_id").alias("_x"), F.col("_k").alias("_y"), F.col("_a").alias("_theirs"))
     mine = known.select(F.col("_id").alias("_p"), F.col("_k").alias("_q"), F.col("_a").alias("_mine"))
     both = (
-        chains.join(stored(theirs, "line-theirs"), (F.col("_source_k") == F.col("_y")) & F.col("_source_id").eqNullSafe(F.col("_x")))
+        chains.join(shuffled(stored(theirs, "line-theirs")), (F.col("_source_k") == F.col("_y")) & F.col("_source_id").eqNullSafe(F.col("_x")))
         .drop("_x", "_y")
-        .join(mine, (F.col("_k") == F.col("_q")) & F.col("_id").eqNullSafe(F.col("_p")))
+        .join(shuffled(mine), (F.col("_k") == F.col("_q")) & F.col("_id").eqNullSafe(F.col("_p")))
         .drop("_p", "_q")
     )
     return both.mapInArrow(lambda batches: _extend(batches, reach), schema)
@@ -222,7 +222,7 @@ def dedup_lines(
     # Rows alike share their lines, so one of them is enough.
     places = lines.select("_id", *KEY, F.col("_lines.at").alias("_at"))
     masks = stored(
-        places.join(stored(spans, "line-spans"), (F.col("_k") == F.col("_code")) & F.col("_id").eqNullSafe(F.col("_name")))
+        places.join(shuffled(stored(spans, "line-spans")), (F.col("_k") == F.col("_code")) & F.col("_id").eqNullSafe(F.col("_name")))
         .select(*KEY, "_at", "_spans")
         .dropDuplicates(KEY)
         .mapInArrow(_masks, "_k long, _h long, _mask array<boolean>, _gone long"),
@@ -231,7 +231,7 @@ def dedup_lines(
     rows = docs.select(others(docs, text_col).alias("_row"), F.col(text_col).alias("_text"), *key_columns(id_col, text_col))
     stays = F.filter(_lines(F.col("_text")), lambda x, i: ~F.coalesce(F.get("_mask", i), F.lit(False)))
     solid = F.filter(_lines(F.col("_text")), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    return rows.join(masks, KEY, "left").select(
+    return rows.join(shuffled(masks), KEY, "left").select(
         "_row",
         F.when(F.col("_mask").isNull(), F.col("_text")).otherwise(F.array_join(stays, "\n")).alias("_text"),
         F.coalesce(F.size(solid), F.lit(0)).cast("long").alias("_lines"),
