@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from episurv.functions.codes import (
@@ -369,13 +369,23 @@ def load_gates(
 ) -> DataFrame:
     """One report row per gate: loss, unique key, required columns, date order, number of partitions."""
     before = raw.agg(rows().alias("_raw")).withColumn("_one", F.lit(True))
+    after = silver.agg(*_gate_counts(required)).withColumn("_one", F.lit(True))
+    joined = after.join(before, "_one").join(_distinct_parts(silver, key, partitions), "_one")
+    return _gates(joined, required, max_loss_pct)
+
+
+def _gate_counts(required: Sequence[str]) -> list[Column]:
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in required]
+    return [rows().alias("_rows"), *nulls, F.count_if(F.col("dt_sin_pri") > F.col("dt_notific")).alias("_inverted")]
+
+
+def _distinct_parts(silver: DataFrame, key: str, partitions: Sequence[str]) -> DataFrame:
     distinct = silver.select(key).agg(distinct_values(key).alias("_keys")).withColumn("_one", F.lit(True))
     parts = silver.select(*partitions).distinct().agg(rows().alias("_parts")).withColumn("_one", F.lit(True))
-    after = silver.agg(
-        rows().alias("_rows"),
-        *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in required],
-        F.count_if(F.col("dt_sin_pri") > F.col("dt_notific")).alias("_inverted"),
-    ).withColumn("_one", F.lit(True))
+    return distinct.join(parts, "_one")
+
+
+def _gates(counts: DataFrame, required: Sequence[str], max_loss_pct: float) -> DataFrame:
     loss = F.round((F.lit(1.0) - F.try_divide(F.col("_rows").cast("double"), F.col("_raw").cast("double"))) * 100.0, 2)
 
     def gate(name: str, value: Column, ok: Column):
@@ -390,7 +400,28 @@ def load_gates(
         gate("datas_invertidas", F.col("_inverted"), F.col("_inverted") == 0),
         gate("particoes", F.col("_parts"), F.col("_parts") > 0),
     ]
-    return after.join(before, "_one").join(distinct, "_one").join(parts, "_one").select(F.inline(F.array(*gates)))
+    return counts.select(F.inline(F.array(*gates)))
+
+
+def write_through_gates(
+    raw: DataFrame,
+    to_silver: Callable[[DataFrame], DataFrame],
+    target: str,
+    key: str = "nu_notific",
+    required: Sequence[str] = ("nu_notific", "dt_sin_pri", "dt_notific", "ano", "mes"),
+    max_loss_pct: float = MAX_LOAD_LOSS_PCT,
+    partitions: Sequence[str] = ("ano", "mes"),
+) -> DataFrame:
+    """Write the silver table and report its gates as `load_gates` does. Rows in, rows out, missing values and inverted dates are
+    counted by the write as they pass, so raw is read once. Distinct keys and partitions come from two columns of what was written."""
+    read, passed = Observation(), Observation()
+    silver = to_silver(raw.observe(read, rows().alias("_raw")))
+    silver.observe(passed, *_gate_counts(required)).write.mode("overwrite").parquet(target)
+    spark = raw.sparkSession
+    written = spark.read.schema(silver.schema).parquet(target)
+    known = {**read.get, **passed.get}
+    counts = spark.range(1).select(F.lit(True).alias("_one"), *[F.lit(n).cast("bigint").alias(c) for c, n in known.items()])
+    return _gates(counts.join(_distinct_parts(written, key, partitions), "_one"), required, max_loss_pct)
 
 
 def require_gates(report: DataFrame) -> None:

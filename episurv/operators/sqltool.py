@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from episurv.functions.documents import head_and_tail
 from episurv.operators.filters import equality_filters
 from episurv.operators.guard import sql_violation
+from episurv.operators.rates import rows
+from episurv.session import scratch_path
 
 # Caps of results and of routed queries.
 MAX_RESULT_ROWS, ROUTED_ROWS, NEWEST_ROWS, LOGGED_LENGTH = 10_000, 100, 12, 500
@@ -48,16 +50,25 @@ def run_capped(
     count_total: bool = False,
     validate: bool = True,
 ) -> CappedResult:
-    """Run a checked query and keep at most `max_rows` rows.
+    """Run a checked query once and keep at most `max_rows` rows, in its order.
 
-    One row more than the cap tells whether it was hit; the full count runs on request only.
+    The result is written to the shared folder, and the write itself counts. Without a total, one row more than the cap tells
+    whether it was hit, and the query may end there. With one, all rows are counted as they pass and each task keeps
+    no more than the cap.
     """
     if validate:
         check_sql(spark, text)
     df = spark.sql(text, args=dict(args) if args else None)
-    total = df.count() if count_total else None
-    seen = df.limit(max_rows + 1).count()
-    return CappedResult(df.limit(max_rows), df.columns, min(seen, max_rows), seen > max_rows, total)
+    watch, path = Observation(), scratch_path(spark, "capped")
+    place = "_" * (1 + max(map(len, df.columns))) + "place"
+    source = df if count_total else df.limit(max_rows + 1)
+    # The number of a row is that of its task, in the order of the result, and its place there in the lower 33 bits.
+    placed = source.observe(watch, rows().alias("n")).withColumn(place, F.monotonically_increasing_id())
+    first = placed.filter(F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) < max_rows)
+    first.write.parquet(path)
+    seen = int(watch.get["n"])
+    kept = spark.read.schema(first.schema).parquet(path).orderBy(place).limit(max_rows).drop(place)
+    return CappedResult(kept, df.columns, min(seen, max_rows), seen > max_rows, seen if count_total else None)
 
 
 def routed_rows(

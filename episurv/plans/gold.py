@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from episurv.functions.codes import AGE_BANDS, SEX_LABELS, SEX_UNKNOWN
@@ -39,53 +39,65 @@ def _with_distinct_ids(measures: DataFrame, silver: DataFrame, keys: list[str],
     )
 
 
-def monthly_metrics(silver: DataFrame, key: str = "nu_notific", key_is_unique: bool = False) -> DataFrame:
-    """One row per month.
+MONTH = ("ano", "mes", "ano_mes")
+MONTH_FLAGS = {
+    "total_internados": "is_internado", "total_uti": "is_uti", "total_vacinados": "is_vacinado",
+    "casos_com_febre": "has_febre", "casos_com_tosse": "has_tosse", "casos_com_dispneia": "has_dispneia",
+}
+GAPS = {
+    "tempo_medio_notificacao": "tempo_sintoma_notificacao",
+    "tempo_medio_internacao": "tempo_sintoma_internacao",
+    "duracao_media_internacao": "tempo_internacao",
+}
 
-    Cases are first added up per month and year of age. Those sums combine in the map tasks, and
-    the exact median then weighs at most one row per age instead of buffering the cases.
-    """
-    keys = ["ano", "mes", "ano_mes"]
-    flags = {
-        "total_internados": "is_internado", "total_uti": "is_uti", "total_vacinados": "is_vacinado",
-        "casos_com_febre": "has_febre", "casos_com_tosse": "has_tosse", "casos_com_dispneia": "has_dispneia",
-    }
-    gaps = {
-        "tempo_medio_notificacao": "tempo_sintoma_notificacao",
-        "tempo_medio_internacao": "tempo_sintoma_internacao",
-        "duracao_media_internacao": "tempo_internacao",
-    }
-    by_age = silver.groupBy(*keys, "nu_idade_n").agg(
+
+def age_partials(silver: DataFrame, key: str = "nu_notific", elderly: Column | None = None) -> DataFrame:
+    """Counts and sums per month and year of age. They add up over any rows, so months can be replaced or merged."""
+    return silver.groupBy(*MONTH, "nu_idade_n").agg(
         rows().alias("total_casos"),
         F.count(key).alias("_ids"),
         deaths().alias("total_obitos"),
         cures().alias("total_curas"),
         with_outcome().alias("casos_com_desfecho"),
         with_vaccine_answer().alias("casos_com_info_vacina"),
-        *[true_count(c).alias(name) for name, c in flags.items()],
-        *[F.sum(c).alias(f"_sum_{name}") for name, c in gaps.items()],
-        *[F.count(c).alias(f"_n_{name}") for name, c in gaps.items()],
+        *[true_count(c).alias(name) for name, c in MONTH_FLAGS.items()],
+        *[F.sum(c).alias(f"_sum_{name}") for name, c in GAPS.items()],
+        *[F.count(c).alias(f"_n_{name}") for name, c in GAPS.items()],
+        *([] if elderly is None else [elderly]),
     )
+
+
+def monthly_of_partials(by_age: DataFrame) -> DataFrame:
+    """One row per month from `age_partials`, without distinct ids and growth."""
     age, n = F.col("nu_idade_n"), F.col("total_casos")
-    counts = ["_ids", "total_obitos", "total_curas", "casos_com_desfecho", "casos_com_info_vacina", *flags]
-    added = by_age.groupBy(*keys).agg(
+    counts = ["_ids", "total_obitos", "total_curas", "casos_com_desfecho", "casos_com_info_vacina", *MONTH_FLAGS]
+    added = by_age.groupBy(*MONTH).agg(
         F.sum("total_casos").alias("total_casos"),
         F.round(F.try_divide(F.sum(age * n).cast("double"), F.sum(F.when(age.isNotNull(), n)).cast("double")), 1).alias("idade_media"),
         F.percentile(age, 0.5, n).alias("idade_mediana"),
         *[F.sum(c).alias(c) for c in counts],
         *[
             F.round(F.try_divide(F.sum(f"_sum_{g}").cast("double"), F.sum(f"_n_{g}").cast("double")), 1).alias(g)
-            for g in gaps
+            for g in GAPS
         ],
     )
-    monthly = added.withColumns(
+    return added.withColumns(
         {
             "taxa_mortalidade": rate(F.col("total_obitos"), F.col("casos_com_desfecho")),
             "taxa_uti": rate(F.col("total_uti"), F.col("total_internados")),
             "taxa_vacinacao": rate(F.col("total_vacinados"), F.col("casos_com_info_vacina")),
         }
     )
-    return growth(_with_distinct_ids(monthly, silver, keys, key, key_is_unique), "total_casos", "ano_mes")
+
+
+def monthly_metrics(silver: DataFrame, key: str = "nu_notific", key_is_unique: bool = False) -> DataFrame:
+    """One row per month.
+
+    Cases are first added up per month and year of age. Those sums combine in the map tasks, and
+    the exact median then weighs at most one row per age instead of buffering the cases.
+    """
+    monthly = monthly_of_partials(age_partials(silver, key))
+    return growth(_with_distinct_ids(monthly, silver, list(MONTH), key, key_is_unique), "total_casos", "ano_mes")
 
 
 def state_profile(silver: DataFrame, key: str = "nu_notific", key_is_unique: bool = False) -> DataFrame:

@@ -62,4 +62,5 @@ def load() -> None:
         text_queries,
         io_queries,
         function_queries,
+        layout_queries,
     )
