@@ -260,23 +260,21 @@ def s17(spark, d):
     return tb.read_table(spark, target)
 
 
-_LOG_OUT = "event_id, session_id, event_type, status, details, elapsed_seconds"
+_LOG_COLUMNS = "event_id bigint, session_id string, timestamp timestamp_ntz, event_type string, status string, {}, elapsed_seconds double"
 
 
-@query("s18_export_json", f"{LOG} SELECT {_LOG_OUT} FROM log")
+@query("s18_export_json", f"{LOG} SELECT {OUT} FROM log")
 def s18_json(spark, d):
     path = scratch_path(spark, "export")
     tb.export_logs(audit_log(spark, d), path, "json")
-    schema = "event_id bigint, session_id string, event_type string, status string, details map<string,string>, elapsed_seconds double"
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(_LOG_COLUMNS.format("details map<string,string>")).options(**tb.EXPORT_TIMES).json(path)
 
 
-@query("s18_export_csv", f"{LOG} SELECT {_LOG_OUT} FROM log")
+@query("s18_export_csv", f"{LOG} SELECT {OUT} FROM log")
 def s18_csv(spark, d):
     path = scratch_path(spark, "export")
-    tb.export_logs(audit_log(spark, d).drop("timestamp"), path, "csv")
-    schema = "event_id bigint, session_id string, event_type string, status string, details string, elapsed_seconds double"
-    return spark.read.schema(schema).options(header="true", escape='"').csv(path)
+    tb.export_logs(audit_log(spark, d), path, "csv")
+    return spark.read.schema(_LOG_COLUMNS.format("details string")).options(header="true", escape='"', **tb.EXPORT_TIMES).csv(path)
 
 
 # --- SQL text -------------------------------------------------------------------------------

@@ -191,13 +191,17 @@ def widen_column(spark: SparkSession, source: str, target: str, column: str, to:
     write_table(df.withColumn(column, F.col(column).cast(to)), target)
 
 
+# Times in exports keep their microseconds; Spark's own text stops at milliseconds.
+EXPORT_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def export_logs(log: DataFrame, path: str, kind: str = "json") -> None:
-    """Log rows as JSON lines, or as CSV with nested values as JSON text."""
+    """Log rows as JSON lines, or as CSV with nested values as JSON text; read them with the options EXPORT_TIMES."""
     if kind == "json":
-        log.write.mode("overwrite").json(path)
+        log.write.mode("overwrite").options(**EXPORT_TIMES).json(path)
         return
     flat = [
         (F.to_json(f.name) if f.dataType.typeName() in ("map", "struct", "array") else F.col(f.name)).alias(f.name)
         for f in log.schema.fields
     ]
-    log.select(*flat).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    log.select(*flat).write.mode("overwrite").options(header="true", escape='"', **EXPORT_TIMES).csv(path)
