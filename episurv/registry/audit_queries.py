@@ -119,6 +119,11 @@ def a40_bottlenecks(spark, d):
     return audit.bottlenecks(audit_log(spark, d), "purchase")
 
 
+def half_up(x: str) -> str:
+    """Two digits, halves of the decimal text rounded up, as Spark does it."""
+    return f"round(({x})::DECIMAL(30, 10), 2)::DOUBLE"
+
+
 @query(
     "a41_anomalies",
     f"""{LOG} SELECT session_id, 'high_error_rate' AS type, 'critical' AS severity, CAST(NULL AS VARCHAR) AS metric,
@@ -127,7 +132,7 @@ def a40_bottlenecks(spark, d):
       FROM log GROUP BY 1 HAVING count(*) FILTER (WHERE status = 'error') > count(*) * 0.3
     UNION ALL SELECT session_id, 'performance_spike', 'warning', event_type,
       round(max(elapsed_seconds), 6), round(sum(elapsed_seconds) / count(*), 6),
-      printf('Spike de %.2fs (média: %.2fs)', round(max(elapsed_seconds), 2), round(sum(elapsed_seconds) / count(*), 2))
+      printf('Spike de %.2fs (média: %.2fs)', {half_up('max(elapsed_seconds)')}, {half_up('sum(elapsed_seconds) / count(*)')})
       FROM log GROUP BY session_id, event_type HAVING count(*) > 1 AND max(elapsed_seconds) > sum(elapsed_seconds) / count(*) * 3
     UNION ALL SELECT session_id, 'excessive_warnings', 'medium', NULL, count(*) FILTER (WHERE status = 'warning'), 2,
       CAST(count(*) FILTER (WHERE status = 'warning') AS VARCHAR) || ' warnings detectados'
