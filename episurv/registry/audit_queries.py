@@ -121,7 +121,7 @@ def a40_bottlenecks(spark, d):
 
 def half_up(x: str) -> str:
     """Two digits, halves of the decimal text rounded up, as Spark does it."""
-    return f"round(({x})::DECIMAL(30, 10), 2)::DOUBLE"
+    return f"round(({x})::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE"
 
 
 @query(
