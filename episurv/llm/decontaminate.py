@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episurv.llm.common import ALNUM_TABLE, alnum_words, map_texts, others, slices, stored, text_bytes
+from episurv.llm.common import ALNUM_TABLE, KEY, alnum_words, key_columns, map_texts, others, slices, stored, text_bytes
 
 PHRASE = 10
 #: Bytes of benchmark text searched at once. A larger benchmark is searched block after block.
@@ -317,20 +318,49 @@ def find_contamination(
     searched in blocks that are small enough to send to every task; items longer than a block are cut into pieces that
     overlap by a word less than a phrase.
     """
-    rows = docs.select(
-        others(docs, text_col).alias("_row"),
-        F.col(text_col).alias("_text"),
-        F.lit(0).cast("long").alias("_words"),
-        F.array().cast("array<struct<start:int,end:int>>").alias("_spans"),
-        F.array().cast("array<string>").alias("_items"),
-    )
     blocks = _blocks(benchmark.select(F.col(item_col).cast("string").alias("_item"), F.col(item_text).alias("_t")), length, block_bytes)
-    for n, block in enumerate(blocks):
-        phrases = Phrases.of([(r["_item"], r["_t"].encode()) for r in block.collect()], length)
-        rows = _search_block(rows, phrases)
-        if n + 1 < len(blocks):
-            rows = stored(rows, "contamination")
-    return rows
+    none = [F.array().cast("array<struct<start:int,end:int>>").alias("_spans"), F.array().cast("array<string>").alias("_items")]
+    words = F.lit(0).cast("long").alias("_words")
+    found = []
+    for n, block in enumerate(blocks[:-1]):
+        keyed_rows = docs.select(F.col(text_col).alias("_text"), *key_columns(text_col, text_col), words, *none)
+        hits = _search_block(keyed_rows, _phrases(block, length)).filter(F.size("_spans") > 0)
+        # Of a text that is hit only its key, spans and items are written; the texts stay where they are.
+        found.append(stored(hits.select(*KEY, F.lit(n).alias("_block"), "_spans", "_items"), "contamination"))
+    rows = docs.select(others(docs, text_col).alias("_row"), F.col(text_col).alias("_text"), words, *none)
+    if found:
+        named = stored(_merged_hits(reduce(DataFrame.unionByName, found)), "contamination-merged")
+        keys = docs.select(
+            others(docs, text_col).alias("_row"), F.col(text_col).alias("_text"), words, *key_columns(text_col, text_col)
+        )
+        known = [F.coalesce(c, empty).alias(c) for c, empty in zip(("_spans", "_items"), none)]
+        rows = keys.join(named, KEY, "left").select("_row", "_text", "_words", *known)
+    return _search_block(rows, _phrases(blocks[-1], length))
+
+
+def _phrases(block: DataFrame, length: int) -> Phrases:
+    return Phrases.of([(r["_item"], r["_t"].encode()) for r in block.collect()], length)
+
+
+def _merged_hits(hits: DataFrame) -> DataFrame:
+    """One row a text from the rows of several blocks; of copies of a text, one counts."""
+    grouped = hits.dropDuplicates([*KEY, "_block"]).groupBy(*KEY).agg(
+        F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items")
+    )
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged = []
+            for spans in batch.column("_spans").to_pylist():
+                hit = np.zeros(max(s["end"] for s in spans), bool)
+                for span in spans:
+                    hit[span["start"] : span["end"]] = True
+                merged.append(_merged_spans(hit))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in KEY), pa.array(merged, SPANS), batch.column("_items")], [*KEY, "_spans", "_items"]
+            )
+
+    return grouped.mapInArrow(merge, grouped.schema)
 
 
 def contamination_report(

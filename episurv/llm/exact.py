@@ -3,7 +3,7 @@
 Each partition of fingerprints becomes a counting quotient filter. A fingerprint's high bits are its quotient, the
 low bits its remainder; remainders of a quotient stand sorted in one run, each with a counter. Such filters merge without
 loss: runs of the same quotient are merged by remainder and their counters added. What is counted once in the
-merged filter is unique. Only texts of repeated fingerprints are compared byte by byte.
+merged filter is unique, and its row is done. Rows of repeated fingerprints are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -156,12 +156,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "exact-digests",
     )
-    repeated = stored(repeated_fingerprints(digests.select("_fp")), "exact-repeated")
+    repeated = stored(
+        repeated_fingerprints(digests.select("_fp")).select(F.col("fingerprint").alias("_fp"), F.col("n").alias("_copies")),
+        "exact-repeated",
+    )
+    # The filters route: a row whose fingerprint they counted once is alone, only the others are looked at further.
+    marked = stored(digests.join(repeated, "_fp", "left"), "exact-marked")
+    routed = marked.filter("_copies IS NOT NULL")
     # Byte verification: candidates are grouped by the very bytes, copies of a task being merged before they move.
     verified = (
         docs.select(normalised(text_col).alias("_norm"))
-        .withColumn("fingerprint", F.xxhash64("_norm"))
-        .join(repeated, "fingerprint", "left_semi")
+        .withColumn("_fp", F.xxhash64("_norm"))
+        .join(repeated, "_fp", "left_semi")
         .groupBy("_norm")
         .count()
         .filter("count > 1")
@@ -169,14 +175,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     order = F.struct((-F.col("_chars")).alias("chars"), F.col("_id").isNull().alias("none"), "_id", "_row")
     # Grouped before the join: a group's rows of one task are one row when they move.
-    groups = digests.groupBy("_sha").agg(F.min(order).alias("_best"), F.count("*").alias("_size")).filter("_size > 1")
+    groups = routed.groupBy("_sha").agg(F.min(order).alias("_best"), F.count("*").alias("_size")).filter("_size > 1")
     stays = groups.join(stored(verified, "exact-verified"), "_sha", "left_semi")
     # Stored, it stands behind an exchange of its own, so that hot keys of the other side can be split.
     stays = stored(stays, "exact-stays")
-    return digests.join(stays, "_sha", "left").select(
+    many = routed.join(stays, "_sha", "left").select(
         F.col("_id").alias(id_col),
         F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_best._id")).alias("keep_id"),
         F.coalesce("_size", F.lit(1).cast("long")).alias("group_size"),
         F.coalesce(F.col("_best._row") == F.col("_row"), F.lit(True)).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
+    alone = marked.filter("_copies IS NULL").select(
+        F.col("_id").alias(id_col),
+        F.col("_id").alias("keep_id"),
+        F.lit(1).cast("long").alias("group_size"),
+        F.lit(True).alias("kept"),
+        F.col("_sha").alias("text_sha256"),
+    )
+    return alone.unionByName(many)

@@ -16,8 +16,8 @@ from episurv.llm.common import stored
 
 #: Steps of a coordinate in each dimension, and of the tie-breaking hash below one step.
 COORDINATE_BITS, TIE_BITS = 20, 40
-#: Bins of a histogram, how often it zooms in, and the share of a shard a cut may be off.
-BINS, ZOOMS, TOLERANCE = 1024, 5, 0.001
+#: Bins of a histogram, how often it zooms in at most (BINS ** ZOOMS is the number of keys), and the share of a shard a cut may be off.
+BINS, ZOOMS, TOLERANCE = 1024, 6, 0.001
 OVERHEAD = 8
 DIMENSIONS = ("size", "lang", "source")
 

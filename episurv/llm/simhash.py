@@ -11,12 +11,13 @@ their largest coordinate difference, and survivors are verified by their own dis
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episurv.llm.common import KEY, key_columns, keyed, map_texts, stored, text_bytes
@@ -26,6 +27,8 @@ BITS, BLOCKS, SHINGLE, SEED, DISTANCE = 64, 4, 3, 42, 2
 PAIRS = 8
 #: Candidate groups up to this size are compared by shifting; larger ones row by row, the largest by flipping bits.
 SMALL_GROUP, LARGE_GROUP = 32, 8192
+#: Fingerprints of a candidate group above which it is dealt anew; links found before they are folded to a forest.
+SPLIT_GROUP, HELD_LINKS = 1024, 1 << 20
 
 
 def _references() -> np.ndarray:
@@ -77,8 +80,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(rows, _mark, f"_id {rows.schema['_id'].dataType.simpleString()}, _k long, _h long, _fp long")
 
 
-def candidate_keys(prints: DataFrame) -> DataFrame:
-    """Each distinct fingerprint under the pivot coordinates of any two blocks."""
+def candidate_keys(prints: DataFrame, split: int = SPLIT_GROUP) -> DataFrame:
+    """Each distinct fingerprint under the pivot coordinates of any two blocks, `_pair` being their number.
+
+    A group of over `split` fingerprints is dealt anew. Its members differ in the other two blocks, in two bits at most where they are linked:
+    either one of these blocks is the same, or each has one bit flipped. So a member goes under its own value of the first, under
+    the sixteen values one flip away, and under its own value of the second. What shares three blocks is at most 2**16 fingerprints.
+    """
     distances = [F.bit_count(F.col("_fp").bitwiseXOR(F.lit(int(r.view(np.int64))))) for r in REFERENCES]
     inside = [a - b for a, b in zip(distances[::2], distances[1::2])]
     of_block = [inside[b * PAIRS : (b + 1) * PAIRS] for b in range(BLOCKS)]
@@ -86,7 +94,30 @@ def candidate_keys(prints: DataFrame) -> DataFrame:
         F.xxhash64(F.lit(n), *[c for b in kept for c in of_block[b]])
         for n, kept in enumerate(combinations(range(BLOCKS), BLOCKS - DISTANCE))
     ]
-    return prints.select("_fp", F.explode(F.array(*keys)).alias("_key"))
+    pairs = list(combinations(range(BLOCKS), BLOCKS - DISTANCE))
+    numbered = F.posexplode(F.array(*keys)).alias("_pair", "_key")
+    members = prints.select("_fp", numbered)
+    large = stored(members.groupBy("_key").count().filter(F.col("count") > split).select("_key"), "simhash-large")
+    if not large.limit(1).count():
+        return members.select("_fp", "_key")
+    width = BITS // BLOCKS
+
+    def block(n: int) -> Column:
+        return F.shiftrightunsigned("_fp", n * width).bitwiseAND(F.lit((1 << width) - 1))
+
+    def own(which: int) -> Column:
+        """The value of one of the blocks that the pair leaves out."""
+        return reduce(
+            lambda rest, n: F.when(F.col("_pair") == n, block([b for b in range(BLOCKS) if b not in pairs[n]][which])).otherwise(rest),
+            range(len(pairs)),
+            F.lit(None).cast("bigint"),
+        )
+
+    first, second = own(0), own(1)
+    near = [first, *(first.bitwiseXOR(F.lit(1 << b)) for b in range(width))]
+    dealt = [F.xxhash64("_key", F.lit(0), v) for v in near] + [F.xxhash64("_key", F.lit(1), second)]
+    whole = members.join(large, "_key", "left_anti").select("_fp", "_key")
+    return whole.unionByName(members.join(large, "_key", "left_semi").select("_fp", F.explode(F.array(*dealt)).alias("_key")))
 
 
 def _pivots(prints: np.ndarray) -> np.ndarray:
@@ -147,7 +178,18 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(fresh) - 1
         size = np.bincount(group)
         start = np.flatnonzero(fresh)
-        xs, ys = [], []
+        label, xs, ys, held = np.arange(len(prints)), [], [], 0
+
+        def add(x: np.ndarray, y: np.ndarray, whole: bool = False) -> None:
+            """Links are held until there are many, or `whole`; then only the forest of all so far is kept."""
+            nonlocal label, xs, ys, held
+            xs.append(x)
+            ys.append(y)
+            held += len(x)
+            if whole or held > HELD_LINKS:
+                label = _forest(len(prints), label[np.concatenate(xs)], label[np.concatenate(ys)])[label]
+                xs, ys, held = [], [], 0
+
         many = (size[group] > 1) & (size[group] <= SMALL_GROUP)
         at = np.flatnonzero(many)
         keys_s, prints_s = keys[at], prints[at]
@@ -157,15 +199,11 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(x):
                 break
             x, y = _near(prints_s, prints_s, x, x + shift, table)
-            xs.append(at[x])
-            ys.append(at[y])
+            add(at[x], at[y])
         for g in np.flatnonzero(size > SMALL_GROUP):
             for x, y in _large_group(prints[start[g] : start[g] + size[g]]):
-                xs.append(start[g] + x)
-                ys.append(start[g] + y)
-        if not xs:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["_a", "_b"])
-        label = _forest(len(prints), np.concatenate(xs), np.concatenate(ys))
+                add(start[g] + x, start[g] + y)
+        add(np.zeros(0, np.int64), np.zeros(0, np.int64), whole=True)
         child = np.flatnonzero(label != np.arange(len(prints)))
         return pa.RecordBatch.from_arrays(
             [pa.array(prints[child].view(np.int64)), pa.array(prints[label[child]].view(np.int64))], ["_a", "_b"]
@@ -185,10 +223,10 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(held_k, held_p)
 
 
-def similar_fingerprints(prints: DataFrame) -> DataFrame:
+def similar_fingerprints(prints: DataFrame, split: int = SPLIT_GROUP) -> DataFrame:
     """Links (_a, _b) between distinct fingerprints whose components are those of all links within the distance."""
     return (
-        candidate_keys(prints)
+        candidate_keys(prints, split)
         .repartition("_key")
         .sortWithinPartitions("_key", F.col("_fp").bitwiseXOR(F.lit(-(1 << 63))))
         .mapInArrow(_link, "_a long, _b long")

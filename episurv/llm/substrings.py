@@ -21,8 +21,8 @@ from episurv.llm.common import KEY, WordHashes, keyed, mixed, slices, stored, te
 WINDOW = 35
 #: Bytes of text hashed at once; arrays take some fifty bytes for each.
 SLICE = 1 << 20
-#: Occurrences of an inner window above which its group is split.
-HOT = 20_000
+#: A group of an inner window is split into parts of at most this share of a task's rows.
+HOT_SHARE = 1 / 8
 
 
 def _halves(window: int) -> tuple[int, int]:
@@ -173,11 +173,15 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settled(pa.Table.from_batches(held))
 
 
-def repeated_windows(rows: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """(_k, _h, _at): per document the places of windows whose words also start elsewhere."""
+def repeated_windows(rows: DataFrame, window: int = WINDOW, hot: int | None = None) -> DataFrame:
+    """(_k, _h, _at): per document the places of windows whose words also start elsewhere. `hot` is the number of occurrences of an inner
+    window above which its group is split, by default HOT_SHARE of the occurrences that a shuffle partition has on average."""
     first = rows.mapInArrow(lambda b: _first_level(b, window), "_k long, _h long, _at int, _hash long")
     # Stored, it stands behind an exchange of its own, so that hot keys of the other side can be split.
     repeated = stored(first.groupBy("_hash").count().filter("count > 1"), "substring-repeated")
+    if hot is None:
+        total = repeated.agg(F.sum("count")).first()[0] or 0
+        hot = max(1, int(total * HOT_SHARE / int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     salts = F.ceil(F.col("count") / hot).cast("int")
     found = stored(
         first.join(repeated, "_hash")
@@ -200,7 +204,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, hot: int = HOT) -> D
 
 
 def dedup_substrings(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = HOT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int | None = None
 ) -> DataFrame:
     """For each row: id, words, words removed, the kept words joined by one blank.
 

@@ -82,6 +82,22 @@ def test_contamination(spark, block_bytes):
     assert [got[i] for i in range(len(texts))] == brute_contamination(texts, items, 10)
 
 
+def test_no_text_is_written_between_blocks(spark, monkeypatch):
+    rng, texts, written = random.Random(5), odd_texts(), []
+    items = [(n, " ".join(alnum(t)[k : k + 25])) for n, t in enumerate(texts[9:40]) for k in (0, 20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    parts = [bench.filter(f"item_id % 26 = {i % 26} AND hash(text) % 2 = {i // 26}").selectExpr("CAST(item_id AS STRING) AS _item", "text AS _t") for i in range(52)]
+    rest = bench.filter("hash(text) % 2 < 0").selectExpr("CAST(item_id AS STRING) AS _item", "text AS _t")
+    monkeypatch.setattr(decontaminate, "_blocks", lambda *a: [*parts, rest])
+    stored = decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, name: written.append((name, df.columns)) or stored(df, name))
+    found = decontaminate.contamination_report(frame(spark, texts), bench)
+    got = by_id(found, "n_words", "n_hit", "items")
+    assert [got[i] for i in range(len(texts))] == brute_contamination(texts, items, 10)
+    between = [columns for name, columns in written if name == "contamination"]
+    assert len(between) >= 50 and not any("_text" in c or "_row" in c for c in between)
+
+
 def test_pieces_have_all_phrases():
     rng = random.Random(8)
     for n in (0, 1, 9, 10, 11, 300):
@@ -263,10 +279,11 @@ def test_one_of_rows_alike(spark):
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in rows) == [("4", "a b c"), ("None", "None"), ("None", "q r s t")]
 
 
-@pytest.mark.parametrize("small,large", [(32, 8192), (2, 8192), (2, 4)])
-def test_links_of_dense_fingerprints(spark, monkeypatch, small, large):
+@pytest.mark.parametrize("small,large,split,held", [(32, 8192, 1024, 1 << 20), (2, 8192, 3, 5), (2, 4, 1 << 20, 1)])
+def test_links_of_dense_fingerprints(spark, monkeypatch, small, large, split, held):
     monkeypatch.setattr(simhash, "SMALL_GROUP", small)
     monkeypatch.setattr(simhash, "LARGE_GROUP", large)
+    monkeypatch.setattr(simhash, "HELD_LINKS", held)
     rng = random.Random(8)
     prints = {rng.getrandbits(64) for _ in range(30)} | {0, 1, 7, 2**64 - 1}
     for p in list(prints):
@@ -274,7 +291,7 @@ def test_links_of_dense_fingerprints(spark, monkeypatch, small, large):
             prints.add(p := p ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 5))))
     prints = sorted(prints)
     df = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "_fp long").repartition(3)
-    roots = {r["node"]: r["root"] for r in simhash.components(simhash.similar_fingerprints(df)).collect()}
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.similar_fingerprints(df, split)).collect()}
     signed = [int(np.uint64(p).view(np.int64)) for p in prints]
     got, want = defaultdict(set), defaultdict(set)
     for s, r in zip(signed, brute_components(prints)):
@@ -344,6 +361,34 @@ def test_shards(spark):
     assert set(size) == set(range(24)) and max(size.values()) < 1.1 * mean and min(size.values()) > 0.9 * mean
 
 
+def test_tree_cuts_at_weighted_medians(spark):
+    """Every node against all cuts of its points, computed plainly."""
+    rng = random.Random(12)
+    rows = [(i, 1, rng.choice([1, 5, 40, 2000]), *[rng.randrange(1 << 60) if rng.random() < 0.8 else 7 << 40 for _ in range(3)]) for i in range(700)]
+    cloud = spark.createDataFrame(rows, "_text_hash long, _size long, _weight long, _d0 long, _d1 long, _d2 long")
+    nodes = shards.kd_tree(cloud, 11)
+    inside, seen = {0: rows}, 0
+    for node in nodes:
+        mine = inside[node.name]
+        if node.children is None:
+            assert node.shards == 1
+            continue
+        span = [max(r[3 + d] for r in mine) - min(r[3 + d] for r in mine) for d in range(3)]
+        assert node.dimension == span.index(max(span))
+        total = sum(r[2] for r in mine)
+        goal = total * (node.shards // 2) / node.shards
+        key = 3 + node.dimension
+        cuts = sorted({r[key] for r in mine}) + [1 << 61]
+        best = min(abs(sum(r[2] for r in mine if r[key] < c) - goal) for c in cuts)
+        error = abs(sum(r[2] for r in mine if r[key] < node.cut) - goal)
+        assert error <= max(best, shards.TOLERANCE * goal / max(1, node.shards // 2)) + 1e-6
+        seen += 1
+        low, high = node.children
+        inside[low] = [r for r in mine if r[key] < node.cut]
+        inside[high] = [r for r in mine if r[key] >= node.cut]
+    assert seen == 10
+
+
 def test_shards_of_few_points(spark):
     rows = shards.shard_documents(frame(spark, ["same"] * 7, ids=[1] * 7), shards=5).collect()
     assert len({r["shard"] for r in rows}) == 1 and sorted(r["slot"] for r in rows) == list(range(7))
@@ -471,6 +516,34 @@ def test_profile_is_the_bundle_of_bound_letters():
     assert np.allclose(language.Profiles().vector(text), total / np.sqrt((total**2).sum()), atol=1e-5)
 
 
+def brute_profile(text):
+    """Sum of the bound trigram vectors of a text, by the definition."""
+    total = np.zeros(language.DIMENSIONS)
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        letters = [language.letter_vectors(np.array([c]))[0].astype(np.int64) for c in [0, *map(ord, word), 0]]
+        for x, y, z in zip(letters, letters[1:], letters[2:]):
+            total = total + np.roll(x, 2) * np.roll(y, 1) * z
+    return total
+
+
+def test_prototypes_and_choice_by_definition(spark):
+    rng = random.Random(6)
+    sounds = {"aa": ["la", "mi", "to"], "bb": ["ke", "mi", "zu"], "cc": ["la", "zu", "po"]}
+    rows = [(i, " ".join("".join(rng.choices(sounds[s], k=3)) for _ in range(rng.randrange(1, 9))), s) for i in range(60) for s in [rng.choice(list(sounds))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learnt = language.prototypes(df, "doc_id", "text", "lang")
+    units = [(s, v / np.linalg.norm(v)) for _, t, s in rows for v in [brute_profile(t)]]
+    want = {s: sum(v for x, v in units if x == s) for s in sounds}
+    want = {s: v / np.linalg.norm(v) for s, v in want.items()}
+    assert list(learnt) == sorted(want) and all(np.allclose(learnt[s], want[s], atol=1e-5) for s in want)
+    asked = [(100 + i, " ".join(rng.choices(["lamito", "kemizu", "lazupo", "tozu"], k=3)), None) for i in range(40)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(spark.createDataFrame(asked, df.schema), learnt).collect()}
+    for i, text, _ in asked:
+        unit = brute_profile(text) / np.linalg.norm(brute_profile(text))
+        cosines = {s: float(unit @ v) for s, v in want.items()}
+        assert abs(got[i][1] - max(0, max(cosines.values()))) < 1e-4 and cosines[got[i][0]] > max(cosines.values()) - 1e-4
+
+
 # ---- pages ------------------------------------------------------------------------------------
 
 
