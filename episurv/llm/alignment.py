@@ -233,7 +233,7 @@ def link_scores(links: DataFrame, key: str, file_a: str | None = None, file_b: s
     """For each value of the unique column `key` that has links: n_links, n_best, count_sum. `links` is a stored table."""
     counts = stored(link_counts(links, size_of_second(file_b)), "link-best")
     if pair_bound(file_a, file_b) * PAIR_BYTES <= BROADCAST_BYTES:
-        counts = F.broadcast(counts)
+        counts = counts.hint("broadcast")  # its size is bounded by the vocabularies, whatever the corpus
     each = links.select(key, F.explode("links").alias("pair")).join(counts, "pair")
     return each.groupBy(key).agg(
         F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum")
