@@ -20,6 +20,7 @@ from episurv.registry.sql import RAW, SILVER
 from episurv.session import scratch_path
 from episurv.sources import delimited as csv
 from episurv.sources import tables as tb
+from episurv.sources.multiline import ingest_records, scan_records
 from episurv.streaming import audit_stream, index_sync
 from episurv.streaming.batches import file_stream, run_available
 from episurv.streaming.rate_limit import rate_limit_stream
@@ -53,6 +54,18 @@ def s1_single(spark, d):
     return csv.scan_delimited(spark, f"{_csv_folder(spark, d)}/src=*", multiLine="false")
 
 
+@query(
+    "s1_scan_records",
+    r"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, replace(text, chr(13) || chr(10), chr(10)) AS text, lang, source FROM documents""",
+)
+def s1_records(spark, d):
+    """Whole texts with their line breaks, quotes and separators, in files that are read in splits."""
+    path = scratch_path(spark, "csv-texts")
+    texts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", "source")
+    texts.write.options(header="true", sep=";", encoding="UTF-8", escape='"').csv(path)
+    return scan_records(spark, path, texts.columns, encoding="UTF-8")
+
+
 @query("s2_scan_year", f"{RAW} SELECT {TEXT_COLUMNS} FROM raw WHERE ANO_DADOS = 1997")
 def s2(spark, d):
     return csv.scan_year(spark, _csv_folder(spark, d), 1997, PATTERN)
@@ -96,6 +109,15 @@ def s6(spark, d):
     return _bronze(spark, d).drop("_ingested_at", "_source_file")
 
 
+@query("s6_ingest_records", ORACLES["s5_ingest_metadata"])
+def s6_records(spark, d):
+    """The bronze table from files that are read in splits."""
+    bronze = ingest_records(spark, _csv_folder(spark, d), YEARS, PATTERN)
+    return bronze.withColumns(
+        {"has_time": F.col("_ingested_at").isNotNull(), "fonte": F.regexp_extract("_source_file", r"(INFLUD\d\d-cases\.csv)", 1)}
+    ).drop("_ingested_at", "_source_file")
+
+
 @query(
     "u1_union_tolerant",
     f"""{RAW} SELECT NU_NOTIFIC, UTI, CAST(NULL AS VARCHAR) AS VACINA FROM raw WHERE ANO_DADOS < 1998
