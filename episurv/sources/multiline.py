@@ -128,7 +128,7 @@ def scan_records(
 ) -> DataFrame:
     """Every field as text, as `scan_delimited` gives it, but a file is read in splits although its records may span lines.
 
-    Lines move once, to the task of their split. `source_col` names a column for the file of a record. Lines end with a line
+    Lines move once, to the task of their split; those of records that cross its ends once more. `source_col` names a column for the file of a record. Lines end with a line
     feed, also inside quotes; a carriage return before it is left out. Blank lines between records are left out, and the
     first record of each file where `header` is true. Short records have nulls at their end. A record that reaches over whole splits of more
     than `most_bytes` (a quote that is never closed) raises an error instead of filling one task. Quotes are escaped by doubling, the
@@ -165,10 +165,14 @@ def scan_records(
     )
     single = placed.filter("_single AND NOT _named AND _line <> ''").select("_file", F.col("_line").alias("_text"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("_block", "_at", "_line"))), lambda x: x["_line"])
-    longer = placed.filter("NOT _single").groupBy("_file", "_home", "_key").agg(
-        F.bool_or("_named").alias("_named"), F.array_join(parts, "\n").alias("_text")
-    )
-    records = single.unionByName(longer.filter("NOT _named").select("_file", "_text"))
+    gathered = (F.bool_or("_named").alias("_named"), F.array_join(parts, "\n").alias("_text"))
+    longer = placed.filter("NOT _single")
+    # Lines of a split are together already: only records that cross its ends move again.
+    inside = longer.filter("_key >= 0").groupBy("_file", "_block", "_key").agg(*gathered)
+    across = longer.filter("_key < 0").groupBy("_file", "_home").agg(*gathered)
+    records = single
+    for part in (inside, across):
+        records = records.unionByName(part.filter("NOT _named").select("_file", "_text"))
     parsing = {name: value for name, value in chosen.items() if name not in _OF_FILES}
     quoted = ["`" + c.replace("`", "``") + "`" for c in columns]
     fields = F.from_csv("_text", ", ".join(f"{c} string" for c in quoted), parsing)
