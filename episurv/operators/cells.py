@@ -5,9 +5,10 @@ A query first reads its nearest cells, until they hold k rows. Its k-th score th
 of a cell is nearer than the distance of its centre less its radius. What is left is read in a second round, so the result is
 exact whatever the centres are. They are fitted by k-means on a sample, and on nothing else does the sample have an effect.
 
-Cells are cut into blocks of rows, queries of a cell into blocks too, and the unit of work is a pair of blocks. So a cell that
+Cells are cut into blocks of rows, queries into blocks too, and the unit of work is a pair of blocks. So a cell that
 holds a large share of the corpus, or that most queries ask for, spreads over as many tasks as it has pairs, and no vector
-passes through the driver but the centres.
+passes through the driver but the centres. A query moves with its few nearest cells in the first round, and once with its block in the second, where stored
+blocks of queries and of rows are paired in place: what is written and shuffled grows with rows and queries, not with their pairs.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from episurv.operators.vectors import Best, found_schema, ids_of, key_type, matrix_of, unit_rows
+from episurv.operators.vectors import Best, BlockBest, found_schema, ids_of, key_type, matrix_of, unit_rows
 from episurv.session import scratch_path
 
 # Rows the centres are fitted on, about; most cells; passes of k-means.
 SAMPLE, MOST_CELLS, PASSES = 20_000, 1024, 5
 # Rows of a block of the corpus, and of queries.
-BLOCK, QUERY_BLOCK = 4096, 1024
+BLOCK, QUERY_BLOCK = 4096, 2048
+# Query blocks whose best a task keeps; queries planned at once.
+KEPT_BLOCKS, PLANNED = 16, 256
 # Scores are rounded, so a cell is read that falls short by less than this.
 SLACK = 1e-9
 
@@ -54,6 +57,12 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _has_direction(vector: str) -> Column:
+    """Neither zero nor with a NaN, which Spark takes for the largest number."""
+    norm = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)
+    return (norm > 0) & ~F.isnan(norm)
+
+
 def _fitted(rows: DataFrame, total: int, count: int, sample: int) -> np.ndarray:
     """Centres of unit vectors, by k-means on the rows whose hashes of ids are in a share of the hash range."""
     share = min(1.0, sample / max(1, total))
@@ -83,8 +92,7 @@ def build_cells(
     rows = corpus.filter(F.size(F.coalesce(F.col(vector), F.array().cast("array<float>"))) == dim).select(
         F.col(doc_id).cast(id_type).alias("id"), F.col(vector).cast("array<double>").alias("vector"), apart.cast("int").alias("_kind")
     )
-    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    rows = rows.withColumn("_at", F.when(norm > 0, 0).otherwise(-1)).filter("_at = 0")
+    rows = rows.withColumn("_at", F.when(_has_direction("vector"), 0).otherwise(-1)).filter("_at = 0")
     total = rows.count()
     count = cells or min(MOST_CELLS, isqrt(total))
     centres = _fitted(rows, total, count, sample) if total and dim else np.zeros((1, dim))
@@ -110,9 +118,34 @@ def build_cells(
         .groupBy("_kind", "_cell", place.alias("_block"))
         .agg(F.collect_list(F.struct("id", "vector")).alias("_rows"))
     )
+    blocks = _packed(blocks, dim, id_type, "_kind int, _cell int, _block int")
     return CellIndex(_stored(blocks, "cells-blocks"), table, centres, tuple(kinds) if kind else (), id_type)
 
 
+def _packed(groups: DataFrame, dim: int, id_type: str, others: str) -> DataFrame:
+    """The ids and vectors in `_rows` as `_ids` and `_units`, the bytes of the unit vectors."""
+    names = [c for c in groups.columns if c != "_rows"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                rows = batch.column("_rows")[n].values
+                units, _ = unit_rows(matrix_of(rows.field("vector"), dim))
+                ids = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows.field("id"))
+                others = [batch.column(c).slice(n, 1) for c in names]
+                yield pa.RecordBatch.from_arrays([*others, ids, pa.array([units.tobytes()], pa.binary())], [*names, "_ids", "_units"])
+
+    return groups.mapInArrow(run, f"{others}, _ids array<{id_type}>, _units binary")
+
+
+def _units_of(value: pa.Scalar, dim: int) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.float64).reshape(-1, dim)
+
+
+def _cell_key(kind: str, cell: str) -> Column:
+    return (F.col(kind).cast("bigint") + 1) * F.lit(1 << 32) + F.col(cell)
+
+
 def _distances(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
     square = (units * units).sum(axis=1)[:, None] + (centres * centres).sum(axis=1)[None] - 2 * units @ centres.T
     return np.sqrt(np.maximum(square, 0))
@@ -127,50 +160,153 @@ class _Planner:
         columns = list(zip(*sorted(known))) or [()] * 4
         self.kind, self.cell, self.rows = (np.array(c, np.int64) for c in columns[:3])
         self.radius, self.centres, self.k = np.array(columns[3], float), index.centres, k
+        self.keys = (self.kind + 1) * (1 << 32) + self.cell
+        self.number = {int(key): n for n, key in enumerate(self.keys)}
+
+    def near(self, units: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """For each query the cells of the first round: its nearest ones, until they hold k rows. A wanted kind of -1 is any."""
+        apart = np.where(self._mine(wanted, slice(None)), _distances(units, self.centres)[:, self.cell], np.inf)
+        order = np.argsort(apart, axis=1, kind="stable")
+        held = self.rows[order]
+        first = (np.cumsum(held, axis=1) - held < self.k) & np.isfinite(np.take_along_axis(apart, order, 1))
+        near = np.zeros(apart.shape, bool)
+        np.put_along_axis(near, order, first, 1)
+        return near
+
+    def open(self, units: np.ndarray, wanted: np.ndarray, worst: np.ndarray, cells: slice | Sequence[int] = slice(None)) -> np.ndarray:
+        """For each query which of the cells its k-th score (NaN if there are fewer rows) does not rule out."""
+        centres, at = np.unique(self.cell[cells], return_inverse=True)
+        nearest = np.maximum(0, _distances(units, self.centres[centres])[:, at] - self.radius[cells])
+        best = 1 - nearest * nearest / 2  # the largest cosine a row of the cell can have
+        return self._mine(wanted, cells) & (np.isnan(worst)[:, None] | (best >= worst[:, None] - SLACK))
+
+    def _mine(self, wanted: np.ndarray, cells: slice | Sequence[int]) -> np.ndarray:
+        return (wanted[:, None] < 0) | (self.kind[cells] == wanted[:, None])
+
+
+def _parts(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Queries with their unit vectors and wanted kinds, some at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, PLANNED):
+            part = batch.slice(lo, PLANNED)
+            units, _ = unit_rows(matrix_of(part.column("vector"), dim))
+            yield part, units, np.asarray(part.column("_wanted"))
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Doubles, null as NaN."""
+    return column.to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def _near(queries: DataFrame, planner: _Planner, dim: int, query_type: str) -> DataFrame:
+    """A row for each query and cell of its first round."""
 
-    def plan(self, units: np.ndarray, wanted: np.ndarray, worst: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
-        """For each query the numbers of the cells of the first round, or, given k-th scores (NaN if there are fewer), of the
-        second. A wanted kind of -1 is any."""
-        apart = _distances(units, self.centres)
-        for n, kind in enumerate(wanted):
-            mine = np.arange(len(self.kind)) if kind < 0 else np.flatnonzero(self.kind == kind)
-            distance = apart[n, self.cell[mine]]
-            order = np.argsort(distance, kind="stable")
-            before = np.cumsum(self.rows[mine[order]]) - self.rows[mine[order]]
-            first = before < self.k
-            if worst is None:
-                yield n, mine[order[first]]
-                continue
-            nearest = np.maximum(0, distance - self.radius[mine])
-            best = 1 - nearest * nearest / 2  # the largest cosine a row of the cell can have
-            open_ = np.ones(len(mine), bool) if np.isnan(worst[n]) else best >= worst[n] - SLACK
-            yield n, mine[order[~first & open_[order]]]
-
-
-def _planned(queries: DataFrame, planner: _Planner, dim: int, query_type: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, units, wanted in _parts(batches, dim):
+            at, cells = np.nonzero(planner.near(units, wanted))
+            rows = part.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("query_id"),
+                    rows.column("vector"),
+                    pa.array(planner.kind[cells].astype(np.int32)),
+                    pa.array(planner.cell[cells].astype(np.int32)),
+                ],
+                ["query_id", "vector", "_kind", "_cell"],
+            )
+
+    return queries.select("query_id", "vector", "_wanted").mapInArrow(
+        run, f"query_id {query_type}, vector array<double>, _kind int, _cell int"
+    )
+
+
+def _read(queries: DataFrame, planner: _Planner, dim: int, query_type: str) -> DataFrame:
+    """The number of cells, and of their rows, that each query reads in both rounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, units, wanted in _parts(batches, dim):
+            read = planner.near(units, wanted) | planner.open(units, wanted, _numbers(part.column("_worst")))
+            some = read.any(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("query_id"), pa.array(read.sum(axis=1)), pa.array(read @ planner.rows)], ["query_id", "cells", "rows"]
+            ).filter(pa.array(some))
+
+    return queries.select("query_id", "vector", "_wanted", "_worst").mapInArrow(run, f"query_id {query_type}, cells bigint, rows bigint")
+
+
+def _query_blocks(queries: DataFrame, planner: _Planner, dim: int, query_type: str) -> DataFrame:
+    """Blocks of queries that want one kind and lie in cells next to each other in number: `_ids`, `_units`, `_worsts`, and in
+    `_open` the keys of all cells that one of them has to read."""
+    count = max(1, len(planner.centres))
+    groups = min(count, max(1, -(-queries.count() // QUERY_BLOCK)))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, units, _ in _parts(batches, dim):
+            group = _distances(units, planner.centres).argmin(axis=1) * groups // count
+            columns = [part.column(c) for c in ("query_id", "vector", "_wanted", "_worst")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(group.astype(np.int32))], ["query_id", "vector", "_wanted", "_worst", "_group"])
+
+    schema = f"query_id {query_type}, vector array<double>, _wanted int, _worst double, _group int"
+    rows = _stored(queries.select("query_id", "vector", "_wanted", "_worst").mapInArrow(placed, schema), "cells-grouped")
+    sizes = rows.groupBy("_wanted", "_group").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("_parts"))
+    place = F.pmod(F.xxhash64("query_id"), F.col("_parts"))
+    row = F.struct(F.col("query_id").alias("id"), "vector", "_worst")
+    blocks = rows.join(sizes, ["_wanted", "_group"]).groupBy("_wanted", "_group", place.alias("_part")).agg(F.collect_list(row).alias("_rows"))
+    blocks = blocks.select("_wanted", F.col("_rows._worst").alias("_worsts"), "_rows")
+    packed = _packed(blocks, dim, query_type, "_wanted int, _worsts array<double>")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                matrix = matrix_of(part.column("vector"), dim)
-                good = np.flatnonzero((matrix * matrix).sum(axis=1) > 0)
-                units, _ = unit_rows(matrix)
-                wanted = np.asarray(part.column("_wanted"))[good]
-                worst = part.column("_worst").to_numpy(zero_copy_only=False)[good] if "_worst" in part.schema.names else None
-                plans = [(good[n], cells) for n, cells in planner.plan(units, wanted, worst)]
-                at = pa.array(np.repeat([n for n, _ in plans], [len(c) for _, c in plans]).astype(np.int64))
-                cells = np.concatenate([np.zeros(0, np.int64), *(c for _, c in plans)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("query_id").take(at),
-                        part.column("vector").take(at),
-                        pa.array(planner.kind[cells].astype(np.int32)),
-                        pa.array(planner.cell[cells].astype(np.int32)),
-                    ],
-                    ["query_id", "vector", "_kind", "_cell"],
-                )
-
-    return queries.mapInArrow(run, f"query_id {query_type}, vector array<double>, _kind int, _cell int")
+            lists = []
+            for n in range(batch.num_rows):
+                units, worst = _units_of(batch.column("_units")[n], dim), _numbers(batch.column("_worsts")[n].values)
+                wanted, some = np.full(len(units), batch.column("_wanted")[n].as_py()), np.zeros(len(planner.keys), bool)
+                for lo in range(0, len(units), PLANNED):
+                    at = slice(lo, lo + PLANNED)
+                    some |= planner.open(units[at], wanted[at], worst[at]).any(axis=0)
+                lists.append(planner.keys[some])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], [*batch.schema.names, "_open"])
+
+    fields = f"_wanted int, _worsts array<double>, _ids array<{query_type}>, _units binary, _open array<bigint>"
+    blocks = packed.mapInArrow(opened, fields).withColumn("_query_block", F.monotonically_increasing_id())
+    return _stored(blocks, "cells-query-blocks")
+
+
+def _paired(query_blocks: DataFrame, index: CellIndex, planner: _Planner, k: int, dim: int, query_type: str) -> DataFrame:
+    """The k best of each query among the blocks that a task pairs with it. Both sides are read where they were written: a product of
+    few large rows, whose condition leaves out pairs with cells that no query of the block has to read."""
+    rows = index.blocks.select(
+        _cell_key("_kind", "_cell").alias("_key"), F.col("_ids").alias("_row_ids"), F.col("_units").alias("_row_units")
+    )
+    both = query_blocks.join(rows, F.array_contains("_open", F.col("_key"))).drop("_open")
+    schema, arrow = found_schema(query_type, index.id_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, BlockBest] = {}
+
+        def ended(block: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pandas(kept.pop(block).rows(), schema=arrow, preserve_index=False)
+
+        for batch in batches:
+            for n in range(batch.num_rows):
+                block = batch.column("_query_block")[n].as_py()
+                if block not in kept:
+                    if len(kept) >= KEPT_BLOCKS:
+                        yield ended(next(iter(kept)))
+                    worst = _numbers(batch.column("_worsts")[n].values)
+                    units = _units_of(batch.column("_units")[n], dim).copy()
+                    kept[block] = BlockBest(batch.column("_ids")[n].as_py(), units, k, worst - 2 * SLACK)
+                best = kept[block] = kept.pop(block)  # the one met last is the last to go
+                wanted = np.full(len(best.queries), batch.column("_wanted")[n].as_py())
+                cell = planner.number[batch.column("_key")[n].as_py()]
+                worst = _numbers(batch.column("_worsts")[n].values)
+                asking = np.flatnonzero(planner.open(best.queries, wanted, worst, [cell])[:, 0])
+                ids = ids_of(batch.column("_row_ids")[n].values.to_numpy(zero_copy_only=False))
+                best.add(asking, ids, _units_of(batch.column("_row_units")[n], dim))
+        for block in list(kept):
+            yield ended(block)
+
+    return both.mapInArrow(run, schema)
 
 
 def _searched(plan: DataFrame, index: CellIndex, k: int, dim: int, query_type: str) -> DataFrame:
@@ -184,16 +320,16 @@ def _searched(plan: DataFrame, index: CellIndex, k: int, dim: int, query_type: s
         .agg(F.collect_list(F.struct("query_id", "vector")).alias("_queries"), F.first("_blocks").alias("_blocks"))
     )
     pairs = packed.select("_kind", "_cell", "_queries", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
-    both = pairs.join(index.blocks, ["_kind", "_cell", "_block"]).select("_queries", "_rows")
+    both = pairs.join(index.blocks, ["_kind", "_cell", "_block"]).select("_queries", "_ids", "_units")
     schema, arrow = found_schema(query_type, index.id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
-                queries, rows = batch.column("_queries")[n].values, batch.column("_rows")[n].values
+                queries = batch.column("_queries")[n].values
                 units, _ = unit_rows(matrix_of(queries.field("vector"), dim))
                 best = Best(units, k)
-                best.add(ids_of(rows.field("id").to_numpy(zero_copy_only=False)), matrix_of(rows.field("vector"), dim))
+                best.add(ids_of(batch.column("_ids")[n].values.to_numpy(zero_copy_only=False)), _units_of(batch.column("_units")[n], dim))
                 found = best.rows(queries.field("query_id").to_pylist())
                 yield pa.RecordBatch.from_pandas(found, schema=arrow, preserve_index=False)
 
@@ -223,7 +359,7 @@ def search_cells(
     """The k rows of the index that are most similar to each query, by score and then id; exact.
 
     `wanted` names a kind for each query, or null for any. Zero and missing vectors, and those of another length, take no
-    part. Both rounds are joins of query blocks with corpus blocks; their results are written to the shared folder.
+    part. Both rounds are joins of query blocks with corpus blocks; their plans are written to the shared folder.
     """
     dim, query_type = index.centres.shape[1], key_type(queries, query_id)
     named = F.lit(None).cast("string") if wanted is None else (F.col(wanted) if isinstance(wanted, str) else wanted)
@@ -233,13 +369,13 @@ def search_cells(
         F.col(query_vector).cast("array<double>").alias("vector"),
         number.cast("int").alias("_wanted"),
     ).filter(F.size(F.coalesce("vector", F.array().cast("array<double>"))) == dim)
-    asked = _stored(asked, "cells-queries")
+    asked = _stored(asked.filter(_has_direction("vector")), "cells-queries")
     planner = _Planner(index, k)
-    near = _stored(_planned(asked, planner, dim, query_type), "cells-near")
-    first = _stored(_best_of(_searched(near, index, k, dim, query_type), k), "cells-first")
+    near = _stored(_near(asked, planner, dim, query_type), "cells-near")
+    first = _best_of(_searched(near, index, k, dim, query_type), k)
     worst = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("_worst"))
-    far = _stored(_planned(asked.join(worst, "query_id", "left"), planner, dim, query_type), "cells-far")
-    second = _searched(far, index, k, dim, query_type)
-    found = _best_of(first.drop("rank").unionByName(second), k)
-    read = near.unionByName(far).select("query_id", "_kind", "_cell").join(index.cells, ["_kind", "_cell"])
-    return Search(found, read.groupBy("query_id").agg(F.count("*").alias("cells"), F.sum("rows").alias("rows")))
+    bounded = _stored(asked.join(worst, "query_id", "left"), "cells-bounded")
+    # What the first round found is found again, as no k-th score rules out the cell of a better row.
+    blocks = _query_blocks(bounded, planner, dim, query_type)
+    found = _best_of(_paired(blocks, index, planner, k, dim, query_type), k)
+    return Search(found, _read(bounded, planner, dim, query_type))

@@ -57,6 +57,54 @@ class Best:
         )
 
 
+class BlockBest:
+    """The k best (score, id) of each query of a block, for many queries and few ids that still count: all are merged at once.
+
+    A query has no use for scores below its floor. `SCORED` pairs are scored at a time.
+    """
+
+    SCORED = 1 << 20
+
+    def __init__(self, query_ids: Sequence, queries: np.ndarray, k: int, floor: np.ndarray):
+        self.query_ids, self.queries, self.k = query_ids, queries, k
+        self.floor = np.where(np.isnan(floor), -np.inf, floor)
+        self.scores = np.full((len(queries), k), -np.inf)
+        self.ids: np.ndarray | None = None
+
+    def add(self, asking: np.ndarray, ids: np.ndarray, units: np.ndarray) -> None:
+        """Compare the queries of these numbers with unit vectors."""
+        if self.ids is None:
+            self.ids = np.zeros(self.scores.shape, ids.dtype)
+        self.ids = self.ids.astype(np.promote_types(self.ids.dtype, ids.dtype), copy=False)
+        step = max(1, self.SCORED // max(1, len(ids)))
+        for lo in range(0, len(asking), step):
+            rows = asking[lo : lo + step]
+            scores = self.queries[rows] @ units.T
+            at, which = np.nonzero(scores >= self.floor[rows, None] - 10.0**-SCORE_DIGITS)
+            self._merge(rows[at], np.round(scores[at, which], SCORE_DIGITS), ids[which])
+
+    def _merge(self, at: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        last = self.scores[at, -1]
+        better = (scores > last) | ((scores == last) & (ids < self.ids[at, -1]))
+        at, scores, ids = at[better], scores[better], ids[better]
+        if not len(at):
+            return
+        changed = np.unique(at)
+        at = np.concatenate([at, np.repeat(changed, self.k)])
+        scores, ids = np.concatenate([scores, self.scores[changed].ravel()]), np.concatenate([ids, self.ids[changed].ravel()])
+        order = np.lexsort((ids, -scores, at))
+        at, scores, ids = at[order], scores[order], ids[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        top = place < self.k
+        self.scores[at[top], place[top]], self.ids[at[top], place[top]] = scores[top], ids[top]
+        self.floor[changed] = np.maximum(self.floor[changed], self.scores[changed, -1])
+
+    def rows(self) -> pd.DataFrame:
+        at, place = np.nonzero(np.isfinite(self.scores))
+        ids = self.ids[at, place] if self.ids is not None else []
+        return pd.DataFrame({"query_id": [self.query_ids[n] for n in at], "id": ids, "score": self.scores[at, place]})
+
+
 def key_type(df: DataFrame, name: str) -> str:
     """Ids are whole numbers or text."""
     return "bigint" if df.schema[name].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"

@@ -81,3 +81,28 @@ def test_kinds_are_apart(spark):
     index = build_cells(frame(spark, corpus, kinds), 8, kind="kind", kinds=("a", "b"), cells=5)
     found = search_cells(asked, index, 4, wanted="w").found
     assert ids(found) == brute(queries, corpus, 4, lambda q, c: wanted[q] is None or wanted[q] in "ab" and kinds[c] == wanted[q])
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Rows of each table that the search writes, by name."""
+    rows, stored = {}, cells._stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(cells, "_stored", counted)
+    return rows
+
+
+def test_tables_do_not_grow_with_pairs(spark, written):
+    """Vectors in all directions rule out no cell, and still a query is not written once for each cell."""
+    vectors = np.random.default_rng(8).normal(size=(300, 16))
+    corpus = frame(spark, vectors)
+    index = build_cells(corpus, 16, cells=30)
+    found, reads = search_cells(corpus.selectExpr("doc_id AS query_id", "embedding AS vector"), index, 2)
+    assert ids(found) == brute(vectors, vectors, 2)
+    assert reads.agg(F.avg("cells")).first()[0] > 20
+    assert max(written.values()) <= 600
