@@ -86,8 +86,26 @@ def per_type_measures() -> list[Column]:
     ]
 
 
+def _decimal(value: str) -> Column:
+    """A number as its decimal text says; NULL where that has more than ten places or 18 digits before them."""
+    text = F.col(value).try_cast("decimal(28,10)")
+    return F.when(text.cast("double") == F.col(value), text)
+
+
+def _exact(part: Column, value: str) -> Column:
+    """Sum of decimals; NULL unless every value has one."""
+    return F.when(F.count(part) == F.count(value), F.try_sum(part))
+
+
+def _seconds_sum() -> Column:
+    """The sum of a metric's parts. Doubles added up in another order differ in the last digit, which decides halves and bounds; of
+    decimals the sum is rounded once. Where a value is no short decimal, doubles are added."""
+    return F.coalesce(_exact(F.col("_exact"), "_sum").cast("double"), F.sum("_sum"))
+
+
 def _per_type(log: DataFrame) -> DataFrame:
-    return log.groupBy("session_id", "event_type", "status").agg(*per_type_measures())
+    exact = _exact(_decimal("elapsed_seconds"), "elapsed_seconds").alias("_exact")
+    return log.groupBy("session_id", "event_type", "status").agg(*per_type_measures(), exact)
 
 
 def _sum_if(condition: Column, value: str = "_n") -> Column:
@@ -180,7 +198,7 @@ def elapsed_by_type(log: DataFrame, session_id: str) -> DataFrame:
 def _metrics(log: DataFrame) -> DataFrame:
     return _per_type(log).groupBy("session_id", F.col("event_type").alias("metric")).agg(
         F.sum("_n").alias("count"),
-        F.sum("_sum").alias("total_seconds"),
+        _seconds_sum().alias("total_seconds"),
         F.max("_max").alias("max_seconds"),
         F.min("_min").alias("min_seconds"),
         F.min("_start").alias("_start"),
@@ -260,7 +278,7 @@ def anomalies(
     mean = F.col("_sum") / F.col("_n")
     spikes = (
         counted.groupBy("session_id", "event_type")
-        .agg(F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"), F.max("_max").alias("_max"))
+        .agg(F.sum("_n").alias("_n"), _seconds_sum().alias("_sum"), F.max("_max").alias("_max"))
         .filter((F.col("_n") > 1) & (F.col("_max") > mean * spike))
         .select(
             *row("performance_spike", "warning", F.col("event_type"), F.col("_max"), mean,

@@ -1,12 +1,13 @@
 """The limiter against a plain replay, and dialogue history against a plain loop."""
 
+import itertools
 import random
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from episurv.operators import usage
+from episurv.operators import audit, usage
 from episurv.operators.dialogue import with_history
 
 SECOND = 1_000_000
@@ -115,3 +116,23 @@ def test_history_is_numbered_across_blocks(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.turn: r.anteriores for r in exchanges(df, block=16).collect()}
     assert got == {i: i // 2 for i in range(0, 100, 2)}
+
+
+def test_sums_do_not_depend_on_order(spark):
+    """Doubles added up in these orders end on both sides of the half and of the bound."""
+    half = [0.1, 0.2, 0.3, 0.7, *[0.01] * 28]  # 1.58 / 32 = 0.049375
+    logs = []
+    for n, order in enumerate(itertools.permutations([0.1, 0.2, 0.3, 1.8, 0.6, 0.0])):  # the mean is 0.5, the largest is 1.8
+        logs += [(f"a{n}", x) for x in order]
+    for n, order in enumerate(itertools.permutations([0.7, 0.1, 0.2, 0.2, 0.0, 0.0])):  # the mean is 0.2
+        logs += [(f"b{n}", x) for x in order]
+    logs += [("half", x) for x in half] + [("flah", x) for x in half[::-1]]
+    rows = spark.createDataFrame(logs, "session_id string, elapsed_seconds double").selectExpr(
+        "session_id", "'t' AS event_type", "'success' AS status", "timestamp'2024-01-01' AS timestamp", "elapsed_seconds"
+    )
+    found = {}
+    for r in audit.performance(rows.coalesce(1)).collect():
+        found.setdefault(r["session_id"].rstrip("0123456789"), set()).add(r["total_seconds"])
+    assert found == {"a": {3.0}, "b": {1.2}, "half": {1.58}, "flah": {1.58}}
+    odd = rows.limit(2).withColumn("elapsed_seconds", F.when(F.col("elapsed_seconds") == 0.1, 1e300).otherwise(1e-30))
+    assert audit.performance(odd).first()["total_seconds"] == 1e300
