@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from episurv.operators import sqltool
@@ -36,9 +38,23 @@ def _csv_folder(spark, d, parts=4) -> str:
     """The raw notifications as delimited files, one source of several files per year."""
     path = scratch_path(spark, "csv")
     raw = raw_cases(spark, d).withColumn("src", F.concat(F.lit("INFLUD"), F.substring(F.col("ANO_DADOS").cast("string"), 3, 2), F.lit("-cases.csv")))
+    raw, options = raw.drop("ANO_DADOS"), {"header": "true", "sep": ";", "encoding": "ISO-8859-1", "escape": '"'}
+    if parts == 1:  # a write by years sorts them in memory; a task that reads one year of the written rows holds a batch
+        years = scratch_path(spark, "csv-years")
+        raw.write.parquet(years)
+        written = spark.read.parquet(years)
+
+        def write(year: str) -> None:
+            rows = written.filter(F.col("src") == year).drop("src")
+            rows.coalesce(1).write.options(**options).csv(f"{path}/src={year}")
+
+        names = [r["src"] for r in written.select("src").distinct().collect()]
+        with ThreadPoolExecutor(len(YEARS)) as pool:  # a job of one task for each year, all at once
+            list(pool.map(write, names))
+        return path
     (
-        raw.drop("ANO_DADOS").repartition("src", F.pmod(F.xxhash64("NU_NOTIFIC"), F.lit(parts))).write.partitionBy("src")
-        .options(header="true", sep=";", encoding="ISO-8859-1", escape='"').csv(path)
+        raw.repartition("src", F.pmod(F.xxhash64("NU_NOTIFIC"), F.lit(parts))).write.partitionBy("src")
+        .options(**options).csv(path)
     )
     return path
 

@@ -196,3 +196,20 @@ def test_raw_records_round_trip(spark, scratch):
     raw = raw_cases(spark, SF)
     tb.write_table(raw, f"{scratch}/raw")
     assert tb.read_table(spark, f"{scratch}/raw").exceptAll(raw).count() == 0
+
+
+def test_single_files_without_a_shuffle_of_years(spark, monkeypatch):
+    """A year of one file is not gathered and sorted in a task's memory."""
+    from pyspark.sql import DataFrame
+
+    from episurv.registry import io_queries
+
+    dealt = []
+    for kind in {DataFrame, *type(spark.range(1)).__mro__} - {object}:
+        if "repartition" in vars(kind):
+            monkeypatch.setattr(kind, "repartition", lambda df, *by, f=vars(kind)["repartition"]: dealt.append(by) or f(df, *by))
+    d = "/root/testdata/sf0.001"
+    one, four = (spark.read.options(header="true", sep=";").csv(io_queries._csv_folder(spark, d, parts)) for parts in (1, 4))
+    assert len(dealt) == 1
+    assert sorted(map(str, one.collect())) == sorted(map(str, four.select(one.columns).collect()))
+    assert len(one.inputFiles()) == one.select("src").distinct().count()
