@@ -32,7 +32,7 @@ from episurv.session import scratch_path
 SAMPLE, MOST_CELLS, PASSES = 20_000, 1024, 5
 # Rows of a block of the corpus, and of queries.
 BLOCK, QUERY_BLOCK = 4096, 2048
-# Query blocks whose best a task keeps; queries planned at once.
+# Query blocks whose best a task keeps; vectors compared with all centres at once.
 KEPT_BLOCKS, PLANNED = 16, 256
 # Scores are rounded, so a cell is read that falls short by less than this.
 SLACK = 1e-9
@@ -99,13 +99,15 @@ def build_cells(
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units, _ = unit_rows(matrix_of(batch.column("vector"), dim))
-            apart = _distances(units, centres)
-            nearest = apart.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("id", "vector", "_kind")), pa.array(nearest.astype(np.int32)), pa.array(apart[np.arange(len(units)), nearest])],
-                ["id", "vector", "_kind", "_cell", "_apart"],
-            )
+            for lo in range(0, batch.num_rows, PLANNED):
+                part = batch.slice(lo, PLANNED)
+                units, _ = unit_rows(matrix_of(part.column("vector"), dim))
+                apart = _distances(units, centres)
+                nearest = apart.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("id", "vector", "_kind")), pa.array(nearest.astype(np.int32)), pa.array(apart[np.arange(len(units)), nearest])],
+                    ["id", "vector", "_kind", "_cell", "_apart"],
+                )
 
     placed = rows.select("id", "vector", "_kind").mapInArrow(
         assign, f"id {id_type}, vector array<double>, _kind int, _cell int, _apart double"
@@ -166,11 +168,15 @@ class _Planner:
     def near(self, units: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """For each query the cells of the first round: its nearest ones, until they hold k rows. A wanted kind of -1 is any."""
         apart = np.where(self._mine(wanted, slice(None)), _distances(units, self.centres)[:, self.cell], np.inf)
-        order = np.argsort(apart, axis=1, kind="stable")
-        held = self.rows[order]
-        first = (np.cumsum(held, axis=1) - held < self.k) & np.isfinite(np.take_along_axis(apart, order, 1))
-        near = np.zeros(apart.shape, bool)
-        np.put_along_axis(near, order, first, 1)
+        near, held = np.zeros(apart.shape, bool), np.zeros(len(apart), np.int64)
+        for _ in range(min(self.k, apart.shape[1])):  # a cell holds a row at least
+            nearest = apart.argmin(axis=1)
+            short = np.flatnonzero((held < self.k) & np.isfinite(apart[np.arange(len(apart)), nearest]))
+            if not len(short):
+                break
+            cells = nearest[short]
+            near[short, cells], apart[short, cells] = True, np.inf
+            held[short] += self.rows[cells]
         return near
 
     def open(self, units: np.ndarray, wanted: np.ndarray, worst: np.ndarray, cells: slice | Sequence[int] = slice(None)) -> np.ndarray:
@@ -348,19 +354,11 @@ class Search(NamedTuple):
     reads: DataFrame
 
 
-def search_cells(
-    queries: DataFrame,
-    index: CellIndex,
-    k: int,
-    query_id: str = "query_id",
-    query_vector: str = "vector",
-    wanted: str | Column | None = None,
-) -> Search:
-    """The k rows of the index that are most similar to each query, by score and then id; exact.
-
-    `wanted` names a kind for each query, or null for any. Zero and missing vectors, and those of another length, take no
-    part. Both rounds are joins of query blocks with corpus blocks; their plans are written to the shared folder.
-    """
+def _first_round(
+    queries: DataFrame, index: CellIndex, k: int, query_id: str, query_vector: str, wanted: str | Column | None
+) -> tuple[DataFrame, _Planner, str]:
+    """The queries that take part, with their k-th score among their nearest cells in `_worst`, null if these hold fewer rows; the
+    planner, and the type of the queries' ids."""
     dim, query_type = index.centres.shape[1], key_type(queries, query_id)
     named = F.lit(None).cast("string") if wanted is None else (F.col(wanted) if isinstance(wanted, str) else wanted)
     number = F.coalesce(*[F.when(named == kind, n) for n, kind in enumerate(index.kinds)], F.when(named.isNull(), -1), F.lit(len(index.kinds)))
@@ -374,8 +372,38 @@ def search_cells(
     near = _stored(_near(asked, planner, dim, query_type), "cells-near")
     first = _best_of(_searched(near, index, k, dim, query_type), k)
     worst = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("_worst"))
-    bounded = _stored(asked.join(worst, "query_id", "left"), "cells-bounded")
+    return _stored(asked.join(worst, "query_id", "left"), "cells-bounded"), planner, query_type
+
+
+def search_cells(
+    queries: DataFrame,
+    index: CellIndex,
+    k: int,
+    query_id: str = "query_id",
+    query_vector: str = "vector",
+    wanted: str | Column | None = None,
+) -> Search:
+    """The k rows of the index that are most similar to each query, by score and then id; exact.
+
+    `wanted` names a kind for each query, or null for any. Zero and missing vectors, and those of another length, take no
+    part. Both rounds are joins of query blocks with corpus blocks; their plans are written to the shared folder.
+    """
+    dim = index.centres.shape[1]
+    bounded, planner, query_type = _first_round(queries, index, k, query_id, query_vector, wanted)
     # What the first round found is found again, as no k-th score rules out the cell of a better row.
     blocks = _query_blocks(bounded, planner, dim, query_type)
     found = _best_of(_paired(blocks, index, planner, k, dim, query_type), k)
     return Search(found, _read(bounded, planner, dim, query_type))
+
+
+def cells_read(
+    queries: DataFrame,
+    index: CellIndex,
+    k: int,
+    query_id: str = "query_id",
+    query_vector: str = "vector",
+    wanted: str | Column | None = None,
+) -> DataFrame:
+    """The `reads` of `search_cells`. They are known after the first round, so nothing is made ready for a second."""
+    bounded, planner, query_type = _first_round(queries, index, k, query_id, query_vector, wanted)
+    return _read(bounded, planner, index.centres.shape[1], query_type)

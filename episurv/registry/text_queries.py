@@ -660,7 +660,7 @@ def r7_read(spark, d):
     corpus = _corpus(spark, d)
     asked = corpus.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
     index = cells.build_cells(corpus, corpus.agg(F.max(F.size("embedding"))).first()[0] or 0)
-    reads = cells.search_cells(asked, index, 3).reads
+    reads = cells.cells_read(asked, index, 3)
     total = index.cells.agg(F.count("*").alias("cells"), F.sum("rows").alias("rows")).first()
     return reads.withColumns({"all_cells": F.lit(total["cells"]), "all_rows": F.lit(total["rows"])})
 

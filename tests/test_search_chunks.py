@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from episurv import registry
 from episurv.operators.cells import build_cells, search_cells
 from episurv.operators.search import knn
 from episurv.operators import cells
@@ -106,3 +107,31 @@ def test_tables_do_not_grow_with_pairs(spark, written):
     assert ids(found) == brute(vectors, vectors, 2)
     assert reads.agg(F.avg("cells")).first()[0] > 20
     assert max(written.values()) <= 600
+
+
+def test_reads_need_no_second_round(spark, written):
+    """What is read is known after the first round: no query is dealt to blocks for it."""
+    vectors = clustered(9, 200)
+    asked = frame(spark, vectors).selectExpr("doc_id AS query_id", "embedding AS vector")
+    index = build_cells(frame(spark, vectors), 8, cells=12)
+    want = sorted(map(tuple, search_cells(asked, index, 3).reads.collect()))
+    assert sorted(map(tuple, cells.cells_read(asked, index, 3).collect())) == want and len(want) == 200
+    written.clear()
+    registry.load()
+    assert registry.QUERIES["r7_cells_read"](spark, "/root/testdata/sf0.001").count() > 0
+    assert "cells-bounded" in written and not {"cells-grouped", "cells-query-blocks"} & written.keys()
+
+
+def test_nearest_cells_hold_the_rows_wanted(spark):
+    """The first round's cells are those of a full sort by distance, ties in the order of cells, kinds apart."""
+    rng = np.random.default_rng(10)
+    vectors, kinds = rng.normal(size=(60, 4)), [["a", "b", None][i % 3] for i in range(60)]
+    index = build_cells(frame(spark, vectors, kinds), 4, kind="kind", kinds=("a", "b"), cells=9)
+    planner, units = cells._Planner(index, 7), rng.normal(size=(40, 4))
+    wanted = np.arange(40) % 4 - 1  # any, a, b and a kind that no row has
+    near = planner.near(units, wanted)
+    for q in range(40):
+        apart = cells._distances(units[q : q + 1], index.centres)[0][planner.cell]
+        mine = [c for c in np.argsort(apart, kind="stable") if wanted[q] < 0 or planner.kind[c] == wanted[q]]
+        before = np.cumsum([0, *planner.rows[mine]])[: len(mine)]
+        assert set(np.flatnonzero(near[q])) == {c for c, held in zip(mine, before) if held < 7}
