@@ -45,8 +45,17 @@ def _references() -> np.ndarray:
 REFERENCES = _references()
 
 
+def digest(hashes: np.ndarray) -> int:
+    """64 bits: each set if set in over half of the hashes (unsigned 64-bit)."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        part = hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def simhash(text: bytes) -> int:
-    """64 bits: each set if set in over half the hashes of all word shingles."""
+    """The digest of all word shingles, repeats included."""
     words = text.lower().split()
     if not words:
         return 0
@@ -56,14 +65,9 @@ def simhash(text: bytes) -> int:
     else:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.r_[0, ends[:-1] + 1]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist())]
-    counts = np.zeros(BITS, np.int64)
-    values = np.array(hashes, "<u8")
-    for at in range(0, len(values), 1 << 15):
-        part = values[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(values), bitorder="little").view("<u8")[0])
+        hashed = xxhash.xxh64_intdigest
+        hashes = [hashed(joined[a:b], SEED) for a, b in zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist())]
+    return digest(np.array(hashes, "<u8"))
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

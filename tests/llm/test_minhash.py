@@ -8,7 +8,7 @@ import pytest
 from test_corpus_rows import frame, odd_texts
 
 import corpus_pipeline
-from episurv.llm import minhash
+from episurv.llm import minhash, simhash
 
 
 def shingles(text):
@@ -118,3 +118,48 @@ def test_sketches_rule_no_similar_pair_out():
         b = np.r_[a[n // 10 :], rng.integers(0, 2**64, n // 10, dtype=np.uint64)]
         bits = int(np.bitwise_count((minhash.parity(a) ^ minhash.parity(b)).view(np.uint64)).sum())
         assert bits <= len(np.setxor1d(a, b))
+
+
+def test_pivots_link_before_bands(spark, monkeypatch):
+    """Of texts whose digests are within two bits the pivot tables make a forest; bands compare none of them again."""
+    rng = random.Random(12)
+    vocabulary, texts = [f"w{i}" for i in range(5000)], ["", "a b", None]
+    for i in range(40):
+        words = rng.choices(vocabulary, k=500)
+        texts.append(" ".join(words))
+        for place in rng.sample(range(len(words)), i % 4):
+            words[place] = "other"
+            texts.append(" ".join(words))
+    tables, keep = {}, minhash.stored
+
+    def noted(df, name):
+        tables.setdefault(name, []).append(keep(df, name))
+        return tables[name][-1]
+
+    monkeypatch.setattr(minhash, "stored", noted)
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, texts), "").collect()}
+    assert got == brute_stay(texts)
+
+    sets = [s for s in minhash.shingle_sets([(t or "").encode() for t in texts]) if len(s)]
+    prints = {minhash.xxhash.xxh3_128_digest(s.tobytes()): simhash.digest(s) for s in sets}
+
+    def groups(pairs):
+        root = {s: s for s in prints}
+        for a, b in pairs:
+            root = {s: root[a] if r == root[b] else r for s, r in root.items()}
+        return {frozenset(s for s in prints if root[s] == r) for r in root.values()}
+
+    close = {(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2}
+    links = [{(bytes(r["_a"]), bytes(r["_b"])) for r in t.collect()} for t in tables["near-links"]]
+    assert len(close) > 15
+    assert groups(links[0]) == groups(close)
+    for t in tables["near-pairs"][1:]:
+        assert not close & {(bytes(r["_a"]), bytes(r["_b"])) for r in t.collect()}
+
+
+def test_digest_is_the_majority_of_bits():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 7, 40_000):
+        values = rng.integers(0, 2**64, n, dtype=np.uint64)
+        ones = [int((values >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)]
+        assert simhash.digest(values) == sum(1 << b for b in range(64) if 2 * ones[b] > n)
