@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from episurv import registry
 from episurv.operators.cells import build_cells, search_cells
-from episurv.operators.search import knn
+from episurv.operators.search import knn, typed
 from episurv.operators import cells
 
 
@@ -135,3 +135,14 @@ def test_nearest_cells_hold_the_rows_wanted(spark):
         mine = [c for c in np.argsort(apart, kind="stable") if wanted[q] < 0 or planner.kind[c] == wanted[q]]
         before = np.cumsum([0, *planner.rows[mine]])[: len(mine)]
         assert set(np.flatnonzero(near[q])) == {c for c, held in zip(mine, before) if held < 7}
+
+
+def test_tables_do_not_grow_with_pairs_of_kinds(spark, written):
+    """A question of no type reads the cells of all types, and is not written once for each of them."""
+    vectors = np.random.default_rng(11).normal(size=(300, 16))
+    corpus = frame(spark, vectors, [["geographic", "temporal", "metric"][i % 3] for i in range(300)])
+    corpus = corpus.withColumnRenamed("kind", "semantic_type")
+    said = F.element_at(F.array(F.lit("oi"), F.lit("no ano"), F.lit("oi")), (F.col("doc_id") % 3 + 1).cast("int"))
+    found = typed(corpus.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"), said.alias("text")), corpus, 2)
+    assert ids(found) == brute(vectors, vectors, 2, lambda q, c: q % 3 != 1 or c % 3 == 1)
+    assert max(written.values()) <= 900
