@@ -7,8 +7,9 @@ exact whatever the centres are. They are fitted by k-means on a sample, and on n
 
 Cells are cut into blocks of rows, queries into blocks too, and the unit of work is a pair of blocks. So a cell that
 holds a large share of the corpus, or that most queries ask for, spreads over as many tasks as it has pairs, and no vector
-passes through the driver but the centres. A query moves with its few nearest cells in the first round, and once with its block in the second, where stored
-blocks of queries and of rows are paired in place: what is written and shuffled grows with rows and queries, not with their pairs.
+passes through the driver but the centres. A query moves with its few nearest cells in the first round, with a block of each if that
+holds k rows, and once with its block in the second, where stored blocks of queries and of rows are paired in place: what is written
+and shuffled grows with rows and queries, not with their pairs. Vectors are written as they come, floats as floats.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from episurv.operators.vectors import Best, BlockBest, found_schema, ids_of, key_type, matrix_of, unit_rows
+from episurv.operators.vectors import Best, BlockBest, element_type, found_schema, ids_of, key_type, matrix_of, unit_rows
 from episurv.session import scratch_path
 
 # Rows the centres are fitted on, about; most cells; passes of k-means.
@@ -34,6 +35,8 @@ SAMPLE, MOST_CELLS, PASSES = 20_000, 1024, 5
 BLOCK, QUERY_BLOCK = 4096, 2048
 # Query blocks whose best a task keeps; vectors compared with all centres at once.
 KEPT_BLOCKS, PLANNED = 16, 256
+# The bytes of a vector's numbers, by their type in tables.
+NUMBERS = {"float": np.float32, "double": np.float64}
 # Scores are rounded, so a cell is read that falls short by less than this.
 SLACK = 1e-9
 
@@ -41,7 +44,8 @@ SLACK = 1e-9
 class CellIndex(NamedTuple):
     """`blocks` and `cells` are tables in the shared folder; centres and what the planner knows of each cell travel with tasks.
 
-    `cells` has one row for each kind and cell that holds rows: _kind, _cell, rows, radius.
+    `cells` has one row for each kind and cell that holds rows: _kind, _cell, rows, radius. `element` is the type of the numbers in
+    the vectors of `blocks`.
     """
 
     blocks: DataFrame
@@ -49,6 +53,7 @@ class CellIndex(NamedTuple):
     centres: np.ndarray
     kinds: tuple[str | None, ...]
     id_type: str
+    element: str
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -59,7 +64,7 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 def _has_direction(vector: str) -> Column:
     """Neither zero nor with a NaN, which Spark takes for the largest number."""
-    norm = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)
+    norm = F.aggregate(F.col(vector).cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
     return (norm > 0) & ~F.isnan(norm)
 
 
@@ -67,7 +72,7 @@ def _fitted(rows: DataFrame, total: int, count: int, sample: int) -> np.ndarray:
     """Centres of unit vectors, by k-means on the rows whose hashes of ids are in a share of the hash range."""
     share = min(1.0, sample / max(1, total))
     chosen = rows.filter((F.col("_at") >= 0) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
-    vectors = Normalizer(p=2.0, inputCol="raw", outputCol="features").transform(chosen.select(array_to_vector("vector").alias("raw")))
+    vectors = Normalizer(p=2.0, inputCol="raw", outputCol="features").transform(chosen.select(array_to_vector(F.col("vector").cast("array<double>")).alias("raw")))
     model = KMeans(k=max(2, count), seed=7, maxIter=PASSES, initMode="random").fit(vectors.select("features"))
     return np.array(model.clusterCenters())
 
@@ -87,10 +92,10 @@ def build_cells(
     `cells` is by default the square root of the number of rows, at most MOST_CELLS. With `kind`, a column of the corpus, rows of
     each of `kinds` are cells apart, so that a search for one kind reads no other; all further values are one kind.
     """
-    id_type = key_type(corpus, doc_id)
+    id_type, element = key_type(corpus, doc_id), element_type(corpus, vector)
     apart = F.lit(-1) if kind is None else F.coalesce(*[F.when(F.col(kind) == k, n) for n, k in enumerate(kinds)], F.lit(-1))
     rows = corpus.filter(F.size(F.coalesce(F.col(vector), F.array().cast("array<float>"))) == dim).select(
-        F.col(doc_id).cast(id_type).alias("id"), F.col(vector).cast("array<double>").alias("vector"), apart.cast("int").alias("_kind")
+        F.col(doc_id).cast(id_type).alias("id"), F.col(vector).cast(f"array<{element}>").alias("vector"), apart.cast("int").alias("_kind")
     )
     rows = rows.withColumn("_at", F.when(_has_direction("vector"), 0).otherwise(-1)).filter("_at = 0")
     total = rows.count()
@@ -110,7 +115,7 @@ def build_cells(
                 )
 
     placed = rows.select("id", "vector", "_kind").mapInArrow(
-        assign, f"id {id_type}, vector array<double>, _kind int, _cell int, _apart double"
+        assign, f"id {id_type}, vector array<{element}>, _kind int, _cell int, _apart double"
     )
     placed = _stored(placed, "cells-rows")
     table = _stored(placed.groupBy("_kind", "_cell").agg(F.count("*").alias("rows"), F.max("_apart").alias("radius")), "cells")
@@ -120,28 +125,32 @@ def build_cells(
         .groupBy("_kind", "_cell", place.alias("_block"))
         .agg(F.collect_list(F.struct("id", "vector")).alias("_rows"))
     )
-    blocks = _packed(blocks, dim, id_type, "_kind int, _cell int, _block int")
-    return CellIndex(_stored(blocks, "cells-blocks"), table, centres, tuple(kinds) if kind else (), id_type)
+    blocks = _packed(blocks, dim, id_type, element, "_kind int, _cell int, _block int")
+    return CellIndex(_stored(blocks, "cells-blocks"), table, centres, tuple(kinds) if kind else (), id_type, element)
 
 
-def _packed(groups: DataFrame, dim: int, id_type: str, others: str) -> DataFrame:
-    """The ids and vectors in `_rows` as `_ids` and `_units`, the bytes of the unit vectors."""
+def _packed(groups: DataFrame, dim: int, id_type: str, element: str, others: str) -> DataFrame:
+    """The ids and vectors in `_rows` as `_ids` and `_vectors`, the bytes of their numbers."""
     names = [c for c in groups.columns if c != "_rows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
                 rows = batch.column("_rows")[n].values
-                units, _ = unit_rows(matrix_of(rows.field("vector"), dim))
+                vectors = matrix_of(rows.field("vector"), dim).astype(NUMBERS[element])
                 ids = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows.field("id"))
                 others = [batch.column(c).slice(n, 1) for c in names]
-                yield pa.RecordBatch.from_arrays([*others, ids, pa.array([units.tobytes()], pa.binary())], [*names, "_ids", "_units"])
+                yield pa.RecordBatch.from_arrays([*others, ids, pa.array([vectors.tobytes()], pa.binary())], [*names, "_ids", "_vectors"])
 
-    return groups.mapInArrow(run, f"{others}, _ids array<{id_type}>, _units binary")
+    return groups.mapInArrow(run, f"{others}, _ids array<{id_type}>, _vectors binary")
 
 
-def _units_of(value: pa.Scalar, dim: int) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), np.float64).reshape(-1, dim)
+def _vectors_of(value: pa.Scalar, dim: int, element: str) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), NUMBERS[element]).reshape(-1, dim).astype(np.float64)
+
+
+def _units_of(value: pa.Scalar, dim: int, element: str) -> np.ndarray:
+    return unit_rows(_vectors_of(value, dim, element))[0]
 
 
 def _cell_key(kind: str, cell: str) -> Column:
@@ -221,8 +230,9 @@ def _near(queries: DataFrame, planner: _Planner, dim: int, query_type: str) -> D
                 ["query_id", "vector", "_kind", "_cell"],
             )
 
+    element = element_type(queries, "vector")
     return queries.select("query_id", "vector", "_wanted").mapInArrow(
-        run, f"query_id {query_type}, vector array<double>, _kind int, _cell int"
+        run, f"query_id {query_type}, vector array<{element}>, _kind int, _cell int"
     )
 
 
@@ -240,11 +250,10 @@ def _read(queries: DataFrame, planner: _Planner, dim: int, query_type: str) -> D
     return queries.select("query_id", "vector", "_wanted", "_worst").mapInArrow(run, f"query_id {query_type}, cells bigint, rows bigint")
 
 
-def _query_blocks(queries: DataFrame, planner: _Planner, dim: int, query_type: str) -> DataFrame:
-    """Blocks of queries that want one kind and lie in cells next to each other in number: `_ids`, `_units`, `_worsts`, and in
-    `_open` the keys of all cells that one of them has to read."""
+def _grouped(queries: DataFrame, total: int, planner: _Planner, dim: int, query_type: str) -> DataFrame:
+    """Of `total` queries each with the number of its group, of those in cells next to each other in number, in `_group`."""
     count = max(1, len(planner.centres))
-    groups = min(count, max(1, -(-queries.count() // QUERY_BLOCK)))
+    groups = min(count, max(1, -(-total // QUERY_BLOCK)))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, units, _ in _parts(batches, dim):
@@ -252,20 +261,26 @@ def _query_blocks(queries: DataFrame, planner: _Planner, dim: int, query_type: s
             columns = [part.column(c) for c in ("query_id", "vector", "_wanted", "_worst")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(group.astype(np.int32))], ["query_id", "vector", "_wanted", "_worst", "_group"])
 
-    schema = f"query_id {query_type}, vector array<double>, _wanted int, _worst double, _group int"
-    rows = _stored(queries.select("query_id", "vector", "_wanted", "_worst").mapInArrow(placed, schema), "cells-grouped")
+    schema = f"query_id {query_type}, vector array<{element_type(queries, 'vector')}>, _wanted int, _worst double, _group int"
+    return queries.select("query_id", "vector", "_wanted", "_worst").mapInArrow(placed, schema)
+
+
+def _query_blocks(rows: DataFrame, planner: _Planner, dim: int, query_type: str) -> DataFrame:
+    """Blocks of queries that want one kind and are of one group: `_ids`, `_vectors`, `_worsts`, and in `_open` the keys of all
+    cells that one of them has to read."""
+    element = element_type(rows, "vector")
     sizes = rows.groupBy("_wanted", "_group").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("_parts"))
     place = F.pmod(F.xxhash64("query_id"), F.col("_parts"))
     row = F.struct(F.col("query_id").alias("id"), "vector", "_worst")
     blocks = rows.join(sizes, ["_wanted", "_group"]).groupBy("_wanted", "_group", place.alias("_part")).agg(F.collect_list(row).alias("_rows"))
     blocks = blocks.select("_wanted", F.col("_rows._worst").alias("_worsts"), "_rows")
-    packed = _packed(blocks, dim, query_type, "_wanted int, _worsts array<double>")
+    packed = _packed(blocks, dim, query_type, element, "_wanted int, _worsts array<double>")
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = []
             for n in range(batch.num_rows):
-                units, worst = _units_of(batch.column("_units")[n], dim), _numbers(batch.column("_worsts")[n].values)
+                units, worst = _units_of(batch.column("_vectors")[n], dim, element), _numbers(batch.column("_worsts")[n].values)
                 wanted, some = np.full(len(units), batch.column("_wanted")[n].as_py()), np.zeros(len(planner.keys), bool)
                 for lo in range(0, len(units), PLANNED):
                     at = slice(lo, lo + PLANNED)
@@ -273,19 +288,20 @@ def _query_blocks(queries: DataFrame, planner: _Planner, dim: int, query_type: s
                 lists.append(planner.keys[some])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], [*batch.schema.names, "_open"])
 
-    fields = f"_wanted int, _worsts array<double>, _ids array<{query_type}>, _units binary, _open array<bigint>"
+    fields = f"_wanted int, _worsts array<double>, _ids array<{query_type}>, _vectors binary, _open array<bigint>"
     blocks = packed.mapInArrow(opened, fields).withColumn("_query_block", F.monotonically_increasing_id())
     return _stored(blocks, "cells-query-blocks")
 
 
-def _paired(query_blocks: DataFrame, index: CellIndex, planner: _Planner, k: int, dim: int, query_type: str) -> DataFrame:
+def _paired(query_blocks: DataFrame, index: CellIndex, planner: _Planner, k: int, dim: int, query_type: str, element: str) -> DataFrame:
     """The k best of each query among the blocks that a task pairs with it. Both sides are read where they were written: a product of
     few large rows, whose condition leaves out pairs with cells that no query of the block has to read."""
     rows = index.blocks.select(
-        _cell_key("_kind", "_cell").alias("_key"), F.col("_ids").alias("_row_ids"), F.col("_units").alias("_row_units")
+        _cell_key("_kind", "_cell").alias("_key"), F.col("_ids").alias("_row_ids"), F.col("_vectors").alias("_row_vectors")
     )
     both = query_blocks.join(rows, F.array_contains("_open", F.col("_key"))).drop("_open")
     schema, arrow = found_schema(query_type, index.id_type)
+    row_element = index.element
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, BlockBest] = {}
@@ -300,7 +316,7 @@ def _paired(query_blocks: DataFrame, index: CellIndex, planner: _Planner, k: int
                     if len(kept) >= KEPT_BLOCKS:
                         yield ended(next(iter(kept)))
                     worst = _numbers(batch.column("_worsts")[n].values)
-                    units = _units_of(batch.column("_units")[n], dim).copy()
+                    units = _units_of(batch.column("_vectors")[n], dim, element)
                     kept[block] = BlockBest(batch.column("_ids")[n].as_py(), units, k, worst - 2 * SLACK)
                 best = kept[block] = kept.pop(block)  # the one met last is the last to go
                 wanted = np.full(len(best.queries), batch.column("_wanted")[n].as_py())
@@ -308,7 +324,7 @@ def _paired(query_blocks: DataFrame, index: CellIndex, planner: _Planner, k: int
                 worst = _numbers(batch.column("_worsts")[n].values)
                 asking = np.flatnonzero(planner.open(best.queries, wanted, worst, [cell])[:, 0])
                 ids = ids_of(batch.column("_row_ids")[n].values.to_numpy(zero_copy_only=False))
-                best.add(asking, ids, _units_of(batch.column("_row_units")[n], dim))
+                best.add(asking, ids, _units_of(batch.column("_row_vectors")[n], dim, row_element))
         for block in list(kept):
             yield ended(block)
 
@@ -316,7 +332,8 @@ def _paired(query_blocks: DataFrame, index: CellIndex, planner: _Planner, k: int
 
 
 def _searched(plan: DataFrame, index: CellIndex, k: int, dim: int, query_type: str) -> DataFrame:
-    """The k best of each query in each block that the plan names for it."""
+    """The k best of each query in each cell that the plan names for it, or in some blocks of the cell that are likely to hold k rows:
+    any k rows give a bound. Other blocks for other parts of the queries, so that all of a hot cell's blocks have their share of tasks."""
     asked = plan.groupBy("_kind", "_cell").agg(F.count("*").alias("_asked")).join(index.cells, ["_kind", "_cell"])
     asked = _stored(asked.select("_kind", "_cell", "_asked", F.ceil(F.col("rows") / BLOCK).cast("int").alias("_blocks")), "cells-asked")
     place = F.pmod(F.xxhash64("query_id"), F.ceil(F.col("_asked") / QUERY_BLOCK))
@@ -325,9 +342,13 @@ def _searched(plan: DataFrame, index: CellIndex, k: int, dim: int, query_type: s
         .groupBy("_kind", "_cell", place.alias("_part"))
         .agg(F.collect_list(F.struct("query_id", "vector")).alias("_queries"), F.first("_blocks").alias("_blocks"))
     )
-    pairs = packed.select("_kind", "_cell", "_queries", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
-    both = pairs.join(index.blocks, ["_kind", "_cell", "_block"]).select("_queries", "_ids", "_units")
+    some = F.least("_blocks", F.lit(-(-4 * k // BLOCK)))  # blocks are half full at least, but for chance
+    turn = F.explode(F.sequence(F.lit(0), some - 1))
+    pairs = packed.select("_kind", "_cell", "_queries", "_part", "_blocks", turn.alias("_turn"))
+    pairs = pairs.withColumn("_block", F.pmod(F.col("_part") + F.col("_turn"), F.col("_blocks")).cast("int"))
+    both = pairs.join(index.blocks, ["_kind", "_cell", "_block"]).select("_queries", "_ids", "_vectors")
     schema, arrow = found_schema(query_type, index.id_type)
+    element = index.element
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,7 +356,7 @@ def _searched(plan: DataFrame, index: CellIndex, k: int, dim: int, query_type: s
                 queries = batch.column("_queries")[n].values
                 units, _ = unit_rows(matrix_of(queries.field("vector"), dim))
                 best = Best(units, k)
-                best.add(ids_of(batch.column("_ids")[n].values.to_numpy(zero_copy_only=False)), _units_of(batch.column("_units")[n], dim))
+                best.add(ids_of(batch.column("_ids")[n].values.to_numpy(zero_copy_only=False)), _vectors_of(batch.column("_vectors")[n], dim, element))
                 found = best.rows(queries.field("query_id").to_pylist())
                 yield pa.RecordBatch.from_pandas(found, schema=arrow, preserve_index=False)
 
@@ -355,24 +376,27 @@ class Search(NamedTuple):
 
 
 def _first_round(
-    queries: DataFrame, index: CellIndex, k: int, query_id: str, query_vector: str, wanted: str | Column | None
+    queries: DataFrame, index: CellIndex, k: int, query_id: str, query_vector: str, wanted: str | Column | None, grouped: bool
 ) -> tuple[DataFrame, _Planner, str]:
-    """The queries that take part, with their k-th score among their nearest cells in `_worst`, null if these hold fewer rows; the
-    planner, and the type of the queries' ids."""
-    dim, query_type = index.centres.shape[1], key_type(queries, query_id)
+    """The queries that take part, with their k-th score among rows of their nearest cells in `_worst`, null if these are fewer, and
+    if `grouped` their `_group`; the planner, and the type of the queries' ids."""
+    dim, query_type, element = index.centres.shape[1], key_type(queries, query_id), element_type(queries, query_vector)
     named = F.lit(None).cast("string") if wanted is None else (F.col(wanted) if isinstance(wanted, str) else wanted)
     number = F.coalesce(*[F.when(named == kind, n) for n, kind in enumerate(index.kinds)], F.when(named.isNull(), -1), F.lit(len(index.kinds)))
     asked = queries.select(
         F.col(query_id).cast(query_type).alias("query_id"),
-        F.col(query_vector).cast("array<double>").alias("vector"),
+        F.col(query_vector).cast(f"array<{element}>").alias("vector"),
         number.cast("int").alias("_wanted"),
-    ).filter(F.size(F.coalesce("vector", F.array().cast("array<double>"))) == dim)
+    ).filter(F.size(F.coalesce("vector", F.array().cast(f"array<{element}>"))) == dim)
     asked = _stored(asked.filter(_has_direction("vector")), "cells-queries")
     planner = _Planner(index, k)
     near = _stored(_near(asked, planner, dim, query_type), "cells-near")
     first = _best_of(_searched(near, index, k, dim, query_type), k)
     worst = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("_worst"))
-    return _stored(asked.join(worst, "query_id", "left"), "cells-bounded"), planner, query_type
+    bounded = asked.join(worst, "query_id", "left")
+    if grouped:
+        bounded = _grouped(bounded, asked.count(), planner, dim, query_type)
+    return _stored(bounded, "cells-bounded"), planner, query_type
 
 
 def search_cells(
@@ -389,10 +413,10 @@ def search_cells(
     part. Both rounds are joins of query blocks with corpus blocks; their plans are written to the shared folder.
     """
     dim = index.centres.shape[1]
-    bounded, planner, query_type = _first_round(queries, index, k, query_id, query_vector, wanted)
+    bounded, planner, query_type = _first_round(queries, index, k, query_id, query_vector, wanted, grouped=True)
     # What the first round found is found again, as no k-th score rules out the cell of a better row.
     blocks = _query_blocks(bounded, planner, dim, query_type)
-    found = _best_of(_paired(blocks, index, planner, k, dim, query_type), k)
+    found = _best_of(_paired(blocks, index, planner, k, dim, query_type, element_type(bounded, "vector")), k)
     return Search(found, _read(bounded, planner, dim, query_type))
 
 
@@ -405,5 +429,5 @@ def cells_read(
     wanted: str | Column | None = None,
 ) -> DataFrame:
     """The `reads` of `search_cells`. They are known after the first round, so nothing is made ready for a second."""
-    bounded, planner, query_type = _first_round(queries, index, k, query_id, query_vector, wanted)
+    bounded, planner, query_type = _first_round(queries, index, k, query_id, query_vector, wanted, grouped=False)
     return _read(bounded, planner, index.centres.shape[1], query_type)

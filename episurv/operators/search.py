@@ -14,7 +14,7 @@ from episurv.functions.codes import STATE_CODES
 from episurv.functions.columns import as_col
 from episurv.operators.cells import build_cells, search_cells
 from episurv.operators.filters import equality_filters
-from episurv.operators.vectors import SCORE_DIGITS, Best, found_schema, ids_of, key_type, matrix_of, unit_rows
+from episurv.operators.vectors import SCORE_DIGITS, Best, element_type, found_schema, ids_of, key_type, matrix_of, unit_rows
 
 # Search depth and re-ranking factors.
 TOP_K, MAX_POOL = 5, 15
@@ -64,7 +64,8 @@ def knn(
     schema, arrow = found_schema(query_type, id_type)
     if dim is None:
         dim = corpus.agg(F.max(F.size(vector)).alias("n")).first()["n"] or 0
-    q = queries.select(F.col(query_id).cast(query_type).alias("query_id"), F.col(query_vector).cast("array<double>").alias("vector"))
+    vectors = F.col(query_vector).cast(f"array<{element_type(queries, query_vector)}>")
+    q = queries.select(F.col(query_id).cast(query_type).alias("query_id"), vectors.alias("vector"))
     q = q.filter(F.size("vector") == dim)
     size = max_carried or max(1, CARRIED_BYTES // (8 * max(1, dim)))
     few = q.limit(size + 1).collect()  # at most what one scan carries, and one more
@@ -150,11 +151,12 @@ def question_document_type(
 
 def typed(
     queries: DataFrame, corpus: DataFrame, k: int = TOP_K, text: str = "text", doc_id: str = "doc_id",
-    vector: str = "embedding", **terms: Sequence[str],
+    vector: str = "embedding", wanted: str | None = None, **terms: Sequence[str],
 ) -> DataFrame:
     """Search among documents of the type each question asks for, or among all: one index, whose cells are apart by type, and one
-    search for all questions."""
-    asked = queries.withColumn("semantic_type", question_document_type(text, **terms))
+    search for all questions. `wanted` names a column of types that were taken from the texts before, so that no text moves with
+    its vector."""
+    asked = queries.withColumn("semantic_type", F.col(wanted) if wanted else question_document_type(text, **terms))
     dim = corpus.agg(F.max(F.size(vector)).alias("n")).first()["n"] or 0
     index = build_cells(corpus, dim, doc_id, vector, kind="semantic_type", kinds=DOCUMENT_TYPES)
     found = search_cells(asked, index, k, wanted="semantic_type").found

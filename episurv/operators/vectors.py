@@ -110,6 +110,11 @@ def key_type(df: DataFrame, name: str) -> str:
     return "bigint" if df.schema[name].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
 
 
+def element_type(df: DataFrame, name: str) -> str:
+    """Vectors are kept as they come, of floats in half the bytes, and compared as doubles."""
+    return "float" if df.schema[name].dataType.simpleString() == "array<float>" else "double"
+
+
 def found_schema(query_type: str, id_type: str) -> tuple[str, pa.Schema]:
     arrow = {"bigint": pa.int64(), "string": pa.string()}
     fields = [("query_id", arrow[query_type]), ("id", arrow[id_type]), ("score", pa.float64())]

@@ -709,8 +709,9 @@ GEO_WORDS, TIME_WORDS = ["le", "ein", "sh"], ["the", "que"]
 def r10(spark, d):
     said = table(spark, d, "conversations").filter(F.col("role") == "user")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("vector"))
-    asked = said.join(vectors, "conv_id").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text", "vector")
-    found = search.typed(asked, _corpus(spark, d), 3, states=(), geographic=GEO_WORDS, temporal=TIME_WORDS)
+    kind = search.question_document_type("text", states=(), geographic=GEO_WORDS, temporal=TIME_WORDS)
+    said = said.select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), kind.alias("kind"))
+    found = search.typed(said.join(vectors, "conv_id"), _corpus(spark, d), 3, wanted="kind")
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -146,3 +146,55 @@ def test_tables_do_not_grow_with_pairs_of_kinds(spark, written):
     found = typed(corpus.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"), said.alias("text")), corpus, 2)
     assert ids(found) == brute(vectors, vectors, 2, lambda q, c: q % 3 != 1 or c % 3 == 1)
     assert max(written.values()) <= 900
+
+
+def test_a_hot_cell_gives_a_bound_by_some_blocks(spark, monkeypatch):
+    """The first round wants k rows, not all blocks of a hot cell for each query in it, and takes all of these blocks in turn."""
+    monkeypatch.setattr(cells, "BLOCK", 40)
+    monkeypatch.setattr(cells, "QUERY_BLOCK", 10)
+    met, best_of = [], cells._best_of
+    monkeypatch.setattr(cells, "_best_of", lambda found, k: met.append(found.select("query_id", "id").distinct().collect()) or best_of(found, k))
+    vectors = [*np.tile(clustered(12, 1), (600, 1)), *clustered(13, 20)]  # 15 blocks of copies
+    corpus = frame(spark, vectors)
+    asked = corpus.filter("doc_id % 5 = 0").selectExpr("doc_id AS query_id", "embedding AS vector")
+    found = search_cells(asked, build_cells(corpus, 8, cells=4), 3).found
+    assert ids(found) == {q: best for q, best in brute(vectors, vectors, 3).items() if q % 5 == 0}
+    hot = [r["id"] for r in met[0] if r["query_id"] < 600]
+    assert len(hot) <= 120 * 3 and len(set(hot)) > 3 * 3
+
+
+@pytest.mark.parametrize("element,size", [("float", 4), ("double", 8)])
+def test_vectors_are_written_as_they_come(spark, monkeypatch, element, size):
+    """Floats take half the bytes of doubles in every table, and short vectors keep their direction."""
+    tables, stored = {}, cells._stored
+    monkeypatch.setattr(cells, "_stored", lambda df, name: tables.setdefault(name, stored(df, name)))
+    vectors = clustered(14, 60)
+    vectors[::7] *= 1e-30  # whose squares are no floats
+    corpus = frame(spark, vectors).withColumn("embedding", F.col("embedding").cast(f"array<{element}>"))
+    found = search_cells(corpus.selectExpr("doc_id AS query_id", "embedding AS vector"), build_cells(corpus, 8, cells=5), 2).found
+    assert ids(found) == brute(vectors, vectors, 2)
+    assert {dict(t.dtypes)["vector"] for t in tables.values() if "vector" in t.columns} == {f"array<{element}>"}
+    for name in ("cells-blocks", "cells-query-blocks"):
+        assert tables[name].agg(F.sum(F.length("_vectors"))).first()[0] == 60 * 8 * size
+    # The vectors of queries: as asked, by their nearest cells, and with their bound, then in blocks.
+    assert {name for name in tables if "vector" in tables[name].columns} == {"cells-rows", "cells-queries", "cells-near", "cells-bounded"}
+
+
+def test_texts_of_questions_do_not_move(spark, monkeypatch):
+    """The type of a question is taken where its text is read: no join has texts on a side."""
+    plans, stored = [], cells._stored
+    monkeypatch.setattr(cells, "_stored", lambda df, name: plans.append(df) or stored(df, name))
+    registry.load()
+    plans.append(registry.QUERIES["r10_typed"](spark, "/root/testdata/sf0.001"))
+    sides = []
+
+    def walk(node):
+        below = [node.children().apply(n) for n in range(node.children().size())]
+        if node.nodeName() == "Join":
+            sides.extend(child.output().mkString(",") for child in below)
+        for child in below:
+            walk(child)
+
+    for df in plans:
+        walk(df._jdf.queryExecution().optimizedPlan())
+    assert sides and not [side for side in sides if "text#" in side]
